@@ -7,9 +7,10 @@ the outputs of the two tokens before it: the model predicts a vector, the sum of
 times a matrix for its place, and a token's score is that vector's product with the token's output
 embedding plus a bias.
 
-Training is noise-contrastive, in numpy, on every training token once: in each of ``ROUNDS`` rounds
-tasks train on their own rows of that round, starting from the shared parameters, and Spark averages
-what they learnt by parameter, weighted by tokens. Parameters have a fixed size.
+Training is noise-contrastive, in numpy, on every training token: in each of ``ROUNDS`` rounds tasks
+train on their own rows of that round, starting from the shared parameters, and Spark averages what
+they learnt by parameter, weighted by tokens. A task with few tokens (a small table) repeats them, at
+most ``PASSES`` times. Parameters have a fixed size.
 
 Scoring is normalised exactly: batched matrix products give the logarithm of the sum over all outputs
 for every context, once, in Spark; the sum of a token's two products is read from two tables. What a
@@ -40,7 +41,7 @@ from .common import crc32_of_id, lower_ascii, materialise, ship, text_chunks
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TOP, TAILS, DIM = 1000, 128, 24
 LOCAL = 1 << 18
-ROUNDS, BATCH, NOISE, RATE = 2, 4096, 48, 0.15
+ROUNDS, BATCH, NOISE, RATE, PASSES = 2, 4096, 48, 0.15, 6
 SEED = 11
 N_OUT = 1 + TOP + TAILS
 
@@ -228,10 +229,13 @@ def train(rows: DataFrame, vocab: Vocabulary) -> Model:
                 texts = pdf["text"].tolist()
                 for x, y in text_chunks(texts, 3_000_000):
                     a, b, w = _contexts([encode(t, known.value, tails)[0] for t in texts[x:y]])
-                    order = trainer.rng.permutation(len(w))
-                    a, b, w = a[order], b[order], w[order]
-                    for s in range(0, len(w), BATCH):
-                        trainer.step(a[s : s + BATCH], b[s : s + BATCH], w[s : s + BATCH])
+                    # a task with few tokens takes smaller batches and sees them more than once
+                    batch = min(BATCH, max(64, len(w) // 128))
+                    for _ in range(1 if tokens else min(PASSES, max(1, 400_000 // max(len(w), 1)))):
+                        order = trainer.rng.permutation(len(w))
+                        x1, x2, y1 = a[order], b[order], w[order]
+                        for s in range(0, len(w), batch):
+                            trainer.step(x1[s : s + batch], x2[s : s + batch], y1[s : s + batch])
                     tokens += len(w)
             if tokens:
                 flat = trainer.m.flat.astype(np.float64)
