@@ -24,19 +24,24 @@ def access_dedupe(spark, sf_dir):
     return rows.agg(F.count("request_id").alias("n_ids"), F.count_if(F.col("request_id").isNull()).alias("n_nulls"))
 
 
-@query(f"WITH {X.LEAF} SELECT bucket, path, day, op, n_ops, bytes_out, bytes_in, n_requesters FROM leaf")
+def _plain_days(df):
+    """Days as text, which every engine writes alike."""
+    return df.drop("last_ts").withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {X.LEAF} SELECT bucket, path, CAST(day AS VARCHAR) AS day, op, n_ops, bytes_out, bytes_in, n_requesters FROM leaf")
 def access_leaf(spark, sf_dir):
-    return access.access_leaf(X.access(spark, sf_dir)).drop("last_ts")
+    return _plain_days(access.access_leaf(X.access(spark, sf_dir)))
 
 
-@query(f"WITH {X.TREE} SELECT * FROM tree")
+@query(f"WITH {X.TREE} SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM tree")
 def access_tree(spark, sf_dir):
-    return access.access_tree(X.access(spark, sf_dir)).drop("last_ts")
+    return _plain_days(access.access_tree(X.access(spark, sf_dir)))
 
 
-@query(f"WITH {X.TREE} SELECT * EXCLUDE (bucket) FROM tree")
+@query(f"WITH {X.TREE} SELECT * EXCLUDE (bucket) REPLACE (CAST(day AS VARCHAR) AS day) FROM tree")
 def access_tree_parity(spark, sf_dir):
-    return access.access_tree(X.access(spark, sf_dir), parity=True).drop("last_ts")
+    return _plain_days(access.access_tree(X.access(spark, sf_dir), parity=True))
 
 
 @query(None)
@@ -114,31 +119,32 @@ def r2_log(spark, sf_dir):
     return rows.groupBy("op").agg(F.count(F.lit(1)).alias("n_ops"), F.sum("bytes_out").alias("bytes_out"), F.countDistinct("path").alias("n_paths"))
 
 
-@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderpriority AS service, o_orderstatus AS sku, CAST(count(*) AS DOUBLE) AS usage, CAST(sum(o_shippriority_n) AS DOUBLE) AS cost, count(*) AS n_rows FROM (SELECT *, o_orderkey % 10 AS o_shippriority_n FROM orders) GROUP BY ALL")
+@query("SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS period, o_orderpriority AS service, o_orderstatus AS sku, CAST(count(*) AS DOUBLE) AS usage, CAST(sum(o_shippriority_n) AS DOUBLE) AS cost, count(*) AS n_rows FROM (SELECT *, o_orderkey % 10 AS o_shippriority_n FROM orders) GROUP BY ALL")
 def cost_summary(spark, sf_dir):
     """Orders as cost rows: a month, a service, a unit used and a whole-number cost."""
     o = X.table(spark, sf_dir, "orders").withColumn("units", F.lit(1)).withColumn("price", F.col("o_orderkey") % 10)
-    return access.cost_summary(access.normalize_costs(o, {"period": "o_orderdate", "service": "o_orderpriority", "sku": "o_orderstatus", "usage": "units", "cost": "price"}))
+    out = access.cost_summary(access.normalize_costs(o, {"period": "o_orderdate", "service": "o_orderpriority", "sku": "o_orderstatus", "usage": "units", "cost": "price"}))
+    return out.withColumn("period", F.col("period").cast("string"))
 
 
-def _shared(spark) -> str:
-    """A new folder where stream and driver meet: the session's shared folder, or a temporary one in local mode."""
+def shared_path(spark) -> str:
+    """A path to write to that driver and executors share: in the session's shared folder, or a temporary one in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        return tempfile.mkdtemp(prefix="arborlake-stream-")
+        folder = tempfile.mkdtemp(prefix="arborlake-")
     return f"{folder.rstrip('/')}/arborlake/stream-{os.urandom(8).hex()}"
 
 
 def _stream(spark, sf_dir, rows):
-    base = _shared(spark)
+    base = shared_path(spark)
     rows.write.parquet(f"{base}/in")
     return base, spark.read.parquet(f"{base}/in").schema
 
 
 @query(f"""WITH {X.ACCESS}, u AS (SELECT bucket, unnest(['.', string_split(path, '/')[1], array_to_string(string_split(path, '/')[1:2], '/'), path]) AS path, CAST(ts AS DATE) AS day, op, bytes_out, bytes_in FROM access),
-m AS (SELECT max(ts) AS t FROM access) SELECT bucket, path, day, op, count(*) AS n_ops, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(bytes_in) AS BIGINT) AS bytes_in FROM u, m WHERE day + INTERVAL 1 DAY <= t - INTERVAL 2 HOUR GROUP BY ALL""")
+m AS (SELECT max(ts) AS t FROM access) SELECT bucket, path, CAST(day AS VARCHAR) AS day, op, count(*) AS n_ops, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(bytes_in) AS BIGINT) AS bytes_in FROM u, m WHERE day + INTERVAL 1 DAY <= t - INTERVAL 2 HOUR GROUP BY ALL""")
 def access_stream_daily(spark, sf_dir):
     """Requests as a file stream, a twentieth repeated; days are written once they are two hours past."""
     rows = X.access(spark, sf_dir)
@@ -146,7 +152,7 @@ def access_stream_daily(spark, sf_dir):
     base, schema = _stream(spark, sf_dir, rows)
     # the files come in one trigger, so that no row is late; the second, empty trigger emits what is complete
     stream.run_daily_tree(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("bucket", "path", F.col("day").cast("date").alias("day"), "op", "n_ops", "bytes_out", "bytes_in")
+    return spark.read.parquet(f"{base}/out").select("bucket", "path", F.col("day").cast("string").alias("day"), "op", "n_ops", "bytes_out", "bytes_in")
 
 
 @query(f"WITH {X.OBJECTS}, {X.files()}, {X.snap()} SELECT path, size, mtime, n_desc, n_files, n_children FROM snap WHERE kind = 'dir'")
@@ -166,10 +172,10 @@ def verbs(spark, sf_dir):
     return e.select("event_type", S.verb(F.lit("GET"), operation).alias("verb")).groupBy("event_type", "verb").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("SELECT CAST(floor(epoch(ts)) AS BIGINT) AS seconds, CAST(ts AS DATE) AS day, count(*) AS n_rows FROM events GROUP BY ALL")
+@query("SELECT CAST(floor(epoch(ts)) AS BIGINT) AS seconds, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n_rows FROM events GROUP BY ALL")
 def times(spark, sf_dir):
     e = X.table(spark, sf_dir, "events").select(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))
     iso = e.select("t", S.iso_time(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("back"))
-    return iso.select(S.epoch_seconds("back").alias("seconds"), S.utc_day("t").alias("day")).groupBy("seconds", "day").agg(F.count(F.lit(1)).alias("n_rows"))
+    return iso.select(S.epoch_seconds("back").alias("seconds"), S.utc_day("t").cast("string").alias("day")).groupBy("seconds", "day").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -75,7 +75,9 @@ def diverging_scale(spark, sf_dir):
     return diff.diverging(rows).select("path", "size_delta", F.round("t", 9).alias("t"))
 
 
-@query(f"""WITH {_REACH}, s AS (SELECT path, up, status, size_delta, greatest(coalesce(size_a, 0), coalesce(size_b, 0)) AS own, depth FROM ({_SHOWN.replace("SELECT path,", "SELECT path, up,", 1)} AND status <> 'unchanged')),
+@query(f"""WITH {_REACH}, s0 AS (SELECT path, up, status, size_delta, greatest(coalesce(size_a, 0), coalesce(size_b, 0)) AS own, depth FROM ({_SHOWN.replace("SELECT path,", "SELECT path, up,", 1)} AND status <> 'unchanged')),
+anc AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM s0),
+s AS (SELECT * FROM s0 UNION ALL SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END, 'unchanged', 0, 0, CAST(length(path) - length(replace(path, '/', '')) + 1 AS INT) FROM anc WHERE path NOT IN (SELECT path FROM s0)),
 w5 AS (SELECT *, own AS weight, NULL::BIGINT AS kids FROM s WHERE depth = 5), k5 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w5 GROUP BY 1),
 w4 AS (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k5 k ON s.path = k.path WHERE depth = 4), k4 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w4 GROUP BY 1),
 w3 AS (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k4 k ON s.path = k.path WHERE depth = 3), k3 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w3 GROUP BY 1),
