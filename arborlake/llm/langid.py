@@ -7,7 +7,7 @@ The model is learnt by Spark from all labelled rows given to :func:`train`: coun
 and of letters by script, per language. Its size is (languages) x (``BUCKETS`` + scripts), whatever
 the corpus holds. Tasks count distinct words first and send one row per used bucket.
 
-Defined results: a null or letterless text is ``und`` with score 0 and no spans, as is every text if
+Defined results: a null or letterless text (signs and digits of any kind) is ``und`` with score 0 and no spans, as is every text if
 no row is labelled; rows with a null text or language do not train; languages that tie are taken in
 alphabetical order; a word in a script that no training row used may be in any language; extra
 columns are ignored; an empty table gives an empty result.
@@ -16,8 +16,6 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
-from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -40,14 +38,18 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _INDEX = [_NAMES.index(n) for _, n in SCRIPTS]
 
 
-def script_of(word: str) -> int:
-    return _INDEX[bisect_right(_STARTS, ord(word[0])) - 1]
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of the word's trigrams, its ends marked."""
-    b = f"^{word}$"
-    return [zlib.crc32(b[i : i + 3].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for i in range(len(b) - 2)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words' trigrams with their ends marked, one word after another; each word's first place; its script."""
+    points = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 2)
+    with np.errstate(over="ignore"):
+        mixed = points[:-2] * np.uint64(0x9E3779B97F4A7C15) + points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + points[2:] * np.uint64(0x165667B19E3779F9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    inside = np.ones(len(points), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    scripts = np.asarray(_INDEX)[np.searchsorted(_STARTS, points[ends - sizes - 1], side="right") - 1]
+    return (mixed[inside[:-2]] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.cumsum(sizes) - sizes, scripts
 
 
 class Model:
@@ -64,9 +66,9 @@ class Model:
         self.uses = (share >= SCRIPT_SHARE).T
         self.uses[~self.uses.any(1)] = True
 
-    def score(self, word: str) -> np.ndarray:
-        s = self.logp[grams(word)].sum(0)
-        return np.where(self.uses[script_of(word)], s, np.float32(-1e6))
+    def score(self, words: list[str]) -> np.ndarray:
+        buckets, first, scripts = grams(words)
+        return np.where(self.uses[scripts], np.add.reduceat(self.logp[buckets], first, axis=0), np.float32(-1e6))
 
 
 def train(rows: DataFrame) -> Model:
@@ -76,9 +78,13 @@ def train(rows: DataFrame) -> Model:
     def table(words: dict[str, Counter]):
         for lang, seen in words.items():
             out = np.zeros(BUCKETS + len(_NAMES), np.int64)
-            for word, n in seen.items():
-                np.add.at(out, grams(word), n)
-                out[BUCKETS + script_of(word)] += n * len(word)
+            if not seen:
+                continue
+            known, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+            buckets, first, scripts = grams(known)
+            letters = np.diff(np.append(first, len(buckets)))
+            out[:BUCKETS] = np.bincount(buckets, np.repeat(times, letters), BUCKETS)
+            out[BUCKETS:] = np.bincount(scripts, times * letters, len(_NAMES))
             at = np.flatnonzero(out)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": out[at]})
 
@@ -131,28 +137,62 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PENAL
     return labels
 
 
+def stays(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> int:
+    """The language that the best path never leaves, or -1 if that is not certain.
+
+    A stretch in another language gains at most the largest sum of consecutive score differences. A path
+    of k such stretches has k - 1 changes or more, and k or more if it is ever in the best language, so
+    if no such sum reaches half the penalty every other path loses.
+    """
+    best = int(scores.sum(0, dtype=np.float64).argmax())
+    run = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
+    low = np.minimum.accumulate(np.concatenate((np.zeros((1, run.shape[1])), run[:-1])), axis=0)
+    return best if 2 * (run - low).max() < penalty else -1
+
+
+def label_words(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
+    """As :func:`viterbi`, which is run only for texts that may change language."""
+    ends = np.cumsum(sizes)
+    one = np.array([stays(scores[e - n : e], penalty) if n else -1 for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], np.int64)
+    labels = np.repeat(one, sizes)
+    open_texts = np.flatnonzero(one < 0)
+    if len(open_texts):
+        rows = labels < 0
+        labels[rows] = viterbi(scores[rows], sizes[open_texts], penalty)
+    return labels
+
+
 class _Words(dict):
-    """Word to row of ``scores``; words seen for the first time are scored."""
+    """Word to row of ``scores``; words seen for the first time get the next rows and are scored together."""
 
     def __init__(self, model: Model):
-        self.model, self.scores = model, []
+        self.model, self.fresh = model, []
+        self.scores, self.letters = np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
-        self[word] = k = len(self.scores)
-        self.scores.append(self.model.score(word))
+        self[word] = k = len(self)
+        self.fresh.append(word)
         return k
 
+    def settle(self) -> None:
+        if self.fresh:
+            self.scores = np.concatenate((self.scores, self.model.score(self.fresh).astype(np.float32)))
+            self.letters = np.concatenate((self.letters, np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))))
+            self.fresh = []
+
 
 def label_texts(texts: list[str | None], model: Model, cache: _Words) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
     """Language, share of letters in it and spans (language, first word, words) of each text."""
     words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    words = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in words]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     n, total = len(model.langs), int(sizes.sum())
     if not n or not total:
         return [(UNKNOWN, 0.0, [])] * len(texts)
-    rows = np.fromiter((cache[w] for ws in words for w in ws), np.int64, total)
-    letters = np.fromiter((len(w) for ws in words for w in ws), np.int64, total)
-    labels = viterbi(np.asarray(cache.scores, np.float32)[rows], sizes)
+    rows = np.concatenate([np.array(list(map(cache.__getitem__, ws)), np.int64) for ws in words])
+    cache.settle()
+    letters = cache.letters[rows]
+    labels = label_words(cache.scores[rows], sizes)
     doc = np.repeat(np.arange(len(words)), sizes)
     by = np.bincount(doc * n + labels, weights=letters, minlength=len(words) * n).reshape(-1, n)
     best, share = by.argmax(1), by.max(1) / np.maximum(by.sum(1), 1)
