@@ -129,27 +129,28 @@ def close_pairs(fps: np.ndarray, radius: int, tile: int = TILE):
 
 
 def _links(deal: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each deal, as a forest. Small deals are compared all at once, by distance."""
-    order = np.argsort(deal, kind="stable")
-    deal, fps = deal[order], fps[order]
+    """Links inside each deal, as a forest. Small deals are one tile each and are compared all at once, by distance."""
+    pop = np.bitwise_count(fps).astype(np.int64)
+    order = np.lexsort((pop, deal))
+    deal, fps, pop = deal[order], fps[order], pop[order]
     starts = np.flatnonzero(np.concatenate(([True], deal[1:] != deal[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(deal)])))
-    us, vs, held = [], [], 0
+    us, vs, held, most = [], [], 0, 2_000_000
 
     def take(u, v):
-        nonlocal us, vs, held
+        nonlocal us, vs, held, most
         us.append(u)
         vs.append(v)
         held += len(u)
-        if held > 2_000_000:
+        if held > most:
             u, v = _forest(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], len(u)
+            us, vs, held, most = [u], [v], len(u), max(most, 2 * len(u))
 
     small = np.repeat(sizes <= 48, sizes)
-    d, f = deal[small], fps[small]
+    d, f, p = deal[small], fps[small], pop[small]
     for step in range(1, int(sizes[sizes <= 48].max(initial=1))):
-        near = (d[:-step] == d[step:]) & (np.bitwise_count(f[:-step] ^ f[step:]) <= radius)
-        hit = np.flatnonzero(near)
+        pair = np.flatnonzero((d[:-step] == d[step:]) & (p[step:] - p[:-step] <= radius))
+        hit = pair[np.bitwise_count(f[pair] ^ f[pair + step]) <= radius]
         take(f[hit], f[hit + step])
     for at in np.flatnonzero(sizes > 48):
         own = fps[starts[at] : starts[at] + sizes[at]]
