@@ -64,6 +64,14 @@ def test_gcs_log_and_tree(spark, tmp_path):
     assert [(r["path"], r["bytes_out"]) for r in top] == [("tok", 9000)]
 
 
+def test_plug_ins_and_daily_csv(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("bucket,storage_byte_hours\nb,24\n")
+    assert access_logs.parse_storage_daily(spark, str(tmp_path / "d.csv")).collect()[0]["storage_byte_hours"] == "24"
+    access_logs.register_parser("mine", lambda spark, path, store: spark.range(1))
+    assert access_logs.parser_for("mine")(spark, "", "mine").count() == 1
+    access_logs.PARSERS.pop("mine")
+
+
 def test_rows_without_an_id(spark):
     rows = spark.createDataFrame([("a",), ("a",), (None,), (None,)], "request_id string")
     assert access_logs.dedupe(rows).count() == 3 and access_logs.dedupe(rows, strict_parity=True).count() == 2
