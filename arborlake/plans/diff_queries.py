@@ -11,7 +11,7 @@ from ._register import registrar
 QUERIES: dict = {}
 query = registrar(QUERIES)
 
-_PAIR = f"""{X.TWO}, j AS (SELECT coalesce(a.path, b.path) AS path, coalesce(b.kind, a.kind) AS kind, a.size AS size_a, b.size AS size_b, a.n_desc AS n_desc_a, b.n_desc AS n_desc_b,
+_PAIR = f"""{X.TWO}, j AS MATERIALIZED (SELECT coalesce(a.path, b.path) AS path, coalesce(b.kind, a.kind) AS kind, a.size AS size_a, b.size AS size_b, a.n_desc AS n_desc_a, b.n_desc AS n_desc_b,
   coalesce(b.size, 0) - coalesce(a.size, 0) AS size_delta, coalesce(b.n_desc, 0) - coalesce(a.n_desc, 0) AS n_desc_delta, CAST(coalesce(a.depth, b.depth) AS INT) AS depth,
   CASE WHEN contains(coalesce(a.path, b.path), '/') THEN regexp_replace(coalesce(a.path, b.path), '/[^/]*$', '') ELSE '' END AS up,
   CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.size <> b.size OR a.n_desc <> b.n_desc THEN 'changed' ELSE 'unchanged' END AS status,
@@ -20,7 +20,7 @@ _PAIR = f"""{X.TWO}, j AS (SELECT coalesce(a.path, b.path) AS path, coalesce(b.k
 _COLUMNS = "path, kind, status, size_a, size_b, n_desc_a, n_desc_b, size_delta, n_desc_delta"
 # reachable by levels: a top directory that is descendable, then descendable children of reachable ones
 _REACH = f"""{_PAIR}, r1 AS (SELECT path FROM j WHERE depth = 1 AND descend), r2 AS (SELECT j.path FROM j JOIN r1 ON j.up = r1.path WHERE descend), r3 AS (SELECT j.path FROM j JOIN r2 ON j.up = r2.path WHERE descend),
-r4 AS (SELECT j.path FROM j JOIN r3 ON j.up = r3.path WHERE descend), reach AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)"""
+r4 AS (SELECT j.path FROM j JOIN r3 ON j.up = r3.path WHERE descend), reach AS MATERIALIZED (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)"""
 _SHOWN = f"SELECT {_COLUMNS}, depth, path IN (SELECT path FROM reach) AS expanded, false AS pruned FROM j WHERE path <> '.' AND (up = '' OR up IN (SELECT path FROM reach))"
 
 
@@ -75,14 +75,14 @@ def diverging_scale(spark, sf_dir):
     return diff.diverging(rows).select("path", "size_delta", F.round("t", 9).alias("t"))
 
 
-@query(f"""WITH {_REACH}, s0 AS (SELECT path, up, status, size_delta, greatest(coalesce(size_a, 0), coalesce(size_b, 0)) AS own, depth FROM ({_SHOWN.replace("SELECT path,", "SELECT path, up,", 1)} AND status <> 'unchanged')),
+@query(f"""WITH {_REACH}, s0 AS MATERIALIZED (SELECT path, up, status, size_delta, greatest(coalesce(size_a, 0), coalesce(size_b, 0)) AS own, depth FROM ({_SHOWN.replace("SELECT path,", "SELECT path, up,", 1)} AND status <> 'unchanged')),
 anc AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM s0),
-s AS (SELECT * FROM s0 UNION ALL SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END, 'unchanged', 0, 0, CAST(length(path) - length(replace(path, '/', '')) + 1 AS INT) FROM anc WHERE path NOT IN (SELECT path FROM s0)),
-w5 AS (SELECT *, own AS weight, NULL::BIGINT AS kids FROM s WHERE depth = 5), k5 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w5 GROUP BY 1),
-w4 AS (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k5 k ON s.path = k.path WHERE depth = 4), k4 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w4 GROUP BY 1),
-w3 AS (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k4 k ON s.path = k.path WHERE depth = 3), k3 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w3 GROUP BY 1),
-w2 AS (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k3 k ON s.path = k.path WHERE depth = 2), k2 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w2 GROUP BY 1),
-w1 AS (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k2 k ON s.path = k.path WHERE depth = 1), w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4 UNION ALL SELECT * FROM w5)
+s AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END, 'unchanged', 0, 0, CAST(length(path) - length(replace(path, '/', '')) + 1 AS INT) FROM anc WHERE path NOT IN (SELECT path FROM s0)),
+w5 AS MATERIALIZED (SELECT *, own AS weight, NULL::BIGINT AS kids FROM s WHERE depth = 5), k5 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w5 GROUP BY 1),
+w4 AS MATERIALIZED (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k5 k ON s.path = k.path WHERE depth = 4), k4 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w4 GROUP BY 1),
+w3 AS MATERIALIZED (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k4 k ON s.path = k.path WHERE depth = 3), k3 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w3 GROUP BY 1),
+w2 AS MATERIALIZED (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k3 k ON s.path = k.path WHERE depth = 2), k2 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w2 GROUP BY 1),
+w1 AS MATERIALIZED (SELECT s.*, greatest(own, coalesce(k.kids, 0)) AS weight, k.kids FROM s LEFT JOIN k2 k ON s.path = k.path WHERE depth = 1), w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4 UNION ALL SELECT * FROM w5)
 SELECT path, depth, status, size_delta, weight FROM w UNION ALL SELECT path || '/(unchanged)', CAST(depth + 1 AS INT), 'filler', 0, weight - kids FROM w WHERE kids IS NOT NULL AND weight - kids > greatest(20.0, weight * 0.002)""")
 def diff_tree_weights(spark, sf_dir):
     rows = diff.recursive_diff(*X.two_snapshots(spark, sf_dir))
