@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..steps import materialise
 
 STATS = ["size", "n_desc", "n_children", "mtime"]
 
@@ -84,6 +85,7 @@ def recursive_diff(a: DataFrame, b: DataFrame, budget: int | None = None, max_de
     descend = (F.col("kind_a") == "dir") & (F.col("kind_b") == "dir") & (stats[0] | stats[1] | stats[2] | stats[3])
     rows = _measured(rows.withColumn("status", _status(True))).withColumn("depth", P.depth_of("path")).withColumn("parent", P.parent_of("path"))
     rows = rows.withColumn("descend", F.coalesce(descend, F.lit(False))).withColumn("kind", F.coalesce("kind_b", "kind_a"))
+    rows = materialise(rows.drop(*[f"{c}_{s}" for c in ("n_children", "mtime", "kind") for s in "ab"]), "diff-rows")  # one join, read by every step below
 
     dirs = rows.where("descend").select("path", "depth", "parent", F.abs("size_delta").alias("gain"))
     up = dirs.select("path", F.explode(F.filter(P.ancestors("path"), lambda p: p != "")).alias("up"))
@@ -162,16 +164,17 @@ def diff_weights(rows: DataFrame, mode: str = "max", gap_bytes: int = 1_000_000,
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     have = rows.select("path", "status", zero("size_a").alias("size_a"), zero("size_b").alias("size_b"), "size_delta")
+    have = materialise(have, "diff-shown")
     missing = have.select(F.explode(P.ancestors("path")).alias("path")).where("path <> ''").distinct().join(have, "path", "left_anti")
     nodes = have.unionByName(missing.select("path", F.lit("unchanged").alias("status"), *[F.lit(0).cast("long").alias(c) for c in ("size_a", "size_b", "size_delta")]))
     own = F.greatest("size_a", "size_b") if mode == "max" else F.abs("size_delta")
-    nodes = nodes.select("path", P.depth_of("path").alias("depth"), P.parent_of("path").alias("parent"), "status", "size_delta", own.cast("long").alias("own")).cache()
+    nodes = nodes.select("path", P.depth_of("path").alias("depth"), P.parent_of("path").alias("parent"), "status", "size_delta", own.cast("long").alias("own"))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     out, sums = None, None
     for d in range(deepest, 0, -1):
         level = nodes.where(F.col("depth") == d)
         level = level.join(sums, "path", "left") if sums is not None else level.withColumn("kids", F.lit(None).cast("long"))
-        level = level.withColumn("weight", F.greatest("own", F.coalesce("kids", F.lit(0))))
+        level = materialise(level.withColumn("weight", F.greatest("own", F.coalesce("kids", F.lit(0)))), "diff-level")
         sums = level.groupBy(F.col("parent").alias("path")).agg(F.sum("weight").alias("kids"))
         out = level if out is None else out.unionByName(level)
     if out is None:

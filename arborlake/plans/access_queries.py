@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import access
 from ..sources import access_logs
+from ..steps import new_path
 from ..streaming import access as stream
 from . import fixtures as X
 from ._register import registrar
@@ -127,18 +125,8 @@ def cost_summary(spark, sf_dir):
     return out.withColumn("period", F.col("period").cast("string"))
 
 
-def shared_path(spark) -> str:
-    """A path to write to that driver and executors share: in the session's shared folder, or a temporary one in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="arborlake-")
-    return f"{folder.rstrip('/')}/arborlake/stream-{os.urandom(8).hex()}"
-
-
 def _stream(spark, sf_dir, rows):
-    base = shared_path(spark)
+    base = new_path(spark, "stream")
     rows.write.parquet(f"{base}/in")
     return base, spark.read.parquet(f"{base}/in").schema
 
