@@ -1,49 +1,23 @@
-"""What the training-data operators share: the shared folder, materialised steps, text chunks."""
+"""What the training-data operators share: materialised steps, checksums, text chunks."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import materialise, shared_folder
+
 #: Bytes that count as white space in the operators' word and line rules: space and 09-0D.
 BLANKS = b" \t\n\x0b\x0c\r"
 
 ROOT = Path(__file__).resolve().parents[2]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is read from ``spark.checkpoint.dir``. Where that is unset a local session gets a
-    temporary folder; a cluster session must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and executors share")
-    folder = tempfile.mkdtemp(prefix="arborlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder as Parquet and read it back.
-
-    This cuts the lineage: a lost executor costs the unfinished step, not the steps before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arborlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver was started."""
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
