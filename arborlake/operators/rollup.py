@@ -44,14 +44,15 @@ def rollup(rows: DataFrame, scan_root: str, sums: dict[str, Column] | None = Non
     sums, maxes, xors = dict(sums or {}), dict(maxes or {}), dict(xors or {})
     extra = [*sums, *maxes, *xors]
     rows = rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("mtime", F.coalesce("mtime", F.lit(0)).cast("long"))
-    rows = rows.select("path", "size", "mtime", "kind", _weight().alias("__w"), *[c.alias(n) for n, c in {**sums, **maxes, **xors}.items()])
+    weight = ["__w"] if mean_mtime else []  # decimals are slow, so only where they are asked for
+    rows = rows.select("path", "size", "mtime", "kind", *[_weight().alias(w) for w in weight], *[c.alias(n) for n, c in {**sums, **maxes, **xors}.items()])
 
-    merged = [F.sum("size").alias("size"), F.max("mtime").alias("mtime"), F.sum("n_files").alias("n_files"), F.sum("n_other").alias("n_other"), F.sum("__w").alias("__w"), *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes], *[F.bit_xor(c).alias(c) for c in xors]]
+    merged = [F.sum("size").alias("size"), F.max("mtime").alias("mtime"), F.sum("n_files").alias("n_files"), F.sum("n_other").alias("n_other"), *[F.sum(w).alias(w) for w in weight], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes], *[F.bit_xor(c).alias(c) for c in xors]]
     at = F.when(F.col("kind") == "dir", F.col("path")).otherwise(P.parent_of("path"))
     other = ((F.col("kind") != "file") & (F.col("kind") != "dir")).cast("long")
-    own = rows.select(at.alias("dir"), (F.col("kind") == "file").cast("long").alias("n_files"), other.alias("n_other"), "size", "mtime", "__w", *extra)
+    own = rows.select(at.alias("dir"), (F.col("kind") == "file").cast("long").alias("n_files"), other.alias("n_other"), "size", "mtime", *weight, *extra)
     # the root exists whatever the input holds
-    root = rows.sparkSession.range(1).select(F.lit("").alias("dir"), *[F.lit(0).cast("long").alias(c) for c in ("n_files", "n_other", "size", "mtime")], F.lit(0).cast(_WIDE).alias("__w"), *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in extra])
+    root = rows.sparkSession.range(1).select(F.lit("").alias("dir"), *[F.lit(0).cast("long").alias(c) for c in ("n_files", "n_other", "size", "mtime")], *[F.lit(0).cast(_WIDE).alias(w) for w in weight], *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in extra])
     by_dir = own.unionByName(root).groupBy("dir").agg(*merged)
     spread = by_dir.select(F.explode(P.ancestors("dir", own=True)).alias("up"), "*")
     dirs = spread.groupBy("up").agg(*merged, F.sum(F.when(F.col("up") == F.col("dir"), F.col("n_files"))).alias("own_files"), F.sum(F.when(F.col("up") == F.col("dir"), F.col("n_other"))).alias("own_other"))
