@@ -18,7 +18,8 @@ def _col(c) -> Column:
 
 def canonical_key(name) -> Column:
     """Runs of slashes become one, a trailing slash goes, a leading one stays."""
-    return F.regexp_replace(F.regexp_replace(_col(name), "/+", "/"), "/$", "")
+    n = _col(name)
+    return F.when(is_sparse(n), F.regexp_replace(F.regexp_replace(n, "/+", "/"), "/$", "")).otherwise(n)
 
 
 def is_sparse(name) -> Column:
@@ -28,7 +29,8 @@ def is_sparse(name) -> Column:
 
 def parent_of(path) -> Column:
     """What stands before the last slash, else ``''``."""
-    return F.regexp_extract(_col(path), "(?s)^(.*)/[^/]*$", 1)
+    p = _col(path)
+    return F.when(F.contains(p, F.lit("/")), F.substr(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, "/", -1)) - 1)).otherwise("")
 
 
 def depth_of(path) -> Column:
