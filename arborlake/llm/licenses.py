@@ -1,11 +1,12 @@
 """License scans with a positional index of rare license words.
 
 The templates' words are indexed by position. The inverse document frequency of every template word
-is counted over the whole corpus. In a file the ``RARE`` rarest license words that it holds are looked
-up, at all their places; their postings vote for (template, place in the file minus place in the
-template). Places with enough votes are checked: one of the template's mandatory phrases must stand
-there and at least ``MATCH`` of the template's words must match, word by word. A match adds the
-template's label.
+is counted over the whole corpus. For each template of which a mandatory phrase stands in the file, the
+template's rarest words that the file holds are looked up, at all their places; they vote for places
+of the template in the file. As many words are looked up as may differ in a match, and two more, so
+every match has at least two votes and none is lost, however many notices a file holds. Places with two votes
+are checked: a mandatory phrase must stand there and at least ``MATCH`` of the template's words must
+match, word by word. A match adds the template's label.
 
 Beside it the base labels come from phrases whose words stand consecutively anywhere in the text.
 
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, ship, text_chunks
 
-RARE, MATCH = 6, 0.75
+MATCH = 0.75
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -79,33 +81,35 @@ def _stands(words: list[bytes], at: int, phrase: tuple[bytes, ...]) -> bool:
 
 
 class Index:
-    """Postings word -> [(template, position)] and each word's inverse document frequency."""
+    """Each template's positions, the rarest words first, and each word's inverse document frequency."""
 
     def __init__(self, rows: int, counts: dict[bytes, int]):
         self.idf = {w: math.log((1 + rows) / (1 + counts.get(w, 0))) for w in LICENSE_WORDS}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(_TEMPLATES):
-            for p, w in enumerate(words):
-                self.postings[w].append((t, p))
+        self.rarest = [sorted(range(len(t)), key=lambda p: (-self.idf[t[p]], t[p], p)) for _, t, _ in _TEMPLATES]
 
     def matches(self, words: list[bytes], places: dict[bytes, list[int]]) -> dict[str, float]:
         """Label -> share of the template's words that match at its best place."""
-        mine = [w for w in places if w in self.postings]
-        rare = sorted(mine, key=lambda w: (-self.idf[w], w))[:RARE]
-        votes: Counter = Counter()
-        for w in rare:
-            for t, p in self.postings[w]:
-                for at in places[w]:
-                    votes[t, at - p] += 1
         found: dict[str, float] = {}
-        for (t, offset), n in votes.items():
-            label, template, phrases = _TEMPLATES[t]
-            if n < 2 or found.get(label, 0) == 1:
+        for (label, template, phrases), rarest in zip(_TEMPLATES, self.rarest, strict=True):
+            if found.get(label, 0) == 1:
                 continue
-            lo, hi = max(offset, 0), min(offset + len(template), len(words))
-            share = sum(words[k] == template[k - offset] for k in range(lo, hi)) / len(template)
-            if share >= MATCH and any(_stands(words, k, p) for p in phrases for k in range(lo, hi)):
-                found[label] = max(found.get(label, 0), share)
+            starts = sorted({k for p in phrases for k in places.get(p[0], ()) if _stands(words, k, p)})
+            held = [p for p in rarest if template[p] in places]
+            # of the words that the file holds so many may differ in a match; two more agree at least twice
+            spare = math.floor((1 - MATCH) * len(template)) - (len(template) - len(held))
+            if not starts or spare < 0:
+                continue
+            votes = Counter(at - p for p in held[: spare + 2] for at in places[template[p]])
+            for offset, n in votes.items():
+                lo, hi = max(offset, 0), min(offset + len(template), len(words))
+                first = bisect_left(starts, lo)
+                if n < 2 or first == len(starts) or starts[first] >= hi:
+                    continue
+                share = sum(words[k] == template[k - offset] for k in range(lo, hi)) / len(template)
+                if share >= MATCH:
+                    found[label] = max(found.get(label, 0), share)
+                    if share == 1:
+                        break
         return found
 
 

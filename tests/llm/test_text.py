@@ -163,6 +163,35 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark)).count() == len(awkward()) and licenses.scan(frame(spark, [])).count() == 0
 
 
+def plain_labels(text):
+    """Every template at every place."""
+    words = licenses.words_of(text)
+    out = {}
+    for label, t, phrases in licenses.TEMPLATES:
+        t = t.encode().split()
+        for o in range(-len(t) + 1, len(words)):
+            span = range(max(o, 0), min(o + len(t), len(words)))
+            share = sum(words[k] == t[k - o] for k in span) / len(t)
+            if share >= licenses.MATCH and any(words[k : k + len(p.split())] == p.encode().split() for p in phrases for k in span):
+                out[label] = max(out.get(label, 0), share)
+    return out
+
+
+def test_licenses_of_files_with_several_notices(spark):
+    rnd = random.Random(4)
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    rare = "apache mozilla redistribution obtaining http www"
+    rows = [(0, " x ".join(texts), "en", "s", 1), (1, f"{texts[3]} licensed under cc by nc 4 0", "en", "s", 1), (2, f"{rare} y {texts[2]}", "en", "s", 1)]
+    for i in range(3, 150):
+        words = " ".join(rnd.choices(texts, k=rnd.randint(1, 4))).split()
+        rows.append((i, " ".join(rnd.choice([*licenses.TEMPLATES[1][1].split(), "z"]) if rnd.random() < 0.12 else w for w in words), "en", "s", 1))
+    for r in licenses.scan(frame(spark, rows)).collect():
+        want = plain_labels(rows[r["doc_id"]][1])
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert r["labels"] == ",".join(sorted(base | set(want))) and r["score"] == max([float(bool(base)), *want.values()])
+        assert r["doc_id"] or set(want) == {label for label, _, _ in licenses.TEMPLATES}
+
+
 # personal data
 
 BASE_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
