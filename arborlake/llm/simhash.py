@@ -232,6 +232,20 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, a number of its own for each row, and doc, the row with all columns; written, so that numbers stay."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The documents without those rows of each component (row, root) that are not its first by doc_id, null ids last."""
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").cast("long").alias("id"), F.col("row"))
+    placed = materialise(rows.select("row", order.alias("order")).join(roots, "row").select("row", "root", "order"), "placed")
+    first = placed.groupBy("root").agg(F.min("order")["row"].alias("row"))
+    gone = placed.select("row").join(first.select("row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents, all columns, of which one of each component stays: the one with its smallest doc_id."""
     n = "__simhash_"

@@ -133,3 +133,32 @@ def test_minimal_perfect_hash():
         assert not line_dedup.probe(shard, rng.integers(0, 2**63, 100).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)).any()
 
 
+
+
+def test_near_copies_at_five_words(spark):
+    """Every pair at 0.8 by brute force; one changed word at the end of a short text is enough to part the fingerprints."""
+    from arborlake.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(25):
+        words = [f"w{k}" for k in rng.integers(0, 500, rng.integers(40, 90))]
+        for _ in range(4):
+            copy = list(words)
+            for at in rng.integers(0, len(words), rng.integers(0, 3)):
+                copy[at] = "changed"
+            rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    grams = [set(zip(*[r[1].split()[k:] for k in range(5)], strict=False)) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for i, c in enumerate(label):
+        least.setdefault(c, i)
+    import corpus_pipeline
+
+    assert 25 < len(least) < 90
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect()} == set(least.values())
+    assert near_copies.keep_one(frame(spark, [])).count() == 0
