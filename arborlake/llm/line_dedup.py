@@ -185,9 +185,8 @@ def _rewrite_here(rows: DataFrame, held, shards: int, min_docs: int) -> DataFram
     return rows.mapInPandas(run, "doc_id string, text string, n_lines long, n_dropped long")
 
 
-def _rewrite_routed(rows: DataFrame, index: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """Each distinct text sends its hashes to the shards; texts meet their dropped lines by a 128-bit key."""
-    salts = 4 * partitions(rows.sparkSession)
+def _routed_lines(keyed: DataFrame, shards: int, salts: int) -> DataFrame:
+    """k1, k2, line, place, finger, shard, salt of each line of each distinct text, however many rows hold the text."""
 
     def hashes(batches):
         for pdf in batches:
@@ -198,6 +197,16 @@ def _rewrite_routed(rows: DataFrame, index: DataFrame, shards: int, min_docs: in
                 place, finger = _hashes([k for ks in keys for k in ks])
                 yield pd.DataFrame({"k1": np.repeat(part["k1"].to_numpy(), n), "k2": np.repeat(part["k2"].to_numpy(), n), "line": np.concatenate([np.arange(x) for x in n]) if n else [], "place": place.view(np.int64), "finger": finger.view(np.int64)})
 
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    lines = texts.mapInPandas(hashes, "k1 long, k2 long, line int, place long, finger long")
+    lines = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("place", 32), F.lit(shards)).cast("int"))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("k1", "line"), F.lit(salts)).cast("int"))
+
+
+def _rewrite_routed(rows: DataFrame, index: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """Each distinct text sends its hashes to the shards; texts meet their dropped lines by a 128-bit key."""
+    salts = 4 * partitions(rows.sparkSession)
+
     def look(key: tuple, lines: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if not len(arrays) or not len(lines):
             return lines.head(0)[["k1", "k2", "line"]]
@@ -205,8 +214,7 @@ def _rewrite_routed(rows: DataFrame, index: DataFrame, shards: int, min_docs: in
         return lines.loc[n >= min_docs, ["k1", "k2", "line"]]
 
     keyed = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
-    lines = keyed.select("k1", "k2", "text").mapInPandas(hashes, "k1 long, k2 long, line int, place long, finger long")
-    lines = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("place", 32), F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("k1"), F.lit(salts)).cast("int"))
+    lines = _routed_lines(keyed, shards, salts)
     spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     gone = lines.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(look, "k1 long, k2 long, line int")
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))

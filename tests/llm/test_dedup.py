@@ -162,3 +162,15 @@ def test_near_copies_at_five_words(spark):
     assert 25 < len(least) < 90
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect()} == set(least.values())
     assert near_copies.keep_one(frame(spark, [])).count() == 0
+
+
+def test_routed_lines_of_copies_do_not_meet(spark):
+    """Copies send their lines once, and the lines of one text are shared out."""
+    text = "\n".join(f"line {k}" for k in range(400))
+    rows = spark.createDataFrame([(text,)] * 200 + [("other",), (None,), (None,)], "text string")
+    keyed = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
+    sizes = [r["count"] for r in line_dedup._routed_lines(keyed, 1, 16).groupBy("shard", "salt").count().collect()]
+    assert sum(sizes) == 402 and max(sizes) < 80
+    docs = frame(spark, [(k, text, "en", "s", 1) for k in range(30)] + [(99, "line 7\nown", "en", "s", 1)])
+    a, b = (sorted(map(tuple, line_dedup.drop_common_lines(docs, broadcast_bytes=n).collect())) for n in (0, line_dedup.BROADCAST_BYTES))
+    assert a == b
