@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 
 import numpy as np
@@ -44,13 +45,21 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def added_tokens() -> dict[str, int]:
+    """The tokens that the tokenizer file adds to its vocabulary, each of which is one id wherever it stands."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @functools.cache
 def encoder(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens())
 
 
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -66,7 +75,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, patte
     known = vocabulary() if path is None or pattern is None else (path, pattern)
 
     def run(batches):
-        encode = encoder(*known).encode_ordinary
+        encode = functools.partial(encoder(*known).encode, allowed_special="all")
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             for a, b in text_chunks(texts):

@@ -119,3 +119,16 @@ def test_one_more_shard_moves_few():
 def test_sharding_of_nothing(spark):
     assert sharding.assign_shards(frame(spark, [])).count() == 0
     assert sharding.assign_shards(frame(spark)).count() == len(awkward())
+
+
+def test_added_tokens_are_one_id(spark):
+    """The ids of the tokenizer file at its default settings."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["x<|endoftext|>", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n", "<|endoftext |>", " <|ENDOFTEXT|>", "no such token", ""]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)])).collect()}
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
