@@ -13,7 +13,7 @@ benchmark takes more passes, not a larger broadcast.
 
 Defined results: null texts hold no words and are clean; items with fewer than ``SPAN`` words have no
 seed and are never found; documents that share a ``doc_id`` are one document here; a null ``doc_id`` is
-a value like any other; extra columns are ignored; an empty table gives an empty result.
+a value like any other; ``drop_contaminated`` judges each row by itself, whatever its id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import numbered
+
 SPAN = 8
 #: The positions that each mask looks at.
 MASKS = [(0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7)]
@@ -72,7 +74,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, that hold no passage of the benchmark."""
-    n = "__decontamination_"
-    gone = find_overlaps(docs, benchmark, similarity).select(F.col("doc_id").alias(f"{n}id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[f"{n}id"]), "left_anti")
-    return kept.select(*docs.columns)
+    rows = numbered(docs)
+    found = find_overlaps(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, similarity)
+    kept = rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

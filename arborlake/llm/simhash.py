@@ -247,9 +247,7 @@ def keep_first(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents, all columns, of which one of each component stays: the one with its smallest doc_id."""
-    n = "__simhash_"
-    found = simhash_components(docs, width, radius)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{n}id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[f"{n}id"]), "left_anti")
-    return kept.select(*docs.columns)
+    """The documents, all columns, of which one row of each component stays: the one with its smallest doc_id."""
+    rows = numbered(docs)
+    found = simhash_components(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), width, radius)
+    return keep_first(docs, rows, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")))

@@ -174,3 +174,21 @@ def test_routed_lines_of_copies_do_not_meet(spark):
     docs = frame(spark, [(k, text, "en", "s", 1) for k in range(30)] + [(99, "line 7\nown", "en", "s", 1)])
     a, b = (sorted(map(tuple, line_dedup.drop_common_lines(docs, broadcast_bytes=n).collect())) for n in (0, line_dedup.BROADCAST_BYTES))
     assert a == b
+
+
+def test_rows_not_ids_are_removed(spark):
+    """Null and repeated ids on copies, clean texts and contaminated ones."""
+    import corpus_pipeline
+    from arborlake.llm import decontamination
+
+    from .helpers import BASE, ITEM
+
+    other = " ".join(f"n{k}" for k in range(40))
+    texts = [(1, BASE), (None, BASE), (None, "clean one"), (None, "a second clean text"), (2, other), (2, other), (2, "under the id of two more")]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in texts])
+    want = Counter([(1, BASE), (None, "clean one"), (None, "a second clean text"), (2, other), (2, "under the id of two more")])
+    for kept in (simhash.keep_one(docs), corpus_pipeline.near(spark, docs, "")):
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    mixed = frame(spark, [(i, t, "en", "s", 1) for i, t in [(None, ITEM), (None, "clean"), (3, ITEM), (3, "clean")]])
+    assert Counter((r["doc_id"], r["text"]) for r in decontamination.drop_contaminated(mixed, bench).collect()) == Counter([(None, "clean"), (3, "clean")])
