@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..steps import materialise
 
 
 def prefix_weights(listing: DataFrame) -> DataFrame:
@@ -16,18 +17,25 @@ def prefix_weights(listing: DataFrame) -> DataFrame:
     return one.unionByName(two).groupBy("prefix").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
-def key_ranges(listing: DataFrame, prefix: str, k: int, sample: int = 500_000, seed: int = 0) -> DataFrame:
+def key_ranges(listing: DataFrame, prefix: str, k: int) -> DataFrame:
     """tile, first_key: where to cut the keys below a heavy prefix into ``k`` ranges of equal weight.
 
-    The quantiles come from at most about ``sample`` keys, chosen by hash. Fewer distinct keys than
-    ranges leave the prefix whole.
+    The cuts are exact: keys are dealt by range, sorted and numbered in each partition, and the cuts' ranks
+    are found by the partitions' counts. Fewer distinct keys than ranges leave the prefix whole.
     """
+    spark = listing.sparkSession
     keys = listing.where(F.startswith("name", F.lit(prefix))).select("name")
-    n = keys.count()
-    if n > sample:
-        keys = keys.where(F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    w = Window.orderBy("name")  # over the bounded sample only
-    tiles = keys.select("name", F.ntile(k).over(w).alias("tile")).groupBy("tile").agg(F.min("name").alias("first_key"))
+    dealt = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").sortWithinPartitions("name")
+    dealt = materialise(dealt.select("name", F.monotonically_increasing_id().alias("at")), "key-ranges")
+    held = sorted((r["part"], r["n"]) for r in dealt.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    small, more = divmod(sum(n for _, n in held), k)
+    cuts, before = [], 0
+    ranks = [(t + 1, t * small + min(t, more)) for t in range(k if small else more)]
+    for part, n in held:
+        cuts += [(t, (part << 33) + rank - before) for t, rank in ranks if before <= rank < before + n]
+        before += n
+    wanted = F.broadcast(spark.createDataFrame(cuts, "tile int, at long"))
+    tiles = dealt.join(wanted, "at").select("tile", F.col("name").alias("first_key"))
     if tiles.select("first_key").distinct().count() < k:
         return tiles.where("tile = 1")
     return tiles
