@@ -12,7 +12,7 @@ benchmark side is broadcast in parts of at most ``PART_WORDS`` words (checked by
 benchmark takes more passes, not a larger broadcast.
 
 Defined results: null texts hold no words and are clean; items with fewer than ``SPAN`` words have no
-seed and are never found; documents that share a ``doc_id`` are one document here; a null ``doc_id`` is
+seed and are never found; items with a null ``item_id`` are found like others; documents that share a ``doc_id`` are one document here; a null ``doc_id`` is
 a value like any other; ``drop_contaminated`` judges each row by itself, whatever its id; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -52,14 +52,15 @@ def _positions(df: DataFrame, words: str) -> DataFrame:
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, item_id, n_hits, n_matched, share: the best window of each item found in a document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")).distinct()
+    items = items.withColumn("key", F.xxhash64("item_id", "item"))  # of null ids as well; a clash is only one more place to check
     total = items.agg(F.sum(F.size("item"))).first()[0] or 0
     parts = max(1, -(-total // part_words))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
 
     def against(part: DataFrame) -> DataFrame:
-        seeds = _positions(part, "item").select("item_id", F.col("at").alias("item_at"), F.explode(_seeds("item", "at")).alias("seed"))
+        seeds = _positions(part, "item").select("key", F.col("at").alias("item_at"), F.explode(_seeds("item", "at")).alias("seed"))
         places = _positions(texts, "words").select("doc_id", "words", "at", F.explode(_seeds("words", "at")).alias("seed"))
-        hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(part), "item_id")
+        hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(part), "key")
         first = F.greatest(F.lit(0), F.col("item_at") - BEFORE)
         window = F.slice("item", first + 1, F.lit(WINDOW))
         shift = F.col("at") - F.col("item_at") + first
@@ -67,7 +68,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         checked = hits.select("doc_id", "item_id", agree.alias("n_matched"), (agree / F.size(window)).alias("share"))
         return checked.where(F.col("share") >= similarity)
 
-    found = [against(items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)) for p in range(parts)]
+    found = [against(items if parts == 1 else items.where(F.pmod(F.col("key"), F.lit(parts)) == p)) for p in range(parts)]
     hits = reduce(DataFrame.unionByName, found)
     return hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("n_matched").cast("long").alias("n_matched"), F.max("share").alias("share"))
 

@@ -279,3 +279,8 @@ def test_contaminated_documents_go(spark):
     assert kept.count() == len(awkward()) - 2 and kept.columns == docs.columns
     assert decontamination.drop_contaminated(frame(spark, []), bench(spark, [(1, ITEM)])).count() == 0
     assert decontamination.drop_contaminated(docs, bench(spark, [(1, ITEM)]).limit(0)).count() == len(awkward())
+
+
+def test_items_without_an_id(spark):
+    found = decontamination.find_overlaps(frame(spark, clash=False), bench(spark, [(None, ITEM), (1, "an item of eight words that is clean")])).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(9, None)}
