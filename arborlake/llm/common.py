@@ -43,7 +43,7 @@ def text_chunks(texts, limit: int = 4_000_000):
     """
     start, held = 0, 0
     for k, text in enumerate(texts):
-        n = len(text) if text else 0
+        n = 0 if text is None else len(text)
         if held and held + n > limit:
             yield start, k
             start, held = k, 0

@@ -7,10 +7,13 @@ the outputs of the two tokens before it: the model predicts a vector, the sum of
 times a matrix for its place, and a token's score is that vector's product with the token's output
 embedding plus a bias.
 
-Training is noise-contrastive, in numpy, on every training token: in each of ``ROUNDS`` rounds tasks
-train on their own rows of that round, starting from the shared parameters, and Spark averages what
-they learnt by parameter, weighted by tokens. A task with few tokens (a small table) repeats them, at
-most ``PASSES`` times. Parameters have a fixed size.
+Every text is encoded once: its outputs are written as an array of two bytes a token, and training and
+scoring read those arrays. Training is noise-contrastive, in numpy, on every training token: in each of
+``ROUNDS`` rounds tasks train on their own rows of that round, ``PASSES`` times over, in batches of
+``BATCH``, starting from the shared parameters. Rows are dealt to tasks of about ``TASK_TOKENS`` tokens by
+a hash of their number, so a large table has more tasks and the same schedule in each. What the tasks
+learnt is averaged, weighted by tokens, in a tree of at most ``FAN`` parameter vectors a task. Parameters
+have a fixed size.
 
 Scoring is normalised exactly: batched matrix products give the logarithm of the sum over all outputs
 for every context, once, in Spark; the sum of a token's two products is read from two tables. What a
@@ -39,9 +42,10 @@ from pyspark.sql import functions as F
 from .common import crc32_of_id, lower_ascii, materialise, ship, text_chunks
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-TOP, TAILS, DIM = 1000, 128, 24
+TOP, TAILS, DIM = 2000, 256, 32
 LOCAL = 1 << 18
-ROUNDS, BATCH, NOISE, RATE, PASSES = 2, 4096, 48, 0.15, 6
+ROUNDS, PASSES, BATCH, NOISE, RATE = 2, 2, 512, 48, 0.1
+TASK_TOKENS, FAN = 2_000_000, 32
 SEED = 11
 N_OUT = 1 + TOP + TAILS
 
@@ -65,15 +69,16 @@ class Vocabulary:
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """word and n over all rows, combined in each task first."""
+    """word and n over all rows, combined in each task first; the empty word counts the rows."""
     ship(train.sparkSession)
 
     def run(batches):
         seen: Counter = Counter()
         for pdf in batches:
+            seen[b""] += len(pdf)
             for text in pdf["text"]:
                 seen.update(WORD.findall(lower_ascii(text or "")))
-                if len(seen) > 300_000:
+                if len(seen) > 200_000:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen.clear()
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
@@ -85,7 +90,7 @@ def _cutoff(counts: DataFrame, most: int) -> int:
     """The smallest count that at most ``most`` words reach."""
     left = most
     least = 1
-    by_n = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(most)
+    by_n = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(most + 1)
     for r in by_n.toLocalIterator():
         if r["words"] > left:
             return max(least, r["n"] + 1)
@@ -93,8 +98,10 @@ def _cutoff(counts: DataFrame, most: int) -> int:
     return least
 
 
-def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
-    """``counts`` is materialised; ``texts`` is the number of training rows, each with one end."""
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """``counts`` is what :func:`count_words` returns, materialised."""
+    rows = counts.where(F.octet_length("word") == 0).first()
+    texts, counts = rows["n"] if rows else 0, counts.where(F.octet_length("word") > 0)
     tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS)).cast("int")
     local = sorted(((-r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= _cutoff(counts, LOCAL)).collect()))
     place = {w: k for k, (_, w) in enumerate(local)}
@@ -118,7 +125,7 @@ def encode(text: str | None, vocab: Vocabulary, tails: dict[bytes, int]) -> tupl
     words = WORD.findall(lower_ascii(text or ""))
     get = vocab.place.get
     at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    out = np.zeros(len(words) + 1, np.int32)
+    out = np.zeros(len(words) + 1, np.int16)
     rest = np.flatnonzero(at < 0)
     out[:-1] = vocab.output[at] if len(vocab.output) else 0
     rare = [words[k] for k in rest.tolist()]
@@ -131,16 +138,22 @@ def encode(text: str | None, vocab: Vocabulary, tails: dict[bytes, int]) -> tupl
 
 def _contexts(outs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and second context and token, over all texts; a text starts after ends (output 0)."""
-    padded = np.concatenate([np.concatenate((np.zeros(2, np.int32), o)) for o in outs]) if outs else np.zeros(2, np.int32)
+    if not outs:
+        return (np.zeros(0, np.int16),) * 3
+    start = np.zeros(2, np.int16)
+    padded = np.concatenate([x for o in outs for x in (start, o)])
     sizes = np.fromiter((len(o) for o in outs), np.int64, len(outs))
-    at = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(1, len(outs) + 1), sizes)
+    token = np.ones(len(padded), bool)
+    first = np.cumsum(sizes + 2) - sizes - 2
+    token[first] = token[first + 1] = False
+    at = np.flatnonzero(token)
     return padded[at - 2], padded[at - 1], padded[at]
 
 
 class Model:
-    """Parameters as one vector, so that they can be averaged place by place."""
+    """Parameters as one vector, so that they can be averaged place by place. An outer row ends with its bias."""
 
-    SHAPES = [("inner", (N_OUT, DIM)), ("outer", (N_OUT, DIM)), ("first", (DIM, DIM)), ("second", (DIM, DIM)), ("bias", (N_OUT,))]
+    SHAPES = [("inner", (N_OUT, DIM)), ("outer", (N_OUT, DIM + 1)), ("first", (DIM, DIM)), ("second", (DIM, DIM))]
     SIZE = sum(math.prod(s) for _, s in SHAPES)
 
     def __init__(self, flat: np.ndarray):
@@ -156,12 +169,23 @@ class Model:
         model = cls(rng.normal(0, 0.1, cls.SIZE))
         share = (output_count + 0.5) / (output_count + 0.5).sum()
         model.first[:], model.second[:] = 0.5 * np.eye(DIM), 0.5 * np.eye(DIM)
-        model.bias[:] = np.log(share)
+        model.outer[:, DIM] = np.log(share)
         return model
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Product of each (context, output), for either place; the bias is in the second."""
-        return self.inner @ self.first @ self.outer.T, self.inner @ self.second @ self.outer.T + self.bias
+        vectors, bias = self.outer[:, :DIM], self.outer[:, DIM]
+        return self.inner @ self.first @ vectors.T, self.inner @ self.second @ vectors.T + bias
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and their sums of values; 16-bit rows are sorted by radix."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    last = np.flatnonzero(np.concatenate((rows[1:] != rows[:-1], [True])))
+    sums = np.cumsum(values[order], axis=0)[last]
+    sums[1:] -= sums[:-1].copy()
+    return rows[last], sums
 
 
 class Trainer:
@@ -170,151 +194,162 @@ class Trainer:
     def __init__(self, model: Model, output_count: np.ndarray, rng: np.random.Generator):
         self.m, self.rng = model, rng
         share = (output_count + 0.5) / (output_count + 0.5).sum()
-        self.log_noise, self.steps = np.log(share).astype(np.float32), np.cumsum(share)
+        self.log_noise, self.steps = (np.log(share) + math.log(NOISE)).astype(np.float32), np.cumsum(share)
         self.seen = {name: np.full(shape, 1e-2, np.float32) for name, shape in Model.SHAPES}
 
-    def _move(self, name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
+    def _move(self, name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         own, seen = getattr(self.m, name), self.seen[name]
-        if rows is None:
-            seen += grad * grad
-            own -= RATE * grad / np.sqrt(seen)
-        else:
-            seen[rows] += grad * grad
-            own[rows] -= RATE * grad / np.sqrt(seen[rows])
-
-    @staticmethod
-    def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
-        sorted_rows = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        return sorted_rows[first], np.add.reduceat(grad[order], first, axis=0)
+        total = seen[rows] + grad * grad
+        seen[rows] = total
+        own[rows] -= np.float32(RATE) * grad / np.sqrt(total)
 
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         m, n = self.m, len(w)
-        noise = np.searchsorted(self.steps, self.rng.random(NOISE)).clip(0, N_OUT - 1)
-        ra, rb = m.inner[a], m.inner[b]
-        q = ra @ m.first + rb @ m.second
-        shift = math.log(NOISE)
-        real = np.einsum("nd,nd->n", q, m.outer[w]) + m.bias[w] - self.log_noise[w] - shift
-        fake = q @ m.outer[noise].T + m.bias[noise] - self.log_noise[noise] - shift
-        g_real = (-1 / (1 + np.exp(np.clip(real, -30, 30)))) / n
-        g_fake = (1 / (1 + np.exp(np.clip(-fake, -30, 30)))) / n
-        dq = g_real[:, None] * m.outer[w] + g_fake @ m.outer[noise]
-        rows, grad = self._by_row(np.concatenate((w, noise)), np.concatenate((g_real[:, None] * q, g_fake.T @ q)))
-        b_rows, b_grad = self._by_row(np.concatenate((w, noise)), np.concatenate((g_real, g_fake.sum(0))))
-        i_rows, i_grad = self._by_row(np.concatenate((a, b)), np.concatenate((dq @ m.first.T, dq @ m.second.T)))
+        noise = np.searchsorted(self.steps, self.rng.random(NOISE)).clip(0, N_OUT - 1).astype(np.int16)
+        ra, rb, rw, rn = m.inner[a], m.inner[b], m.outer[w], m.outer[noise]
+        q = np.ones((n, DIM + 1), np.float32)
+        q[:, :DIM] = ra @ m.first + rb @ m.second
+        real = (q * rw).sum(1) - self.log_noise[w]
+        fake = q @ rn.T - self.log_noise[noise]
+        g_real = np.float32(-1 / n) / (1 + np.exp(np.clip(real, -30, 30)))
+        np.exp(np.clip(-fake, -30, 30, out=fake), out=fake)
+        g_fake = np.float32(1 / n) / (1 + fake)
+        dq = np.ascontiguousarray((g_real[:, None] * rw + g_fake @ rn)[:, :DIM])
+        outer = _by_row(np.concatenate((w, noise)), np.concatenate((g_real[:, None] * q, g_fake.T @ q)))
+        inner = _by_row(np.concatenate((a, b)), np.concatenate((dq @ m.first.T, dq @ m.second.T)))
         d_first, d_second = ra.T @ dq, rb.T @ dq
-        self._move("outer", grad, rows)
-        self._move("bias", b_grad, b_rows)
-        self._move("inner", i_grad, i_rows)
+        self._move("outer", outer[1], outer[0])
+        self._move("inner", inner[1], inner[0])
         self._move("first", d_first)
         self._move("second", d_second)
 
 
-def train(rows: DataFrame, vocab: Vocabulary) -> Model:
-    """Every row trains once, in the round that its id's checksum names."""
-    spark = rows.sparkSession
+def _mean(batches):
+    """One weighted mean of parameter vectors."""
+    total, tokens = np.zeros(Model.SIZE), 0
+    for pdf in batches:
+        for flat, n in zip(pdf["flat"], pdf["tokens"], strict=True):
+            total += np.frombuffer(flat, np.float32) * float(n)
+            tokens += n
+    if tokens:
+        yield pd.DataFrame({"flat": [(total / tokens).astype(np.float32).tobytes()], "tokens": [tokens]})
+
+
+def train(coded: DataFrame, output_count: np.ndarray, tokens: int) -> Model:
+    """``coded``: row and outs of the training rows. Every row trains in the round that its number's hash names."""
+    spark = coded.sparkSession
     ship(spark)
-    model = Model.start(vocab.output_count)
-    known = spark.sparkContext.broadcast(vocab)
-    turn = F.pmod(F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/round")).cast("binary")), F.lit(ROUNDS))
+    model = Model.start(output_count)
+    parts = max(1, -(-tokens // (ROUNDS * TASK_TOKENS)))
     for k in range(ROUNDS):
-        now = spark.sparkContext.broadcast(model.flat)
+        now = spark.sparkContext.broadcast((model.flat, output_count))
 
         def run(batches, now=now, k=k):
-            trainer = Trainer(Model(now.value.copy()), known.value.output_count, np.random.default_rng([SEED, k]))
-            tails: dict[bytes, int] = {}
-            tokens = 0
-            for pdf in batches:
-                texts = pdf["text"].tolist()
-                for x, y in text_chunks(texts, 3_000_000):
-                    a, b, w = _contexts([encode(t, known.value, tails)[0] for t in texts[x:y]])
-                    # a task with few tokens takes smaller batches and sees them more than once
-                    batch = min(BATCH, max(64, len(w) // 128))
-                    for _ in range(1 if tokens else min(PASSES, max(1, 400_000 // max(len(w), 1)))):
-                        order = trainer.rng.permutation(len(w))
-                        x1, x2, y1 = a[order], b[order], w[order]
-                        for s in range(0, len(w), batch):
-                            trainer.step(x1[s : s + batch], x2[s : s + batch], y1[s : s + batch])
-                    tokens += len(w)
-            if tokens:
-                flat = trainer.m.flat.astype(np.float64)
-                yield pd.DataFrame({"at": np.arange(len(flat)), "value": flat * tokens, "tokens": tokens})
-
-        text = rows.where(turn == k).select(F.col("text").cast("string").alias("text"))
-        mean = text.mapInPandas(run, "at int, value double, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
-        if mean:
-            flat = np.zeros(Model.SIZE)
-            for r in mean:
-                flat[r["at"]] = r["value"]
-            model = Model(flat)
+            flat, counts = now.value
+            outs = [np.frombuffer(o, np.int16) for pdf in batches for o in pdf["outs"]]
+            a, b, w = _contexts(outs)
+            if not len(w):
+                return
+            trainer = Trainer(Model(flat.copy()), counts, np.random.default_rng([SEED, k]))
+            for _ in range(PASSES):
+                order = trainer.rng.permutation(len(w))
+                for s in range(0, len(w), BATCH):
+                    take = order[s : s + BATCH]
+                    trainer.step(a[take], b[take], w[take])
+            yield pd.DataFrame({"flat": [trainer.m.flat.tobytes()], "tokens": [len(w)]})
+
+        kind = "flat binary, tokens long"
+        mine = coded.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k).select("outs", F.xxhash64("row", F.lit(1)).alias("deal"))
+        learnt, n = mine.repartition(parts, "deal").select("outs").mapInPandas(run, kind), parts
+        while n > FAN:
+            n = -(-n // FAN)
+            learnt = learnt.repartition(n).mapInPandas(_mean, kind)
+        rows = learnt.collect()  # at most FAN vectors
+        if rows:
+            mean = next(_mean([pd.DataFrame({"flat": [bytes(r["flat"]) for r in rows], "tokens": [r["tokens"] for r in rows]})]))
+            model = Model(np.frombuffer(mean["flat"][0], np.float32))
     return model
 
 
 def log_sums(spark, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log of the sum of exp over all outputs, for each pair of contexts: Spark does a row each."""
+    """log of the sum of exp over all outputs, for each pair of contexts: Spark does blocks of rows."""
     shared = spark.sparkContext.broadcast(tables)
 
     def run(batches):
         one, two = shared.value
-        scaled = np.exp(two - two.max(1, keepdims=True))
         top = two.max(1)
+        scaled = np.exp(two - top[:, None])
         for pdf in batches:
-            for a in pdf["id"].tolist():
-                peak = one[a].max()
-                sums = scaled @ np.exp(one[a] - peak)
-                yield pd.DataFrame({"a": [a], "z": [(np.log(sums) + peak + top).astype(np.float64)]})
+            for block in np.array_split(pdf["id"].to_numpy(), max(1, -(-len(pdf) // 128))):
+                peak = one[block].max(1)
+                sums = np.exp(one[block] - peak[:, None]) @ scaled.T
+                z = np.log(np.maximum(sums, 1e-30)) + peak[:, None] + top[None, :]
+                yield pd.DataFrame({"a": block, "z": [r.tobytes() for r in z.astype(np.float32)]})
 
     out = np.zeros((N_OUT, N_OUT), np.float32)
-    for r in spark.range(N_OUT).repartition(12).mapInPandas(run, "a long, z array<double>").collect():
-        out[r["a"]] = r["z"]
+    for r in spark.range(0, N_OUT, 1, 12).mapInPandas(run, "a long, z binary").toLocalIterator():
+        out[r["a"]] = np.frombuffer(r["z"], np.float32)
     return out
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def encoded(docs: DataFrame, is_held, vocab: Vocabulary) -> DataFrame:
+    """Every row once: its outputs, and the parts of its scores that need no model. Written, so that row numbers stay."""
     spark = docs.sparkSession
-    ship(spark)
-    is_held = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == held
-    training = docs.where(~is_held)
-    counts = materialise(count_words(training), "word-counts")
-    vocab = vocabulary(counts, training.count())
-    model = train(training, vocab)
-    tables = model.tables()
     known = spark.sparkContext.broadcast(vocab)
-    scored = spark.sparkContext.broadcast((*tables, log_sums(spark, tables)))
-    ln10 = math.log(10)
 
     def run(batches):
-        voc, (one, two, sums) = known.value, scored.value
+        voc = known.value
         tails: dict[bytes, int] = {}
         for pdf in batches:
             texts, ids, helds = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["held_out"].to_numpy()
             for x, y in text_chunks(texts, 3_000_000):
                 coded = [encode(t, voc, tails) for t in texts[x:y]]
                 sizes = np.fromiter((len(c[0]) for c in coded), np.int64, len(coded))
-                a, b, w = _contexts([c[0] for c in coded])
-                logp = (one[a, w] + two[b, w] - sums[a, b]).astype(np.float64) / ln10
-                logp -= np.where(w > TOP, voc.class_size[np.maximum(w - 1 - TOP, 0)], 0)
+                w = np.concatenate([c[0] for c in coded])
                 at = np.concatenate([np.concatenate((c[1], [-2])) for c in coded])
                 count = np.where(at >= 0, voc.log_count[at] if len(voc.log_count) else 0.0, 0.0)
                 count[at == -2] = voc.end_log_count
-                logp += np.where((w > TOP), count, 0)
+                share = np.where(w > TOP, count - voc.class_size[np.maximum(w - 1 - TOP, 0)], 0.0)
                 first = np.cumsum(sizes) - sizes
-                rare = [Counter(c[2]) for c in coded]
                 yield pd.DataFrame({
                     "doc_id": ids[x:y], "held_out": helds[x:y], "n_tokens": sizes,
                     "n_local": np.add.reduceat((at >= 0).astype(np.int64), first) + (voc.end_log_count > 0),
-                    "counts": np.add.reduceat(count, first), "logp": np.add.reduceat(logp, first),
-                    "rare": [[{"word": k, "n": n} for k, n in r.items()] for r in rare],
+                    "counts": np.add.reduceat(count, first), "share": np.add.reduceat(share, first),
+                    "rare": [[{"word": k, "n": n} for k, n in Counter(c[2]).items()] for c in coded],
+                    "outs": [c[0].tobytes() for c in coded],
                 })
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), is_held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id string, held_out boolean, n_tokens long, n_local long, counts double, logp double, rare array<struct<word:binary,n:long>>"
-    parts = materialise(rows.mapInPandas(run, kind).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+    kind = "doc_id string, held_out boolean, n_tokens long, n_local long, counts double, share double, rare array<struct<word:binary,n:long>>, outs binary"
+    return materialise(rows.mapInPandas(run, kind).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    spark = docs.sparkSession
+    ship(spark)
+    is_held = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == held
+    counts = materialise(count_words(docs.where(~is_held)), "word-counts")
+    vocab = vocabulary(counts)
+    coded = encoded(docs, is_held, vocab)
+    model = train(coded.where("not held_out").select("row", "outs"), vocab.output_count, vocab.tokens)
+    tables = model.tables()
+    scored = spark.sparkContext.broadcast((*tables, log_sums(spark, tables)))
+
+    def run(batches):
+        one, two, sums = scored.value
+        for pdf in batches:
+            outs = [np.frombuffer(o, np.int16) for o in pdf["outs"]]
+            for x, y in text_chunks(outs, 1_000_000):
+                a, b, w = _contexts(outs[x:y])
+                sizes = np.fromiter((len(o) for o in outs[x:y]), np.int64, y - x)
+                logp = (one[a, w] + two[b, w] - sums[a, b]).astype(np.float64) / math.log(10)
+                yield pd.DataFrame({"row": pdf["row"].iloc[x:y].to_numpy(), "logp": np.add.reduceat(logp, np.cumsum(sizes) - sizes)})
+
+    light = coded.select("row", "doc_id", "held_out", "n_tokens", "n_local", "counts", "share")
+    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("n_more"))
-    out = parts.drop("rare").join(found, "row", "left")
+    out = light.join(coded.select("row", "outs").mapInPandas(run, "row long, logp double"), "row").join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     base = F.col("counts") + more - F.col("n_tokens") * math.log10(vocab.tokens + vocab.types + 1)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("n_local") + F.coalesce("n_more", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logp") + more).alias("score"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("n_local") + F.coalesce("n_more", F.lit(0))).cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logp") + F.col("share") + more).alias("score"))

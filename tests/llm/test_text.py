@@ -99,7 +99,7 @@ def test_model_is_normalised():
     one, two = m.tables()
     a, b = 3, 77
     q = m.inner[a] @ m.first + m.inner[b] @ m.second
-    assert np.allclose(one[a] + two[b], m.outer @ q + m.bias, atol=1e-3)
+    assert np.allclose(one[a] + two[b], m.outer @ np.append(q, 1), atol=1e-3)
 
 
 def test_log_sums(spark):
