@@ -9,8 +9,7 @@ embedding plus a bias.
 
 Every text is encoded once: its outputs are written as an array of two bytes a token, and training and
 scoring read those arrays. Training is noise-contrastive, in numpy, on every training token: in each of
-``ROUNDS`` rounds tasks train on their own rows of that round, ``PASSES`` times over, in batches of
-``BATCH``, starting from the shared parameters. Rows are dealt to tasks of about ``TASK_TOKENS`` tokens by
+``ROUNDS`` rounds tasks train on their own rows of that round, once, in batches of ``BATCH``, starting from the shared parameters. Rows are dealt to tasks of about ``TASK_TOKENS`` tokens by
 a hash of their number, so a large table has more tasks and the same schedule in each. What the tasks
 learnt is averaged, weighted by tokens, in a tree of at most ``FAN`` parameter vectors a task. Parameters
 have a fixed size.
@@ -29,10 +28,10 @@ an empty result.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -41,15 +40,19 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, lower_ascii, materialise, ship, text_chunks
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-TOP, TAILS, DIM = 2000, 256, 32
-LOCAL = 1 << 18
-ROUNDS, PASSES, BATCH, NOISE, RATE = 2, 2, 512, 48, 0.1
+TOP, TAILS, DIM = 1500, 192, 24
+LOCAL = 1 << 17
+ROUNDS, BATCH, NOISE, RATE = 2, 512, 48, 0.1
 TASK_TOKENS, FAN = 2_000_000, 32
 SEED = 11
 N_OUT = 1 + TOP + TAILS
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Splitting bytes parts them at runs of 20 and 09-0D."""
+    return lower_ascii(text or "").split()
+
+
 def tail_class(word: bytes) -> int:
     return 1 + TOP + zlib.crc32(word[-2:]) % TAILS
 
@@ -77,7 +80,7 @@ def count_words(train: DataFrame) -> DataFrame:
         for pdf in batches:
             seen[b""] += len(pdf)
             for text in pdf["text"]:
-                seen.update(WORD.findall(lower_ascii(text or "")))
+                seen.update(words_of(text))
                 if len(seen) > 200_000:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen.clear()
@@ -103,10 +106,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     rows = counts.where(F.octet_length("word") == 0).first()
     texts, counts = rows["n"] if rows else 0, counts.where(F.octet_length("word") > 0)
     tail = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS)).cast("int")
-    local = sorted(((-r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= _cutoff(counts, LOCAL)).collect()))
+    held = counts.where(F.col("n") >= _cutoff(counts, LOCAL)).toArrow()
+    local = sorted(zip((-held["n"].to_numpy()).tolist(), held["word"].to_pylist(), strict=True))
     place = {w: k for k, (_, w) in enumerate(local)}
     n = np.array([-c for c, _ in local], np.int64)
-    output = np.array([1 + k if k < TOP else tail_class(w) for k, (_, w) in enumerate(local)], np.int32)
+    output = np.array([1 + k if k < TOP else tail_class(w) for k, (_, w) in enumerate(local)] + [0], np.int16)
     by_class = counts.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
     tokens, types = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for r in by_class:
@@ -117,23 +121,30 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         types[tail_class(w) - 1 - TOP] -= 1
     heads = np.zeros(TOP, np.int64)
     heads[: min(TOP, len(n))] = n[:TOP]
-    return Vocabulary(total + texts, kinds + (texts > 0), place, output, np.log10(n + 1.0), np.log10(tokens + types + 1.0), np.concatenate(([texts], heads, tokens)), math.log10(texts + 1.0))
-
-
-def encode(text: str | None, vocab: Vocabulary, tails: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Outputs of the words and the end, places of the words (-1: not local), the words that are not local."""
-    words = WORD.findall(lower_ascii(text or ""))
-    get = vocab.place.get
-    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    out = np.zeros(len(words) + 1, np.int16)
-    rest = np.flatnonzero(at < 0)
-    out[:-1] = vocab.output[at] if len(vocab.output) else 0
-    rare = [words[k] for k in rest.tolist()]
-    ends = [w[-2:] for w in rare]
-    for e in set(ends).difference(tails):
-        tails[e] = tail_class(e)
-    out[rest] = [tails[e] for e in ends]
-    return out, at, rare
+    return Vocabulary(total + texts, kinds + (texts > 0), place, output, np.append(np.log10(n + 1.0), [0.0, 0.0]), np.log10(tokens + types + 1.0), np.concatenate(([texts], heads, tokens)), math.log10(texts + 1.0))
+
+
+def encode(texts: list[str | None], vocab: Vocabulary, tails: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Outputs of all words and ends, places of the words (-1: not local, -2: an end), tokens by text, the words that are not local."""
+    words = [words_of(t) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    word = np.ones(int(sizes.sum()), bool)
+    word[ends] = False
+    at, out = np.full(len(word), -2, np.int32), np.zeros(len(word), np.int16)
+    at[word] = np.fromiter(map(vocab.place.get, chain.from_iterable(words), repeat(-1)), np.int32, len(word) - len(words))
+    out[word] = vocab.output[at[word]]
+    rare: list[list[bytes]] = [[] for _ in words]
+    rest = np.flatnonzero(at == -1)
+    doc = np.searchsorted(ends, rest)
+    for k, d, i in zip(rest.tolist(), doc.tolist(), (rest - ends[doc] + sizes[doc] - 1).tolist(), strict=True):
+        w = words[d][i]
+        rare[d].append(w)
+        end = w[-2:]
+        if end not in tails:
+            tails[end] = tail_class(end)
+        out[k] = tails[end]
+    return out, at, sizes, rare
 
 
 def _contexts(outs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,11 +262,10 @@ def train(coded: DataFrame, output_count: np.ndarray, tokens: int) -> Model:
             if not len(w):
                 return
             trainer = Trainer(Model(flat.copy()), counts, np.random.default_rng([SEED, k]))
-            for _ in range(PASSES):
-                order = trainer.rng.permutation(len(w))
-                for s in range(0, len(w), BATCH):
-                    take = order[s : s + BATCH]
-                    trainer.step(a[take], b[take], w[take])
+            order = trainer.rng.permutation(len(w))
+            for s in range(0, len(w), BATCH):
+                take = order[s : s + BATCH]
+                trainer.step(a[take], b[take], w[take])
             yield pd.DataFrame({"flat": [trainer.m.flat.tobytes()], "tokens": [len(w)]})
 
         kind = "flat binary, tokens long"
@@ -303,11 +313,8 @@ def encoded(docs: DataFrame, is_held, vocab: Vocabulary) -> DataFrame:
         for pdf in batches:
             texts, ids, helds = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["held_out"].to_numpy()
             for x, y in text_chunks(texts, 3_000_000):
-                coded = [encode(t, voc, tails) for t in texts[x:y]]
-                sizes = np.fromiter((len(c[0]) for c in coded), np.int64, len(coded))
-                w = np.concatenate([c[0] for c in coded])
-                at = np.concatenate([np.concatenate((c[1], [-2])) for c in coded])
-                count = np.where(at >= 0, voc.log_count[at] if len(voc.log_count) else 0.0, 0.0)
+                w, at, sizes, rare = encode(texts[x:y], voc, tails)
+                count = np.where(at >= 0, voc.log_count[at], 0.0)
                 count[at == -2] = voc.end_log_count
                 share = np.where(w > TOP, count - voc.class_size[np.maximum(w - 1 - TOP, 0)], 0.0)
                 first = np.cumsum(sizes) - sizes
@@ -315,12 +322,11 @@ def encoded(docs: DataFrame, is_held, vocab: Vocabulary) -> DataFrame:
                     "doc_id": ids[x:y], "held_out": helds[x:y], "n_tokens": sizes,
                     "n_local": np.add.reduceat((at >= 0).astype(np.int64), first) + (voc.end_log_count > 0),
                     "counts": np.add.reduceat(count, first), "share": np.add.reduceat(share, first),
-                    "rare": [[{"word": k, "n": n} for k, n in Counter(c[2]).items()] for c in coded],
-                    "outs": [c[0].tobytes() for c in coded],
+                    "rare": rare, "outs": [w[f : f + n].tobytes() for f, n in zip(first.tolist(), sizes.tolist(), strict=True)],
                 })
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), is_held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id string, held_out boolean, n_tokens long, n_local long, counts double, share double, rare array<struct<word:binary,n:long>>, outs binary"
+    kind = "doc_id string, held_out boolean, n_tokens long, n_local long, counts double, share double, rare array<binary>, outs binary"
     return materialise(rows.mapInPandas(run, kind).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
 
 
@@ -347,8 +353,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                 yield pd.DataFrame({"row": pdf["row"].iloc[x:y].to_numpy(), "logp": np.add.reduceat(logp, np.cumsum(sizes) - sizes)})
 
     light = coded.select("row", "doc_id", "held_out", "n_tokens", "n_local", "counts", "share")
-    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("n_more"))
+    rare = coded.select("row", F.explode("rare").alias("word"))
+    found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("n_more"))
     out = light.join(coded.select("row", "outs").mapInPandas(run, "row long, logp double"), "row").join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     base = F.col("counts") + more - F.col("n_tokens") * math.log10(vocab.tokens + vocab.types + 1)

@@ -23,7 +23,6 @@ are repeated in the result; extra columns are ignored; an empty table gives an e
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -37,12 +36,11 @@ from .common import lower_ascii, materialise, partitions, ship, text_chunks
 SHINGLE, RADIUS, SEED = 3, 3, 42
 TILE = 1024
 TILE_ROWS = 8192
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
     """XXH64 of each shingle, repeats included; of the whole sequence if it is shorter."""
-    words = WORD.findall(lower_ascii(text or ""))
+    words = lower_ascii(text or "").split()  # at runs of 20 and 09-0D
     if not words:
         return []
     joined = b" ".join(words)
