@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import materialise
+
 ROOT = "."
 
 
@@ -165,17 +167,18 @@ def nested(prefixes: DataFrame) -> DataFrame:
     return hit.groupBy("path").agg(F.min_by("kept_by", F.length("kept_by")).alias("kept_by"))
 
 
-def chains(df: DataFrame, rounds: int = 12) -> DataFrame:
+def chains(df: DataFrame) -> DataFrame:
     """path, chain_end, label for every directory: where its chain of only-child directories ends.
 
-    Each round doubles the length of the jumps, so ``rounds`` rounds reach chains of 2^rounds directories.
+    Each round doubles the length of the jumps and is written to the shared folder; the last is the one in
+    which nothing moves, whatever the length of the longest chain.
     """
     dirs = df.where("kind = 'dir'").select(bare("path").alias("path"), "n_children")
     only = dirs.join(df.where("kind = 'dir' and path <> '.'").select(bare("path").alias("next"), parent_of("path").alias("path")), "path").where("n_children = 1").select("path", "next")
     jump = dirs.select("path").join(only, "path", "left").select("path", F.coalesce("next", "path").alias("chain_end"))
-    for _ in range(rounds):
+    while True:
         far = jump.select(F.col("path").alias("chain_end"), F.col("chain_end").alias("far"))
-        moved = jump.join(far, "chain_end").select("path", F.col("far").alias("chain_end"), (F.col("far") != F.col("chain_end")).alias("moved")).cache()
+        moved = materialise(jump.join(far, "chain_end").select("path", F.col("far").alias("chain_end"), (F.col("far") != F.col("chain_end")).alias("moved")), "chains")
         jump = moved.select("path", "chain_end")
         if not moved.where("moved").head(1):
             break

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .paths import _col
 
@@ -88,12 +87,27 @@ def peak_bin(bins) -> Column:
     return F.array_max(_col(bins))
 
 
-def age01(age, by: list[str] | None = None) -> Column:
-    """0 for the newest of the group, 1 for the oldest; a group of one age is 0."""
-    w, a = Window.partitionBy(*(by or [])), _col(age)
-    newest, oldest = F.max(a).over(w), F.min(a).over(w)
-    t = (newest - a) / F.nullif(newest - oldest, F.lit(0))
-    return F.when(newest <= oldest, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+def age01(age, oldest, newest) -> Column:
+    """0 for the newest, 1 for the oldest; 0 where both are the same."""
+    a, lo, hi = _col(age), _col(oldest), _col(newest)
+    t = (hi - a) / F.nullif(hi - lo, F.lit(0))
+    return F.when(hi <= lo, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
+
+
+def with_age01(df: DataFrame, age: str, by: list[str] | None = None) -> DataFrame:
+    """The rows with ``age01`` within their group (null keys are one), or within all rows.
+
+    A group's ends are an aggregate that combines before its shuffle and is joined back, so a group of any
+    size is shared out among tasks.
+    """
+    ends = [F.min(age).alias("__lo"), F.max(age).alias("__hi")]
+    if not by:
+        lo, hi = df.agg(*ends).first()
+        kind = df.schema[age].dataType
+        return df.withColumn("age01", age01(age, F.lit(lo).cast(kind), F.lit(hi).cast(kind)))
+    of = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(*ends)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return df.join(of, same).withColumn("age01", age01(age, "__lo", "__hi")).drop("__lo", "__hi", *[f"__{c}" for c in by])
 
 
 def clamp(t, most: float = 1.0) -> Column:

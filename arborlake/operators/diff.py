@@ -34,16 +34,20 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, "a").join(side(b, "b"), "path", "full_outer")
 
 
+def _zero(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0))
+
+
 def _status(swap: bool) -> Column:
-    changed = differs("size_a", "size_b") | differs("n_desc_a", "n_desc_b")
-    if swap:
-        changed = changed | (F.col("kind_a") != F.col("kind_b"))
+    if swap:  # nothing and 0 are the same size here
+        changed = differs(_zero("size_a"), _zero("size_b")) | differs(_zero("n_desc_a"), _zero("n_desc_b")) | (F.col("kind_a") != F.col("kind_b"))
+    else:
+        changed = differs("size_a", "size_b") | differs("n_desc_a", "n_desc_b")
     return F.when(F.col("kind_a").isNull(), "added").when(F.col("kind_b").isNull(), "removed").when(changed, "changed").otherwise("unchanged")
 
 
 def _measured(df: DataFrame) -> DataFrame:
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return df.withColumn("size_delta", zero("size_b") - zero("size_a")).withColumn("n_desc_delta", zero("n_desc_b") - zero("n_desc_a"))
+    return df.withColumn("size_delta", _zero("size_b") - _zero("size_a")).withColumn("n_desc_delta", _zero("n_desc_b") - _zero("n_desc_a"))
 
 
 def compare_children(a: DataFrame, b: DataFrame, under: str = "") -> DataFrame:
@@ -120,6 +124,12 @@ def recursive_diff(a: DataFrame, b: DataFrame, budget: int | None = None, max_de
     return flags.select("path", "depth", "kind", "status", "size_a", "size_b", "n_desc_a", "n_desc_b", "size_delta", "n_desc_delta", "expanded", "pruned")
 
 
+def extent(rows: DataFrame, budget: int | None = None) -> DataFrame:
+    """expansions and truncated of a :func:`recursive_diff` with ``include_unchanged``: a budget or a depth cut it short."""
+    opened = budget is None or budget > 0  # the root is an expansion too
+    return rows.agg((F.count_if("expanded") + F.lit(int(opened))).cast("long").alias("expansions"), (F.coalesce(F.bool_or("pruned"), F.lit(False)) | F.lit(not opened)).alias("truncated"))
+
+
 def by_change(df: DataFrame) -> DataFrame:
     return df.orderBy(F.abs("size_delta").desc(), "path")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..steps import materialise
 
 _SLASHED = re.compile(r"/(.*)/([gimsuy]*)")
 
@@ -23,7 +24,7 @@ def _valid(pattern: str, flags: str) -> bool:
     if spark is None:
         return True
     try:
-        spark._jvm.java.util.regex.Pattern.compile(f"{flags}{pattern}")
+        spark.range(1).select(F.lit("").rlike(flags + pattern)).collect()
     except Exception:
         return False
     return True
@@ -82,7 +83,8 @@ def outermost(found: DataFrame) -> DataFrame:
 
 def search(snapshot: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     cols = ["path", "depth", "kind", "size"]
-    return outermost(matches(snapshot, query, case_sensitive).withColumn("size", F.coalesce("size", F.lit(0))).select(*cols))
+    found = matches(snapshot, query, case_sensitive).withColumn("size", F.coalesce("size", F.lit(0))).select(*cols)
+    return outermost(materialise(found, "matches"))  # the snapshot is read once
 
 
 def filter_rollup(snapshot: DataFrame, query: str, display_depth: int = 4, case_sensitive: bool = False) -> DataFrame:

@@ -53,6 +53,12 @@ def diff_budget(spark, sf_dir):
     return diff.recursive_diff(*X.two_snapshots(spark, sf_dir), budget=10)
 
 
+@query(f"WITH {_REACH}, n AS (SELECT count(*) AS n FROM reach) SELECT CAST(least(10, n + 1) AS BIGINT) AS expansions, n > 9 AS truncated FROM n")
+def diff_extent(spark, sf_dir):
+    """How far a budget of ten expansions comes, and that it cut the diff."""
+    return diff.extent(diff.recursive_diff(*X.two_snapshots(spark, sf_dir), budget=10, include_unchanged=True), 10)
+
+
 @query(f"WITH {_REACH} SELECT status, count(*) AS n_rows, CAST(sum(size_delta) AS BIGINT) AS size_delta FROM ({_SHOWN}) GROUP BY 1")
 def diff_summary(spark, sf_dir):
     return diff.summarize(diff.recursive_diff(*X.two_snapshots(spark, sf_dir), include_unchanged=True))

@@ -113,12 +113,12 @@ def snap(name: str = "snap", src: str = "files", extra: str = "", root: str = SC
     more = f", {extra}" if extra else ""
     return f"""
 {p}_up AS (SELECT f.*, unnest(list_transform(range(len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS dir FROM {src} f),
-{p}_sum AS (SELECT dir, CAST(sum(size) AS BIGINT) AS size, max(mtime) AS mtime, count(*) AS n_files, count(*) FILTER (WHERE parent = dir) AS own{more} FROM {p}_up GROUP BY dir),
+{p}_sum AS MATERIALIZED (SELECT dir, CAST(sum(size) AS BIGINT) AS size, max(mtime) AS mtime, count(*) AS n_files, count(*) FILTER (WHERE parent = dir) AS own{more} FROM {p}_up GROUP BY dir),
 {p}_sub AS (SELECT dir AS sub, CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') ELSE '' END AS parent, unnest(list_transform(range(len(string_split(dir, '/'))), lambda i: array_to_string(string_split(dir, '/')[1:i], '/'))) AS dir FROM {p}_sum WHERE dir <> ''),
 {p}_cnt AS (SELECT dir, count(*) AS n, count(*) FILTER (WHERE parent = dir) AS own FROM {p}_sub GROUP BY dir),
 {p}_dirs AS (SELECT CASE WHEN s.dir = '' THEN '.' ELSE s.dir END AS path, s.size, s.mtime, 1 + s.n_files + coalesce(c.n, 0) AS n_desc, s.n_files, s.own + coalesce(c.own, 0) AS n_children, 'dir' AS kind,
   CASE WHEN s.dir = '' THEN '' WHEN contains(s.dir, '/') THEN regexp_replace(s.dir, '/[^/]*$', '') ELSE '.' END AS parent, s.* EXCLUDE (dir, size, mtime, n_files, own) FROM {p}_sum s LEFT JOIN {p}_cnt c ON s.dir = c.dir),
-{p} AS (SELECT path, size, mtime, n_desc, n_files, n_children, kind, parent, CASE WHEN path = '.' THEN '{root}' ELSE '{root}/' || path END AS uri, CAST(CASE WHEN path = '.' THEN 0 ELSE length(path) - length(replace(path, '/', '')) + 1 END AS INT) AS depth FROM {p}_dirs
+{p} AS MATERIALIZED (SELECT path, size, mtime, n_desc, n_files, n_children, kind, parent, CASE WHEN path = '.' THEN '{root}' ELSE '{root}/' || path END AS uri, CAST(CASE WHEN path = '.' THEN 0 ELSE length(path) - length(replace(path, '/', '')) + 1 END AS INT) AS depth FROM {p}_dirs
   UNION ALL SELECT path, size, mtime, 1, 1, 0, 'file', parent, '{root}/' || path, CAST(length(path) - length(replace(path, '/', '')) + 1 AS INT) FROM {src})"""
 
 

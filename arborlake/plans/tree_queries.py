@@ -211,11 +211,18 @@ def nested_prefix_pairs(spark, sf_dir):
     return P.nested(_prefixes(spark, sf_dir))
 
 
-@query(f"""WITH {X.OBJECTS}, {X.files()}, {X.snap()}, d AS (SELECT path, n_children FROM snap WHERE kind = 'dir' AND path <> '.' AND depth >= 3), c AS (SELECT path, parent FROM snap WHERE kind = 'dir' AND depth >= 4)
-SELECT d.path, coalesce(c.path, d.path) AS chain_end FROM d LEFT JOIN c ON c.parent = d.path AND d.n_children = 1""")
+_LONGER = "longer AS (SELECT regexp_replace(name, '([05])/([^/]+)$', '\\1/a/b/c/\\2') AS name, size, created, tier FROM objects)"
+
+
+@query(f"""WITH RECURSIVE {X.OBJECTS}, {_LONGER}, {X.files('longer')}, {X.snap()}, d AS MATERIALIZED (SELECT path, parent, n_children FROM snap WHERE kind = 'dir'),
+step AS MATERIALIZED (SELECT p.path, c.path AS next FROM d p JOIN d c ON c.parent = p.path WHERE p.n_children = 1),
+walk AS (SELECT path, path AS place, 0 AS n FROM d UNION ALL SELECT w.path, s.next, n + 1 FROM walk w JOIN step s ON w.place = s.path),
+far AS (SELECT path, max_by(place, n) AS chain_end FROM walk GROUP BY path)
+SELECT f.path, chain_end, CASE WHEN d.parent IN ('', '.') THEN chain_end ELSE substr(chain_end, length(d.parent) + 2) END AS label FROM far f JOIN d ON f.path = d.path""")
 def single_child_chains(spark, sf_dir):
-    """Below depth 2 a chain has at most one step here, since orders hold files only."""
-    return P.chains(X.snapshot(spark, sf_dir)).where(P.depth_of("path") >= 3).select("path", "chain_end")
+    """Orders whose number ends in 0 or 5 hold their files three directories further down."""
+    rows = X.objects(spark, sf_dir).withColumn("name", F.regexp_replace("name", "([05])/([^/]+)$", "$1/a/b/c/$2"))
+    return P.chains(rollup.rollup_listing(rows, X.SCHEME))
 
 
 # subtrees and slices
@@ -315,17 +322,17 @@ def children_by_size(spark, sf_dir):
 
 # search
 
-_MATCH = "m AS (SELECT path, depth, kind, size FROM snap WHERE path <> '.' AND regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{}'))"
+_MATCH = "m AS MATERIALIZED (SELECT path, depth, kind, size FROM snap WHERE path <> '.' AND regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{}'))"
 _OUTER = "o AS (SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.kind = 'dir' AND starts_with(a.path, b.path || '/')))"
 _QUERY, _REGEX = "/^(build|[0-9]*7)/", "^(build|[0-9]*7)"
 
 
-@query(f"WITH {X.SNAPSHOT}, {_MATCH.format(_REGEX)}, dm AS (SELECT path FROM m WHERE kind = 'dir'), up AS (SELECT m.path, unnest(list_transform(range(1, len(string_split(m.path, '/'))), lambda i: array_to_string(string_split(m.path, '/')[1:i], '/'))) AS u FROM m), inside AS (SELECT DISTINCT up.path FROM up JOIN dm ON up.u = dm.path) SELECT path, depth, kind, size FROM m WHERE path NOT IN (SELECT path FROM inside)")
+@query(f"WITH {X.SNAPSHOT}, {_MATCH.format(_REGEX)}, dm AS (SELECT path FROM m WHERE kind = 'dir'), up AS (SELECT m.path, unnest(list_transform(range(1, len(string_split(m.path, '/'))), lambda i: array_to_string(string_split(m.path, '/')[1:i], '/'))) AS u FROM m), inside AS MATERIALIZED (SELECT DISTINCT up.path FROM up JOIN dm ON up.u = dm.path) SELECT path, depth, kind, size FROM m ANTI JOIN inside ON m.path = inside.path")
 def filter_outermost(spark, sf_dir):
     return search.search(X.snapshot(spark, sf_dir), _QUERY)
 
 
-_FOUND = f"{X.SNAPSHOT}, {_MATCH.format(_REGEX)}, dm AS (SELECT path FROM m WHERE kind = 'dir'), mu AS (SELECT m.path, unnest(list_transform(range(1, len(string_split(m.path, '/'))), lambda i: array_to_string(string_split(m.path, '/')[1:i], '/'))) AS u FROM m), inside AS (SELECT DISTINCT mu.path FROM mu JOIN dm ON mu.u = dm.path), o AS (SELECT * FROM m WHERE path NOT IN (SELECT path FROM inside))"
+_FOUND = f"{X.SNAPSHOT}, {_MATCH.format(_REGEX)}, dm AS (SELECT path FROM m WHERE kind = 'dir'), mu AS (SELECT m.path, unnest(list_transform(range(1, len(string_split(m.path, '/'))), lambda i: array_to_string(string_split(m.path, '/')[1:i], '/'))) AS u FROM m), inside AS MATERIALIZED (SELECT DISTINCT mu.path FROM mu JOIN dm ON mu.u = dm.path), o AS MATERIALIZED (SELECT m.* FROM m ANTI JOIN inside ON m.path = inside.path)"
 _NODES = f"""{_FOUND}, cr AS (SELECT size, unnest(list_transform(range(1, least(len(string_split(path, '/')), 4)), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM o),
 nodes AS (SELECT path, CAST(length(path) - length(replace(path, '/', '')) + 1 AS INT) AS depth, 'dir' AS kind, CAST(sum(size) AS BIGINT) AS size, count(*) AS n_matches, false AS matched FROM cr GROUP BY path UNION ALL SELECT path, depth, kind, size, 1, true FROM o WHERE depth <= 3)"""
 
@@ -426,17 +433,14 @@ def deletion_candidates(spark, sf_dir):
     return slices.stalest(X.snapshot(spark, sf_dir, mean_mtime=True), NOW, 25, 3).select("path", "kind", "size")
 
 
-@query(f"WITH {X.SNAPSHOT} SELECT path, round(CASE WHEN max(mtime) OVER () <= min(mtime) OVER () THEN 0 ELSE (max(mtime) OVER () - mtime)::DOUBLE / (max(mtime) OVER () - min(mtime) OVER ()) END, 9) AS age FROM snap WHERE depth = 4")
+@query(f"WITH {X.SNAPSHOT} SELECT path, kind, round(CASE WHEN max(mtime) OVER () <= min(mtime) OVER () THEN 0 ELSE (max(mtime) OVER () - mtime)::DOUBLE / (max(mtime) OVER () - min(mtime) OVER ()) END, 9) AS age FROM snap")
 def age_norm(spark, sf_dir):
-    rows = X.snapshot(spark, sf_dir).where("depth = 4")
-    ends = rows.agg(F.min("mtime").alias("lo"), F.max("mtime").alias("hi")).first()
-    t = (F.lit(ends["hi"]) - F.col("mtime")) / F.lit(max(ends["hi"] - ends["lo"], 1))
-    return rows.select("path", F.round(F.when(F.lit(ends["hi"] <= ends["lo"]), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))), 9).alias("age"))
+    return S.with_age01(X.snapshot(spark, sf_dir), "mtime").select("path", "kind", F.round("age01", 9).alias("age"))
 
 
 @query(f"WITH {X.SNAPSHOT} SELECT path, round(CASE WHEN max(mtime) OVER w <= min(mtime) OVER w THEN 0 ELSE (max(mtime) OVER w - mtime)::DOUBLE / (max(mtime) OVER w - min(mtime) OVER w) END, 9) AS age FROM snap WHERE kind = 'file' WINDOW w AS (PARTITION BY parent)")
 def age_norm_siblings(spark, sf_dir):
-    return X.snapshot(spark, sf_dir).where("kind = 'file'").select("path", F.round(S.age01("mtime", ["parent"]), 9).alias("age"))
+    return S.with_age01(X.snapshot(spark, sf_dir).where("kind = 'file'"), "mtime", ["parent"]).select("path", F.round("age01", 9).alias("age"))
 
 
 @query(f"WITH {X.SNAPSHOT} SELECT CAST(floor(log10(size)) AS BIGINT) AS decade, count(*) AS n_rows FROM snap WHERE size > 0 GROUP BY 1")
@@ -495,7 +499,7 @@ def cardinalities(spark, sf_dir):
     return audit.cardinalities(X.snapshot(spark, sf_dir))
 
 
-@query(f"""WITH {X.OBJECTS}, {X.files()}, {X.snap()}, gone AS (SELECT * FROM snap WHERE path = 'ASIA/NATION_12')
+@query(f"""WITH {X.OBJECTS}, {X.files()}, {X.snap()}, gone AS MATERIALIZED (SELECT * FROM snap WHERE path = 'ASIA/NATION_12')
 SELECT s.path, s.kind, s.size - CASE WHEN s.path IN ('.', 'ASIA') THEN g.size ELSE 0 END AS size, s.n_desc - CASE WHEN s.path IN ('.', 'ASIA') THEN g.n_desc ELSE 0 END AS n_desc,
 s.n_files - CASE WHEN s.path IN ('.', 'ASIA') THEN g.n_files ELSE 0 END AS n_files, s.n_children - CASE WHEN s.path = 'ASIA' THEN 1 ELSE 0 END AS n_children FROM snap s, gone g WHERE s.path <> 'ASIA/NATION_12' AND NOT starts_with(s.path, 'ASIA/NATION_12/')""")
 def delete_subtree(spark, sf_dir):

@@ -7,33 +7,47 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
-#: What a reader does with a target that exists.
+#: What a writer does with a target that exists. A target that was not written to its end is never reused.
 MODES = {"error": "errorifexists", "reuse": "ignore", "clear": "overwrite"}
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Spark's marker of a write that came to its end stands in the folder."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+
+
+def _mode(df: DataFrame, path: str, exists: str) -> str:
+    return "overwrite" if exists == "reuse" and not complete(df.sparkSession, path) else MODES[exists]
+
+
 def write_snapshot(df: DataFrame, path: str, partitions: int | None = None, exists: str = "error") -> None:
     """A snapshot in global (depth, path) order, so that depth and prefix filters prune row groups."""
     keys = [F.col("depth"), F.col("path"), F.col("kind")]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).write.mode(MODES[exists]).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    ranged.sortWithinPartitions(*keys).write.mode(_mode(df, path, exists)).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def write_access_rows(df: DataFrame, path: str, exists: str = "error") -> None:
     """Spark's committer makes the files visible only once all of them are written."""
-    df.withColumn("day", F.to_date("ts")).write.mode(MODES[exists]).partitionBy("day").parquet(path)
+    df.withColumn("day", F.to_date("ts")).write.mode(_mode(df, path, exists)).partitionBy("day").parquet(path)
 
 
 def write_access_tree(df: DataFrame, path: str, exists: str = "error") -> None:
-    df.repartition("day").sortWithinPartitions("depth", "path", "day", "op").write.mode(MODES[exists]).partitionBy("day").parquet(path)
+    """By day, in (depth, path) order; a large day is shared out among tasks by ranges."""
+    ranged = df.repartitionByRange("day", "depth", "path")
+    ranged.sortWithinPartitions("day", "depth", "path", "op").write.mode(_mode(df, path, exists)).partitionBy("day").parquet(path)
 
 
 def write_chunked(df: DataFrame, path: str, threshold: int = 100_000, exists: str = "error") -> None:
-    """Top-level directories with at least ``threshold`` descendants get a partition of their own."""
+    """Top-level directories with at least ``threshold`` descendants get a partition of their own, in (depth, path) order."""
     large = df.where((F.col("depth") == 1) & (F.col("kind") == "dir") & (F.col("n_desc") >= threshold)).select(F.col("path").alias("chunk"))
     top = P.first_segment("path")
     rows = df.withColumn("__top", top).join(large.withColumn("__top", F.col("chunk")), "__top", "left").drop("__top")
-    rows.withColumn("chunk", F.coalesce("chunk", F.lit(P.ROOT))).write.mode(MODES[exists]).partitionBy("chunk").parquet(path)
+    keys = ["chunk", "depth", "path"]
+    ranged = rows.withColumn("chunk", F.coalesce("chunk", F.lit(P.ROOT))).repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode(_mode(df, path, exists)).partitionBy("chunk").parquet(path)
 
 
 def read_chunked(spark: SparkSession, path: str, under: str | None = None) -> DataFrame:

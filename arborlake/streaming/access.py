@@ -14,8 +14,10 @@ LATE = "2 hours"
 
 
 def ingest(rows: DataFrame, late: str = LATE) -> DataFrame:
-    """A stream of access rows without repeated request ids. State is kept for ``late``; ids are needed."""
-    return rows.where("request_id is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id"])
+    """A stream of access rows without repeated request ids. State is kept for ``late``; rows without an id all stay."""
+    timed = rows.withWatermark("ts", late)
+    once = timed.where("request_id is not null").dropDuplicatesWithinWatermark(["request_id"])
+    return once.unionByName(timed.where("request_id is null"))
 
 
 def daily_tree(rows: DataFrame, late: str = LATE) -> DataFrame:

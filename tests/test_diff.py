@@ -90,3 +90,16 @@ def test_sets_and_renames(spark):
     a = snap(spark, [("p/1", 1, 1), ("q/2", 2, 1)])
     assert D.sets_equal(a, a.repartition(3)) and not D.sets_equal(a, a.where(P.depth_of("path") < 2))
     assert D.content_digest(a).first() == D.content_digest(a.repartition(3)).first()
+
+
+def test_extent_tells_that_a_budget_cut_the_diff(spark):
+    a, b = snap(spark, [("d/e/f", 1, 1)]), snap(spark, [("d/e/f", 2, 1)])
+    for budget, deep, want in [(None, None, (3, False)), (2, None, (2, True)), (None, 1, (1, True)), (0, None, (0, True))]:
+        assert tuple(D.extent(D.recursive_diff(a, b, budget, deep, True), budget).first()) == want
+
+
+def test_no_size_is_a_size_of_nothing(spark):
+    schema = "path string, kind string, size long, n_desc long, n_children long, mtime long"
+    a, b = spark.createDataFrame([("x", "file", None, 1, 0, 1)], schema), spark.createDataFrame([("x", "file", 0, 1, 0, 1)], schema)
+    assert D.recursive_diff(a, b, include_unchanged=True).first()["status"] == "unchanged"
+    assert D.compare_children(a, b).first()["status"] == "changed"

@@ -91,3 +91,12 @@ def test_scores(spark):
     assert one(spark, S.log_domain(F.lit(10.0), F.lit(10.0))) == [1.0, 100.0]
     assert one(spark, S.decades_between(F.lit(0.5), F.lit(20.0))) == [1.0, 10.0]
     assert len(one(spark, S.decades_between(F.lit(1e-9), F.lit(1e9)))) <= 5
+
+
+def test_long_chains_and_ages(spark):
+    deep = "/".join("abcdefghijk"[k % 11] for k in range(70))
+    got = {r["path"]: r["chain_end"] for r in P.chains(tree(spark, [f"{deep}/1", f"{deep}/2"])).collect()}
+    assert set(got.values()) == {deep} and len(got) == 71
+    rows = spark.createDataFrame([("g", 5), ("g", 9), ("g", None), (None, 3), (None, 3)], "k string, t long")
+    assert sorted((r["k"] or "", r["t"] or 0, r["age01"]) for r in S.with_age01(rows, "t", ["k"]).where("t is not null").collect()) == [("", 3, 0.0), ("", 3, 0.0), ("g", 5, 1.0), ("g", 9, 0.0)]
+    assert sorted(r["age01"] for r in S.with_age01(rows, "t").where("t is not null").collect()) == [0.0, pytest.approx(4 / 6), 1.0, 1.0]

@@ -172,3 +172,21 @@ def test_recency_and_costs(spark):
     costs = spark.createDataFrame([(T, "s", "k", 1, 2.5), (T, "s", "k", 2, 0.5)], "day timestamp, service string, sku string, n int, usd double")
     out = A.cost_summary(A.normalize_costs(costs, {"period": "day", "service": "service", "sku": "sku", "usage": "n", "cost": "usd"})).first()
     assert (str(out["period"]), out["usage"], out["cost"], out["n_rows"]) == ("2026-01-01", 3.0, 3.0, 2)
+
+
+def test_an_unfinished_target_is_not_reused(spark, tmp_path):
+    df, to = rollup.rollup(spark.createDataFrame([("a/b", 1, 1, "file")], "path string, size long, mtime long, kind string"), "s"), str(tmp_path / "s")
+    sinks.write_snapshot(df, to)
+    assert sinks.complete(spark, to)
+    (tmp_path / "s" / "_SUCCESS").unlink()
+    sinks.write_snapshot(df.where("depth = 0"), to, exists="reuse")
+    assert sinks.complete(spark, to) and spark.read.parquet(to).count() == 1
+
+
+def test_stream_keeps_rows_without_an_id(spark, tmp_path):
+    at = datetime(2026, 1, 1, 1, tzinfo=UTC)
+    rows = [(at, "b", "x", "GET", 5, 0, k) for k in ("1", "1", None, None)] + [(datetime(2026, 1, 3, 9, tzinfo=UTC), "b", "x", "GET", 1, 0, None)]
+    df = spark.createDataFrame(rows, "ts timestamp, bucket string, path string, op string, bytes_out long, bytes_in long, request_id string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream.run_daily_tree(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {(r["path"], r["n_ops"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(".", 3), ("x", 3)}
