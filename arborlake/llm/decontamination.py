@@ -2,17 +2,19 @@
 
 Words are hashed. Fixed masks of ``SPAN`` words ignore some positions, so that a seed survives a
 substituted word there. Seeds of the benchmark and of the documents are joined; around each hit the
-benchmark item is laid over the document at the same offset and the words in a window of ``WINDOW``
-words are compared one by one. A hit holds if at least ``SIMILARITY`` of the window's words agree, so
-substituted words count against it and no more.
+benchmark item is laid over the document at the same offset and the words of a window, the seed and up to
+``AROUND`` words of the item on either side, are compared one by one. A hit holds if at least ``SIMILARITY``
+of the window's words agree, so substituted words count against it and no more. Items of fewer than
+``SPAN`` words have no seed: they are found where they stand whole and unchanged, by the hash of all
+their words.
 
 All of it is DataFrame functions: word hashes are one array per document, its positions are exploded
 and hashed in generated code beside the join, and no seed row of a document is shuffled. The
 benchmark side is broadcast in parts of at most ``PART_WORDS`` words (checked by a count); a larger
 benchmark takes more passes, not a larger broadcast.
 
-Defined results: null texts hold no words and are clean; items with fewer than ``SPAN`` words have no
-seed and are never found; items with a null ``item_id`` are found like others; documents that share a ``doc_id`` are one document here; a null ``doc_id`` is
+Defined results: null texts hold no words and are clean; items without a word are never
+found; items with a null ``item_id`` are found like others; documents that share a ``doc_id`` are one document here; a null ``doc_id`` is
 a value like any other; ``drop_contaminated`` judges each row by itself, whatever its id; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,7 +30,7 @@ from .simhash import numbered
 SPAN = 8
 #: The positions that each mask looks at.
 MASKS = [(0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7)]
-BEFORE, WINDOW = 8, 24
+AROUND = 8
 SIMILARITY = 0.8
 PART_WORDS = 400_000
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -49,6 +51,13 @@ def _positions(df: DataFrame, words: str) -> DataFrame:
     return long.select("*", F.explode(F.sequence(F.lit(0), F.size(words) - SPAN)).alias("at"))
 
 
+def _whole(df: DataFrame, words: str, lengths: list[int]) -> DataFrame:
+    """The rows with at, n and seed: the hash of the n words from each position, for each of the lengths."""
+    at = df.where(F.size(words) > 0).select("*", F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("at"))
+    runs = at.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.col("at") + F.col("n") <= F.size(words))
+    return runs.withColumn("seed", F.xxhash64("n", F.slice(words, F.col("at") + 1, F.col("n"))))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, item_id, n_hits, n_matched, share: the best window of each item found in a document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")).distinct()
@@ -56,17 +65,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     total = items.agg(F.sum(F.size("item"))).first()[0] or 0
     parts = max(1, -(-total // part_words))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
+    short = sorted(r[0] for r in items.where(F.size("item").between(1, SPAN - 1)).select(F.size("item")).distinct().collect())  # at most SPAN - 1 lengths
 
     def against(part: DataFrame) -> DataFrame:
         seeds = _positions(part, "item").select("key", F.col("at").alias("item_at"), F.explode(_seeds("item", "at")).alias("seed"))
         places = _positions(texts, "words").select("doc_id", "words", "at", F.explode(_seeds("words", "at")).alias("seed"))
+        if short:
+            seeds = seeds.unionByName(_whole(part.where(F.size("item") < SPAN), "item", short).where("at = 0 and n = size(item)").select("key", F.col("at").alias("item_at"), "seed"))
+            places = places.unionByName(_whole(texts, "words", short).select("doc_id", "words", "at", "seed"))
         hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(part), "key")
-        first = F.greatest(F.lit(0), F.col("item_at") - BEFORE)
-        window = F.slice("item", first + 1, F.lit(WINDOW))
+        first = F.greatest(F.lit(0), F.col("item_at") - AROUND)
+        window = F.slice("item", first + 1, F.col("item_at") + SPAN + AROUND - first)
         shift = F.col("at") - F.col("item_at") + first
         agree = F.size(F.filter(window, lambda w, k: F.get("words", shift + k) == w))
-        checked = hits.select("doc_id", "item_id", agree.alias("n_matched"), (agree / F.size(window)).alias("share"))
-        return checked.where(F.col("share") >= similarity)
+        least = F.when(F.size("item") < SPAN, 1.0).otherwise(F.lit(float(similarity)))
+        checked = hits.select("doc_id", "item_id", agree.alias("n_matched"), (agree / F.size(window)).alias("share"), least.alias("least"))
+        return checked.where("share >= least").drop("least")
 
     found = [against(items if parts == 1 else items.where(F.pmod(F.col("key"), F.lit(parts)) == p)) for p in range(parts)]
     hits = reduce(DataFrame.unionByName, found)

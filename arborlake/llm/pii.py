@@ -9,7 +9,8 @@ different believed identifiers then find the unseen identifiers behind them: wor
 digits that no seed covers.
 
 Texts are read once. Places come from splitting a text at a pattern: the lengths of the gaps and
-matches before it add up to a match's place. The patterns use possessive repeats and start only where
+matches before it add up to a match's place. Matches are added up in runs of ``RUN``, so that a text full
+of identifiers does not take the square of their number. The patterns use possessive repeats and start only where
 a run of their characters starts or the last match ended, which finds the same leftmost matches in
 linear time without deep recursion. What is found is written to the shared folder; the graph works on
 that alone. Every grouping combines before its shuffle.
@@ -34,23 +35,63 @@ _CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OTHER = r"(?:\G|(?<![A-Za-z0-9._@/-]))[A-Za-z._@/-]*+[0-9][A-Za-z0-9._@/-]*+"
 _LEFT = r"(\p{L}+)[^\p{L}\p{N}]+(\p{L}+)[^\p{L}\p{N}]*$"
-_SPAN = "array<struct<s:int,e:int,v:string>>"
-LEFT_CHARS = 48
+_SPAN = "array<struct<s:int,e:int,v:string,before:string>>"
+_HEAD = "array<struct<at:int,before:string>>"
+LEFT_CHARS, RUN = 48, 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """An array that is not empty, as arrays of ``RUN`` elements, the last perhaps shorter."""
+    last = F.floor((F.size(items) - 1) / F.lit(RUN)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * RUN + 1, F.lit(RUN)))
+
+
+def _last(text: Column) -> Column:
+    return F.right(text, F.lit(LEFT_CHARS))
 
 
 def places(text: Column, pattern: str) -> Column:
-    """Start, end and value of the leftmost matches that do not overlap, in code points."""
+    """Start, end and value of the leftmost matches that do not overlap, in code points, and what stands before them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("v")))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("v")))
+
+    def past(acc, run):
+        return F.struct((acc["at"] + F.length(run)).alias("at"), _last(F.concat(acc["before"], run)).alias("before"), F.concat(acc["heads"], F.array(F.struct(acc["at"].alias("at"), acc["before"].alias("before")))).alias("heads"))
 
     def add(acc, x):
-        s = acc["at"] + x["gap"]
+        before = _last(F.concat(acc["before"], x["gap"]))
+        s = acc["at"] + F.length(x["gap"])
         e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("spans"))
+        span = F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), before.alias("before"))
+        return F.struct(e.alias("at"), _last(F.concat(before, x["v"])).alias("before"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    def fold(run, head):
+        start = F.struct(head["at"].alias("at"), head["before"].alias("before"), F.array().cast(_SPAN).alias("spans"))
+        return F.aggregate(run, start, add, lambda acc: acc["spans"])
+
+    def spans(runs):
+        texts = F.transform(runs, lambda r: F.array_join(F.transform(r, lambda x: F.concat(x["gap"], x["v"])), ""))
+        nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(_HEAD).alias("heads"))
+        return F.flatten(F.zip_with(runs, F.aggregate(texts, nothing, past, lambda acc: acc["heads"]), fold))
+
+    return F.when(F.size(found) > 0, _let(_let(steps, _runs), spans)).otherwise(F.array().cast(_SPAN))
+
+
+def _free(others: Column, seeds: Column) -> Column:
+    """The others, which are in order, that no seed overlaps; each run of them is held against the seeds in its range only."""
+    overlap = lambda y, s, e: (y["s"] < e) & (s < y["e"])
+
+    def of_run(run):
+        near = F.filter(seeds, lambda y: overlap(y, F.get(run, F.lit(0))["s"], F.element_at(run, -1)["e"]))
+        return _let(near, lambda near: F.filter(run, lambda x: ~F.exists(near, lambda y: overlap(y, x["s"], x["e"]))))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, nothing, add, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(others) > 0, F.flatten(F.transform(_runs(others), of_run))).otherwise(others)
 
 
 def _digits(value: Column) -> Column:
@@ -78,10 +119,9 @@ def _phone_length(value: Column) -> Column:
     return F.length(_digits(value)).between(9, 15)
 
 
-def _left_words(text: Column, start: Column) -> Column:
-    """The two words before a place, lower-cased, or null."""
-    before = F.lower(F.substr(text, F.greatest(start - LEFT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(LEFT_CHARS))))
-    one, two = F.regexp_extract(before, _LEFT, 1), F.regexp_extract(before, _LEFT, 2)
+def _left_words(before: Column) -> Column:
+    """The last two words, lower-cased, or null."""
+    one, two = F.regexp_extract(F.lower(before), _LEFT, 1), F.regexp_extract(F.lower(before), _LEFT, 2)
     return F.when(F.length(two) > 0, F.concat_ws(" ", one, two))
 
 
@@ -92,7 +132,7 @@ def seeds_and_candidates(docs: DataFrame) -> DataFrame:
     none = F.array().cast(_SPAN)
     rows = rows.select("*", F.col("text").rlike("[0-9]").alias("digit"))
     rows = rows.select(
-        "doc_id", "text",
+        "doc_id",
         F.when(F.contains("text", F.lit("@")), places(F.col("text"), _EMAIL)).otherwise(none).alias("email"),
         F.when(F.col("digit"), places(F.col("text"), _IP)).otherwise(none).alias("ip"),
         F.when(F.col("digit"), places(F.col("text"), _CARD)).otherwise(none).alias("card"),
@@ -104,15 +144,15 @@ def seeds_and_candidates(docs: DataFrame) -> DataFrame:
     def passing(kind: str) -> Column:
         return F.filter(kind, lambda x: good[kind](x["v"])) if kind in good else F.col(kind)
 
-    rows = rows.select("doc_id", "text", "others", *[passing(k).alias(k) for k in KINDS])
+    rows = rows.select("doc_id", "others", *[passing(k).alias(k) for k in KINDS])
 
     def seen(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), _left_words(F.col("text"), x["s"]).alias("left")))
+        return F.transform(kind, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), _left_words(x["before"]).alias("left")))
 
-    rows = rows.select("doc_id", "text", "others", F.concat(*[seen(k) for k in KINDS]).alias("seeds"))
-    trimmed = F.transform("others", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(F.regexp_replace(x["v"], "[._@/-]+$", ""))).alias("e"), F.regexp_replace(x["v"], "[._@/-]+$", "").alias("v")))
-    free = F.filter(trimmed, lambda x: (F.length(_digits(x["v"])) >= 4) & ~F.exists("seeds", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    others = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), _left_words(F.col("text"), x["s"]).alias("left")))
+    rows = rows.select("doc_id", "others", F.concat(*[seen(k) for k in KINDS]).alias("seeds"))
+    trimmed = F.transform("others", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(F.regexp_replace(x["v"], "[._@/-]+$", ""))).alias("e"), F.regexp_replace(x["v"], "[._@/-]+$", "").alias("v"), x["before"].alias("before")))
+    free = _let(F.filter(trimmed, lambda x: F.length(_digits(x["v"])) >= 4), lambda wanted: _free(wanted, F.col("seeds")))
+    others = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), _left_words(x["before"]).alias("left")))
     return rows.select("doc_id", "seeds", others.alias("others"), F.monotonically_increasing_id().alias("row"))
 
 
