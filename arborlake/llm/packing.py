@@ -3,12 +3,14 @@
 A document is its token ids and one end id. Documents longer than a sequence are cut into full pieces,
 the first of which may be shorter. Full pieces are sequences of their own; the others are packed.
 
-Pieces are dealt by hash to blocks of about ``BLOCK`` pieces, whatever their source. Each block is
-evolved on ``ISLANDS`` islands, each an independent Spark row group with its own population. A child
-of two packings takes whole well-filled bins of one parent, drops the other parent's bins that
-duplicate their pieces, and best-fits the displaced pieces into what is left. After each epoch the best packing of
-an island migrates to the next. At the end the badly filled bins of all blocks are dissolved and
-packed again together, so that blocks cost no more than a bin in total.
+Pieces are dealt by a row number to blocks of about ``BLOCK`` pieces, whatever their source and however
+often they repeat. Each block is evolved on ``ISLANDS`` islands, each an independent Spark row group with
+its own population. A child of two packings takes whole well-filled bins of one parent, drops the other
+parent's bins that duplicate their pieces and ``DISSOLVED`` of its worst bins, and best-fits the displaced
+pieces into what is left. After each epoch the best packing of an island migrates to the next. The budget
+is ``EPOCHS`` times ``GENERATIONS`` children an island; an island stops early only once its packing needs no
+more bins than the pieces' total length, which nothing can better. At the end the badly filled bins of all blocks
+are dissolved and packed again together; if they fit one block, blocks cost no more than a bin in total.
 
 A packing is an array of bin numbers, so a block's state is a few arrays of bounded length; epochs are
 written to the shared folder and a lost executor repeats one epoch of its blocks.
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions, ship, text_chunks
 
 LENGTH = 2048
-BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 2, 3, 2, 2
+BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 2, 6, 3, 30
 #: Bins filled to this share may be injected whole; final bins below LOOSE are packed again together.
-WELL_FILLED, LOOSE = 0.995, 0.97
+WELL_FILLED, LOOSE, DISSOLVED = 0.995, 0.97, 0.1
 SEED = 17
 
 
@@ -130,50 +132,61 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, length: int = LENGTH) -> tuple[
     return len(fill), -float(((fill / length) ** 2).mean())
 
 
+def least_bins(sizes: np.ndarray, length: int = LENGTH) -> int:
+    return -(-int(sizes.sum()) // length)
+
+
 def crossover(sizes: np.ndarray, mine: np.ndarray, other: np.ndarray, rng: np.random.Generator, length: int = LENGTH) -> np.ndarray:
     fill = np.bincount(other, weights=sizes)
     good = np.flatnonzero(fill >= WELL_FILLED * length)
-    if not len(good):
-        return mine
     given = np.zeros(len(fill), bool)
-    given[rng.choice(good, max(1, len(good) // 2), replace=False)] = True
+    given[rng.choice(good, -(-len(good) // 2), replace=False)] = True
     injected = given[other]
-    hit = np.zeros(int(mine.max()) + 1, bool)
+    own = np.bincount(mine, weights=sizes)
+    hit = np.zeros(len(own), bool)
     hit[mine[injected]] = True
+    worst = np.argsort(own + 0.05 * length * rng.random(len(own)), kind="stable")
+    hit[worst[: int(np.ceil(DISSOLVED * len(own)))]] = True
     child = np.where(hit[mine], -1, mine)
     child[injected] = len(hit) + other[injected]
     child[child >= 0] = np.unique(child[child >= 0], return_inverse=True)[1]
     loose = np.flatnonzero(child < 0)
-    return best_fit(sizes, child, loose[np.argsort(-sizes[loose], kind="stable")], length)
+    blur = 1 + 0.2 * rng.random() * rng.random(len(loose))
+    return best_fit(sizes, child, loose[np.argsort(-sizes[loose] * blur, kind="stable")], length)
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], rng: np.random.Generator, generations: int = GENERATIONS, length: int = LENGTH) -> list[np.ndarray]:
     """The population after some generations, best first; a child replaces the worst if it is no worse."""
-    population = sorted(population, key=lambda p: fitness(sizes, p, length))
-    least = -(-int(sizes.sum()) // length)
+    ranked = sorted(((fitness(sizes, p, length), p) for p in population), key=lambda x: x[0])
+    least = least_bins(sizes, length)
     for _ in range(generations):
-        if fitness(sizes, population[0], length)[0] <= least:
+        if ranked[0][0][0] <= least:
             break
-        a, b = rng.choice(len(population), 2, replace=False)
-        child = crossover(sizes, population[a], population[b], rng, length)
-        if fitness(sizes, child, length) <= fitness(sizes, population[-1], length):
-            population = sorted([*population[:-1], child], key=lambda p: fitness(sizes, p, length))
-    return population
+        a, b = rng.choice(len(ranked), 2, replace=False)
+        child = crossover(sizes, ranked[a][1], ranked[b][1], rng, length)
+        worth = fitness(sizes, child, length)
+        if worth <= ranked[-1][0]:
+            ranked = sorted([*ranked[:-1], (worth, child)], key=lambda x: x[0])
+    return [p for _, p in ranked]
 
 
 def first_population(sizes: np.ndarray, n: int, rng: np.random.Generator, length: int = LENGTH) -> list[np.ndarray]:
-    """Best fit by falling size, then by falling sizes that are blurred more and more."""
+    """Best fit by falling size, then by falling sizes that are blurred more and more; the first again where it cannot be bettered."""
     empty = np.full(len(sizes), -1, np.int64)
-    return [best_fit(sizes, empty, np.argsort(-sizes * (1 + 0.1 * k * rng.random(len(sizes))), kind="stable"), length) for k in range(n)]
+    falling = best_fit(sizes, empty, np.argsort(-sizes, kind="stable"), length)
+    if fitness(sizes, falling, length)[0] <= least_bins(sizes, length):
+        return [falling] * n
+    blurred = [-sizes * (1 + 0.1 * k * rng.random(len(sizes))) for k in range(1, n)]
+    return [falling, *[best_fit(sizes, empty, np.argsort(x, kind="stable"), length) for x in blurred]]
 
 
 _ORDER = ["length", "doc_id", "piece", "start", "ids_crc32"]
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, bin int, offset long, loose boolean"
+_PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, block long, bin int, offset long, loose boolean"
 
 
 def _pack(items: DataFrame, blocks: int, length: int, islands: int, epochs: int, loose: float) -> DataFrame:
     """The items with block, bin, offset and whether their bin is badly filled."""
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
     def begin(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = np.sort(pdf["length"].to_numpy())
@@ -226,7 +239,8 @@ def _pack(items: DataFrame, blocks: int, length: int, islands: int, epochs: int,
 
 def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    items = materialise(pieces(docs, length, path, pattern), "pieces")
+    found = pieces(docs, length, path, pattern)
+    items = materialise(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
     n = items.count()
     first = materialise(_pack(items, max(1, -(-n // block)), length, ISLANDS, EPOCHS, LOOSE), "packed")
     left = first.where("loose").select(*items.columns)
@@ -235,6 +249,6 @@ def pack(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, path: str |
 
     def numbered(df: DataFrame, level: int) -> DataFrame:
         # 2 levels, 2^31 bins a block
-        return df.select(*items.columns, ((F.col("block") * 2 + level) * F.lit(2**31) + F.col("bin")).alias("sequence_id"), "offset")
+        return df.select(*found.columns, ((F.col("block") * 2 + level) * F.lit(2**31) + F.col("bin")).alias("sequence_id"), "offset")
 
     return numbered(first.where("not loose"), 0).unionByName(numbered(again, 1))

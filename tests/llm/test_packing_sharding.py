@@ -76,6 +76,35 @@ def test_well_filled_bins_are_inherited():
     assert len(set(child.tolist())) < 8
 
 
+def hard_sizes(seed=3, n=400):
+    """Two or three pieces fill a sequence, so best fit by falling size leaves many of them half empty."""
+    return np.sort(np.random.default_rng(seed).integers(500, 900, n))
+
+
+def test_islands_better_best_fit():
+    for seed in (3, 4, 5):
+        sizes = hard_sizes(seed)
+        rng = np.random.default_rng(seed)
+        population = packing.first_population(sizes, packing.POPULATION, rng)
+        best = packing.evolve(sizes, population, rng, packing.EPOCHS * packing.GENERATIONS)[0]
+        assert packing.fitness(sizes, population[0])[0] - packing.fitness(sizes, best)[0] >= 3
+
+
+def test_packing_betters_best_fit(spark):
+    """The whole operator on lengths where best fit by falling size stays above the bound."""
+    sizes = hard_sizes()
+    rows = [(i, "a" + " a" * (int(n) - 2), "en", "s", 1) for i, n in enumerate(sizes)]
+    got = packing.pack(frame(spark, rows)).collect()
+    assert sorted(r["length"] for r in got) == sizes.tolist()
+    falling = packing.best_fit(sizes, np.full(len(sizes), -1, np.int64), np.argsort(-sizes, kind="stable"))
+    assert len({r["sequence_id"] for r in got}) <= int(falling.max()) + 1 - 3
+
+
+def test_repeated_rows_spread_over_blocks(spark):
+    got = packing.pack(frame(spark, [(7, "the same text", "en", "s", 1)] * 300), length=64, block=16).collect()
+    assert len(got) == 300 and len({r["sequence_id"] // 2**32 for r in got}) > 8
+
+
 def test_ring_rules(spark):
     rows = [(i, f"text {i % 7}", "en", "s", 1) for i in range(997)] + [(None, None, None, None, None)] * 3
     got = sharding.assign_shards(frame(spark, rows), virtual=16, cells=256).collect()
