@@ -14,7 +14,8 @@ Spark, so a crowded block value is shared out among tasks. Each task reduces its
 which keeps components and bounds what it emits by its number of fingerprints.
 
 Components come from alternating large-star and small-star rounds, each written to the shared
-folder. Only distinct fingerprints take part, so copies cost nothing here.
+folder. Once no more than ``PIECE`` links are left, one task settles them. Only distinct fingerprints
+take part, so copies cost nothing here.
 
 Defined results: null or blank text has fingerprint zero, which links like any other; a null
 ``doc_id`` takes part in its component but never names it unless all its ids are null; repeated rows
@@ -36,6 +37,8 @@ from .common import lower_ascii, materialise, partitions, ship, text_chunks
 SHINGLE, RADIUS, SEED = 3, 3, 42
 TILE = 1024
 TILE_ROWS = 8192
+#: Links of 16 bytes that one task may settle alone.
+PIECE = 250_000
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
@@ -190,7 +193,22 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     return dealt.repartition(partitions(fps.sparkSession), "deal").mapInPandas(run, "u long, v long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _settle(edges: DataFrame) -> DataFrame:
+    """node and root of links that one task can hold."""
+    ship(edges.sparkSession)
+
+    def run(batches):
+        held = [pdf.to_numpy() for pdf in batches if len(pdf)]
+        if held:
+            ends = np.concatenate(held)
+            u, v = _forest(ends[:, 0], ends[:, 1])
+            roots = np.unique(v)
+            yield pd.DataFrame({"node": np.concatenate((u, roots)), "root": np.concatenate((v, roots))})
+
+    return edges.select("a", "b").coalesce(1).mapInPandas(run, "node long, root long")
+
+
+def components(links: DataFrame, rounds: int = 60, piece: int = PIECE) -> DataFrame:
     """node and root, the smallest node that it reaches, for every node of a link."""
 
     def state(df: DataFrame):
@@ -199,6 +217,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialise(links.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), "links")
     before = state(edges)
     for _ in range(rounds):
+        if before[0] <= piece:
+            return _settle(edges)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

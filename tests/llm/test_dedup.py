@@ -74,14 +74,15 @@ def test_components_of_documents(spark):
 
 
 @pytest.mark.parametrize(("radius", "tile_rows"), [(3, 8192), (3, 40), (5, 60)])
-def test_links_keep_all_components(spark, radius, tile_rows):
+@pytest.mark.parametrize("piece", [0, simhash.PIECE])
+def test_links_keep_all_components(spark, radius, tile_rows, piece):
     rng = np.random.default_rng(radius)
     centres = rng.integers(0, 2**63, 40)
     fps = {int(c) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5))) for c in np.repeat(centres, 12)}
     fps |= {int(x) & ~0xFFFF for x in rng.integers(0, 2**40, 150)}  # a crowded block value
     fps = sorted(fps)
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
-    roots = {r["node"] & (2**64 - 1): r["root"] for r in simhash.components(simhash.near_pairs(df, radius, tile_rows)).collect()}
+    roots = {r["node"] & (2**64 - 1): r["root"] for r in simhash.components(simhash.near_pairs(df, radius, tile_rows), piece=piece).collect()}
     want = components(fps, radius)
     mine = defaultdict(set)
     for f, c in zip(fps, want, strict=True):
@@ -89,10 +90,12 @@ def test_links_keep_all_components(spark, radius, tile_rows):
     assert all(len(v) == 1 for v in mine.values()) and len({next(iter(v)) for v in mine.values()}) == len(mine)
 
 
-def test_long_chain_of_links(spark):
+@pytest.mark.parametrize("piece", [0, 60, simhash.PIECE])
+def test_long_chain_of_links(spark, piece):
     links = spark.createDataFrame([(i, i + 1) for i in range(120)], "u long, v long")
-    got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
-    assert got == dict.fromkeys(range(121), 0)
+    got = simhash.components(links, piece=piece).collect()
+    assert len(got) == 121 and {r["node"]: r["root"] for r in got} == dict.fromkeys(range(121), 0)
+    assert simhash.components(links.limit(0), piece=piece).count() == 0
 
 
 def test_near_keep_one(spark):
