@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, langid, language_model, licenses, line_dedup, packing, pii, sharding, simhash
+from . import conversation_repair, decontamination, exact_dedup, langid, language_model, licenses, line_dedup, packing, pii, prefix_trie, sharding, simhash, vector_search
 from .common import documents
+from .conversation_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair(conversation_repair.damage(conversations), known=conversations)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
@@ -76,9 +90,9 @@ SELECT doc_id, keep_id, n::BIGINT AS group_size, (chars = top AND doc_id IS NOT
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_language_id, op2_simhash, op3_packing, op4_sharding, op5_decontamination, op6_lm_score, op7_line_dedup, op8_licenses, op9_pii, op10_exact_dedup]
+    own = [op1_language_id, op2_simhash, op3_packing, op4_sharding, op5_decontamination, op6_lm_score, op7_line_dedup, op8_licenses, op9_pii, op10_exact_dedup, op11_conversation_repair, op12_top_k, op13_prefix_trie]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_top_k": OP12_SQL, "op13_prefix_trie": OP13_SQL}
