@@ -66,32 +66,43 @@ def _hashed_lists(ends: DataFrame, chunk: int = CHUNK) -> DataFrame:
         for b in batches:
             yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
 
-    def texts(batches):
-        for k, ((d, p, q), run) in enumerate(groupby(rows_of(batches), key=lambda r: r[:3])):
-            held, size, part = [], 0, 0
-            for r in run:
-                held.append(str(r[3]))
-                size += len(held[-1]) + 1
-                first = r[3] if len(held) == 1 else first
-                if size > chunk:
-                    yield pa.RecordBatch.from_pylist([{"depth": d, "p": p, "q": q, "first": first, "ids": ",".join(held)}])
-                    held, size, part = [], 0, part + 1
-            if held:
-                yield pa.RecordBatch.from_pylist([{"depth": d, "p": p, "q": q, "first": first, "ids": ",".join(held)}])
-
-    def hashes(batches):
-        held = []
-        for (d, p, q), run in groupby(rows_of(batches), key=lambda r: r[:3]):
-            sha = hashlib.sha256()
-            for k, r in enumerate(run):
-                sha.update((("," if k else "") + r[4]).encode())
-            held.append({"depth": d, "p": p, "q": q, "ends_sha256": sha.hexdigest()})
-            if len(held) == 10_000:
+    def packed(rows):
+        """Record batches of about ``chunk`` characters of ids or 10,000 rows."""
+        held, size = [], 0
+        for r in rows:
+            held.append(r)
+            size += len(r.get("ids", ""))
+            if size > chunk or len(held) == 10_000:
                 yield pa.RecordBatch.from_pylist(held)
-                held = []
+                held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(held)
 
+    def texts(batches):
+        def parts():
+            for (d, p, q), run in groupby(rows_of(batches), key=lambda r: r[:3]):
+                held, size = [], 0
+                for _, _, _, conv in run:
+                    held.append(conv)
+                    size += len(str(conv)) + 1
+                    if size > chunk:
+                        yield {"depth": d, "p": p, "q": q, "first": held[0], "ids": ",".join(map(str, held))}
+                        held, size = [], 0
+                if held:
+                    yield {"depth": d, "p": p, "q": q, "first": held[0], "ids": ",".join(map(str, held))}
+
+        return packed(parts())
+
+    def hashes(batches):
+        def lists():
+            for (d, p, q), run in groupby(rows_of(batches), key=lambda r: r[:3]):
+                sha = hashlib.sha256()
+                for k, r in enumerate(run):
+                    sha.update((("," if k else "") + r[4]).encode())
+                yield {"depth": d, "p": p, "q": q, "ends_sha256": sha.hexdigest()}
+
+        return packed(lists())
+
     by = [*NODE, "conv_id"]
     parts = ends.repartitionByRange(*by).sortWithinPartitions(*by).select(*by).mapInArrow(texts, "depth long, p long, q long, first long, ids string")
     again = [*NODE, "first"]
