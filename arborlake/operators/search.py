@@ -1,10 +1,11 @@
-"""Name search: compiled queries, outermost matches, their sums at every ancestor, the vocabulary index."""
+"""Name search: compiled queries, outermost matches, their sums at every ancestor. ``index`` has the index of names."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ def _valid(pattern: str, flags: str) -> bool:
         return True
     try:
         spark.range(1).select(F.lit("").rlike(flags + pattern)).collect()
-    except Exception:
-        return False
+    except SparkRuntimeException as e:
+        if (e.getCondition() or "").startswith("INVALID_PARAMETER_VALUE"):
+            return False
+        raise
     return True
 
 
@@ -123,43 +126,3 @@ def filter_tree(nodes: DataFrame) -> DataFrame:
 def top_matches(nodes: DataFrame, n: int) -> DataFrame:
     """The largest ``n`` nodes, shown in (depth, path) order."""
     return nodes.orderBy(F.col("size").desc(), "path", F.col("matched").desc()).limit(n).orderBy("depth", "path", "matched")
-
-
-def with_groups(snapshot: DataFrame, groups: int = 16) -> DataFrame:
-    """The snapshot with ``group``, the slice of its rows that an index names. Here groups are ranges of paths' hashes."""
-    return snapshot.withColumn("group", F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(groups)).cast("int"))
-
-
-def vocabulary(grouped: DataFrame) -> DataFrame:
-    """name, n_dirs, n_files and the sorted groups that hold it; the root has no name."""
-    if "child_scan_id" in grouped.columns and grouped.where("child_scan_id is not null").head(1):
-        raise ValueError("a chunked snapshot must be merged before it is indexed")
-    rows = grouped.where(F.col("path") != P.ROOT).select(P.basename("path").alias("name"), "kind", "group")
-    return rows.groupBy("name").agg(F.count_if(F.col("kind") == "dir").alias("n_dirs"), F.count_if(F.col("kind") == "file").alias("n_files"), F.sort_array(F.collect_set("group")).alias("row_groups"))
-
-
-def indexed_search(grouped: DataFrame, vocab: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
-    """:func:`search` through the vocabulary: only groups that hold a matching name are read and matched again.
-
-    A pattern with a slash can span names; for it every group is a candidate.
-    """
-    if query_mode(query) == "path":
-        return search(grouped, query, case_sensitive)
-    test = compile_query(query, case_sensitive)
-    groups = vocab.where(test("name")).select(F.explode("row_groups").alias("group")).distinct()
-    return search(grouped.join(groups, "group", "left_semi"), query, case_sensitive)
-
-
-def trigram_postings(vocab: DataFrame) -> DataFrame:
-    """trigram and the sorted names that contain it, lower-cased."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substr(F.lower("name"), i, F.lit(3)))
-    rows = vocab.where(F.length("name") >= 3).select("name", F.explode(F.array_distinct(grams)).alias("trigram"))
-    return rows.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_names"), F.sort_array(F.collect_set("name")).alias("names"))
-
-
-def trigram_candidates(postings: DataFrame, text: str) -> DataFrame:
-    """Names that hold every trigram of a text of three or more letters; candidates for an exact match."""
-    t = text.lower()
-    need = sorted({t[i : i + 3] for i in range(len(t) - 2)})
-    rows = postings.where(F.col("trigram").isin(need)).select("trigram", F.explode("names").alias("name"))
-    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(need)).select("name")

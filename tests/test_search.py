@@ -59,20 +59,6 @@ def test_rollup_progress_and_totals(tree):
     assert steps[-1]["n_matches"] == len(found) and [s["n_matches"] for s in steps] == sorted(s["n_matches"] for s in steps)
 
 
-@pytest.mark.parametrize("query", ["demo", "/^d/", "a/demo", "zzz"])
-def test_index_equals_scan(tree, query):
-    g = Q.with_groups(tree, 3)
-    a, b = Q.search(tree, query), Q.indexed_search(g, Q.vocabulary(g), query)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_chunked_snapshots_are_not_indexed(spark, tree):
-    from pyspark.sql import functions as F
-
-    with pytest.raises(ValueError, match="chunked"):
-        Q.vocabulary(Q.with_groups(tree).withColumn("child_scan_id", F.lit("x")))
-
-
 def test_histogram_bins(spark):
     rows = spark.createDataFrame([("a/1", 100, 0, "file"), ("a/2", 100, 10, "file"), ("a/3", 10, 100, "file"), ("b/1", 60, 50, "file"), ("loose.txt", 30, 99, "file")], "path string, size long, mtime long, kind string")
     t = R.rollup(rows, "s")
