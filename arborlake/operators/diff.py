@@ -56,33 +56,96 @@ def compare_children(a: DataFrame, b: DataFrame, under: str = "") -> DataFrame:
     return _measured(rows).select("path", F.coalesce("kind_b", "kind_a").alias("kind"), "status", "size_a", "size_b", "n_desc_a", "n_desc_b", "size_delta", "n_desc_delta")
 
 
-def _replay(queue: list[tuple[str, str, int]], budget: int) -> set[str]:
-    """The first ``budget`` expansions, best first, over (path, parent, abs delta) rows. The root is one."""
+def _replay(queue: list[tuple[str, str, int]], budget: int, start: str = "") -> list[str]:
+    """The first ``budget`` expansions in order, best first, over (path, parent, abs delta) rows. The start is one."""
     children: dict[str, list[tuple[str, int]]] = {}
     for path, parent, delta in sorted(queue):
         children.setdefault(parent, []).append((path, delta))
-    heap, seq, done = [(0, 0, 0, "")], 0, set()
+    heap, seq, done = [(0, 0, 0, start)], 0, []
     while heap and len(done) < budget:
         _, depth, _, at = heapq.heappop(heap)
-        done.add(at)
+        done.append(at)
         for path, delta in children.get(at, ()):
             seq += 1
             heapq.heappush(heap, (-delta, depth + 1, seq, path))
     return done
 
 
+def _first_expansions(reached: DataFrame, budget: int) -> set[str]:
+    """The paths that a best-first walk expands first: ``budget`` of them, the root ``''`` among them.
+
+    ``reached``: path, parent, depth, gain of the directories that the walk can come to. What it expands goes by the bottleneck, the
+    least gain on the way down from the start, and is settled in rounds:
+
+    1. Directories above the last bottleneck that fits are all expanded; they are fewer than the budget.
+    2. Of those that tie with it, each belongs to the nearest directory at or above it whose own gain is the tie. The walk
+       takes these by depth, so depths are filled from counts; below the last depth all are taken.
+    3. At the last depth they go in the order in which their parents were expanded, then by name. The parents are known from the first two
+       steps and are replayed on the driver. They are taken, with what belongs to them, while the budget lasts.
+    4. If it ends inside one of them, the next round starts there, with what is left.
+
+    What comes to the driver is at most the budget, however many tie.
+    """
+    if budget <= 0:
+        return set()
+    done, start, left = {""}, "", budget - 1
+    nodes = materialise(reached.select("path", "parent", "depth", "gain"), "can-expand")
+    while left > 0:
+        if nodes.limit(left + 1).count() <= left:
+            return done | {r["path"] for r in nodes.select("path").collect()}
+        above = nodes.select("path", F.explode(P.ancestors("path", own=True)).alias("up"))
+        least = above.join(nodes.select(F.col("path").alias("up"), F.col("gain").alias("up_gain")), "up").groupBy("path").agg(F.min("up_gain").alias("bottleneck"))
+        ranked = materialise(nodes.join(least, "path"), "bottlenecks")
+        tie = ranked.orderBy(F.col("bottleneck").desc()).limit(left).agg(F.min("bottleneck")).first()[0]
+        known = [(r["path"], r["parent"], r["gain"]) for r in ranked.where(F.col("bottleneck") > tie).select("path", "parent", "gain").collect()]
+        ties = ranked.where(F.col("bottleneck") == tie)
+        heads = ties.where(F.col("gain") == tie).select(F.col("path").alias("head"), F.col("depth").alias("head_depth"))
+        belongs = ties.select("path", F.explode(P.ancestors("path", own=True)).alias("head")).join(heads, "head")
+        nearest = belongs.groupBy("path").agg(F.max_by("head", "head_depth").alias("head"), F.max("head_depth").alias("head_depth"))
+        ties = materialise(ties.join(nearest, "path"), "ties")
+        room = left - len(known)
+        for r in ties.groupBy("head_depth").agg(F.count(F.lit(1)).alias("n")).orderBy("head_depth").collect():  # one row a level
+            last = r["head_depth"]
+            if r["n"] > room:
+                break
+            room -= r["n"]
+            last += 1
+        known += [(r["path"], r["parent"], r["gain"]) for r in ties.where(F.col("head_depth") < last).select("path", "parent", "gain").collect()]
+        order = _replay(known, len(known) + 1, start)
+        done |= set(order)
+        if not room:
+            return done
+        places = nodes.sparkSession.createDataFrame([(p, k) for k, p in enumerate(order)], "parent string, place long")
+        level = ties.where(F.col("head_depth") == last)
+        first = level.where("path = head").join(F.broadcast(places), "parent").orderBy("place", "path").limit(room).select("head", "place")  # at most the budget
+        sizes = level.join(F.broadcast(first), "head").groupBy("place", "head").agg(F.count(F.lit(1)).alias("n")).orderBy("place", "head").collect()
+        whole, start = [], None
+        for r in sizes:
+            if r["n"] > room:
+                start = r["head"] if room else None
+                break
+            whole.append(r["head"])
+            room -= r["n"]
+        if whole:
+            taken = nodes.sparkSession.createDataFrame([(p,) for p in whole], "head string")
+            done |= {r["path"] for r in level.join(F.broadcast(taken), "head").select("path").collect()}
+        if start is None:
+            return done
+        done.add(start)
+        left = room - 1
+        nodes = level.where((F.col("head") == start) & (F.col("path") != start)).select("path", "parent", "depth", "gain")
+    return done
+
+
 def recursive_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """path and size_delta of every path of either side."""
     return _measured(paired(a, b)).select("path", "size_delta")
 
 
-def recursive_diff(a: DataFrame, b: DataFrame, budget: int | None = None, max_depth: int | None = None, include_unchanged: bool = False, tie_cap: int = 100_000) -> DataFrame:
+def recursive_diff(a: DataFrame, b: DataFrame, budget: int | None = None, max_depth: int | None = None, include_unchanged: bool = False) -> DataFrame:
     """path, depth, kind, status, sizes, counts, deltas, expanded, pruned.
 
-    With a ``budget`` directories are expanded by falling absolute delta. The expansions are the
-    directories with the largest bottleneck (the least absolute delta on the way down); those, with
-    their ties, are few and are replayed in order on the driver. More than ``tie_cap`` ties are taken by
-    bottleneck, depth and path instead.
+    With a ``budget`` directories are expanded by falling absolute delta (see :func:`_first_expansions`).
     """
     rows = paired(a, b).where(~F.col("path").isin("", P.ROOT))
     stats = [differs(f"{c}_a", f"{c}_b") for c in STATS]
@@ -99,15 +162,7 @@ def recursive_diff(a: DataFrame, b: DataFrame, budget: int | None = None, max_de
     if max_depth is not None:
         reached = reached.where(F.col("depth") < max_depth)
     if budget is not None:
-        gains = reached.select(F.col("path").alias("up"), F.col("gain").alias("up_gain"))
-        least = reached.select("path", F.explode(F.filter(P.ancestors("path", own=True), lambda p: p != "")).alias("up")).join(gains, "up").groupBy("path").agg(F.min("up_gain").alias("bottleneck"))
-        ranked = reached.join(least, "path")
-        top = ranked.orderBy(F.col("bottleneck").desc()).limit(max(budget - 1, 0)).agg(F.min("bottleneck")).first()[0]
-        pool = ranked.where(F.col("bottleneck") >= (0 if top is None else top))
-        if pool.limit(tie_cap + 1).count() <= tie_cap:
-            done = _replay([(r["path"], r["parent"], r["gain"]) for r in pool.select("path", "parent", "gain").collect()], budget)
-        else:
-            done = {r["path"] for r in ranked.orderBy(F.col("bottleneck").desc(), "depth", "path").limit(max(budget - 1, 0)).select("path").collect()} | ({""} if budget > 0 else set())
+        done = _first_expansions(reached, budget)
         spark = a.sparkSession
         reached = reached.join(F.broadcast(spark.createDataFrame([(p,) for p in sorted(done)], "path string")), "path", "left_semi")
         opened_root = "" in done
@@ -156,15 +211,6 @@ def content_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(df.columns))), F.lit(0)).alias("digest"))
 
 
-def renames(removed: DataFrame, added: DataFrame) -> DataFrame:
-    """path_from, path_to, size, n_files of directories with equal digests, where the digest names one of each."""
-    def single(df: DataFrame, s: str) -> DataFrame:
-        g = df.groupBy("digest", "size", "n_files").agg(F.min("path").alias(f"path_{s}"), F.count(F.lit(1)).alias("n"))
-        return g.where("n = 1").drop("n")
-
-    return single(removed, "from").join(single(added, "to"), ["digest", "size", "n_files"]).select("path_from", "path_to", "size", "n_files")
-
-
 def diff_weights(rows: DataFrame, mode: str = "max", gap_bytes: int = 1_000_000, gap_share: float = 0.002) -> DataFrame:
     """path, depth, status, size_delta, weight of a diff's rows, their missing parents and fillers.
 
@@ -202,5 +248,3 @@ def diverging(rows: DataFrame, column: str = "size_delta") -> DataFrame:
     peak = rows.agg(F.max(F.abs(column)).alias("__peak"))
     top = peak.first()["__peak"] or 0
     return rows.withColumn("t", F.lit(0.0) if not top else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(column) / F.lit(top))))
-
-

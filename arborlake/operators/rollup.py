@@ -87,20 +87,6 @@ def rollup_listing(listing: DataFrame, scan_root: str, pivots: list[str] | None
     return rollup(rows, scan_root, sums=sums, mean_mtime=mean_mtime)
 
 
-def rollup_digest(listing: DataFrame, scan_root: str) -> DataFrame:
-    """Snapshot with ``digest``: the exclusive-or of a hash of (path below the directory, size) of its files.
-
-    Equal subtrees have equal digests wherever they hang. The hash depends on the directory, so it is
-    spread from the files; it costs rows times depth.
-    """
-    files = listing_rows(listing)
-    up = files.select("path", "size", F.explode(P.ancestors("path")).alias("dir"))
-    below = F.when(F.col("dir") == "", F.col("path")).otherwise(F.substr("path", F.length("dir") + 2))
-    digests = up.groupBy(P.named("dir").alias("path")).agg(F.bit_xor(F.xxhash64(below, "size")).alias("digest"))
-    dirs = rollup(files, scan_root).where("kind = 'dir'").join(digests, "path", "left")
-    return dirs.select("path", "size", "n_files", F.coalesce("digest", F.lit(0)).alias("digest"))
-
-
 def merge_rollups(parts: DataFrame) -> DataFrame:
     """One snapshot of the partial rollups of disjoint shards of a listing (all in one table).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, rollup
+from ..operators import diff, digest, rollup
 from . import fixtures as X
 from ._register import registrar
 
@@ -110,16 +110,33 @@ def path_sets(spark, sf_dir):
     return only.unionByName(both).agg(F.sum("a").alias("only_a"), F.sum("b").alias("both"))
 
 
-@query(f"WITH {X.SNAPSHOT} SELECT path AS path_from, 'MOVED/' || path AS path_to, size, n_files FROM snap WHERE kind = 'dir' AND depth = 2")
+_MOVED = f"""{X.OBJECTS}, m AS (SELECT name, size, string_split(name, '/') AS p FROM objects),
+r AS MATERIALIZED (SELECT DISTINCT CASE p[1] WHEN 'AFRICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'MIDDLE EAST' THEN 3 ELSE 4 END AS d, array_to_string(p[1:CASE p[1] WHEN 'AFRICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'MIDDLE EAST' THEN 3 ELSE 4 END], '/') AS path_from,
+  CASE p[1] WHEN 'AFRICA' THEN 'OLD/AFRICA' WHEN 'ASIA' THEN 'EUROPE/' || p[2] WHEN 'MIDDLE EAST' THEN p[1] || '/' || p[2] || '/was-' || p[3] ELSE p[1] || '/' || p[2] || '/' || p[3] || '/done-' || p[4] END AS path_to
+  FROM m WHERE p[1] IN ('AFRICA', 'ASIA', 'MIDDLE EAST') OR (p[1] = 'AMERICA' AND CAST(p[4] AS BIGINT) % 5 = 0))"""
+
+
+def _moved_listing(rows):
+    """A region, the nations of another, the segments of a third and a fifth of the orders of a fourth get other paths."""
+    p = F.split("name", "/")
+    done = (p[0] == "AMERICA") & (F.pmod(F.try_element_at(p, F.lit(4)).cast("long"), F.lit(5)) == 0)
+    name = F.when(p[0] == "AFRICA", F.concat(F.lit("OLD/"), F.col("name"))).when(p[0] == "ASIA", F.concat(F.lit("EUROPE/"), F.substr("name", F.lit(6))))
+    name = name.when(p[0] == "MIDDLE EAST", F.concat_ws("/", p[0], p[1], F.concat(F.lit("was-"), p[2]), p[3], p[4])).when(done, F.concat_ws("/", p[0], p[1], p[2], F.concat(F.lit("done-"), p[3]), p[4]))
+    return rows.withColumn("name", name.otherwise(F.col("name")))
+
+
+@query(f"WITH {_MOVED} SELECT path_from, path_to, CAST(sum(m.size) AS BIGINT) AS size, count(*) AS n_files FROM r JOIN m ON array_to_string(p[1:d], '/') = path_from GROUP BY 1, 2")
 def renamed_subtrees(spark, sf_dir):
-    """Every nation moves under another top directory; equal digests find the pairs."""
+    """Directories of four levels move; equal digests find the pairs, and only the highest are told."""
     rows = X.objects(spark, sf_dir)
-    before = rollup.rollup_digest(rows, X.SCHEME).where("path <> '.'")
-    after = rollup.rollup_digest(rows.withColumn("name", F.concat(F.lit("MOVED/"), F.col("name"))), X.SCHEME)
-    level = lambda df, n: df.where(F.size(F.split("path", "/")) == n)
-    return diff.renames(level(before, 2), level(after, 3))
+    return digest.moved(*[digest.directory_digests(rollup.listing_rows(x)) for x in (rows, _moved_listing(rows))])
 
 
-@query(None)
+@query(f"""WITH {X.OBJECTS}, up AS (SELECT name, size, unnest(list_transform(range(len(string_split(name, '/'))), lambda i: array_to_string(string_split(name, '/')[1:i], '/'))) AS dir FROM objects),
+c AS MATERIALIZED (SELECT dir, CAST(sum(size) AS BIGINT) AS size, count(*) AS n_files, sha256(string_agg(substr(name, CASE WHEN dir = '' THEN 1 ELSE length(dir) + 2 END) || ':' || size, chr(10) ORDER BY substr(name, CASE WHEN dir = '' THEN 1 ELSE length(dir) + 2 END), size)) AS content FROM up GROUP BY dir),
+g AS (SELECT content, count(*) AS n_equal, min(CASE WHEN dir = '' THEN '.' ELSE dir END) AS first_equal FROM c GROUP BY 1)
+SELECT CASE WHEN dir = '' THEN '.' ELSE dir END AS path, size, n_files, n_equal, first_equal FROM c JOIN g USING (content)""")
 def subtree_digests(spark, sf_dir):
-    return rollup.rollup_digest(X.objects(spark, sf_dir), X.SCHEME)
+    """Which directories hold the same, by Merkle digests here and by whole contents in SQL."""
+    found = digest.directory_digests(rollup.listing_rows(X.objects(spark, sf_dir)))
+    return digest.equal_groups(found).select("path", "size", "n_files", "n_equal", "first_equal")

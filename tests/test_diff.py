@@ -4,6 +4,7 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborlake.functions import paths as P
 from arborlake.operators import diff as D
@@ -72,6 +73,46 @@ def test_recursive_against_walk(spark, seed):
         assert got == walk(as_map(a), as_map(b), budget, deep, every), (budget, deep, every)
 
 
+def plain_order(rows):
+    """Every expansion of a heap of (path, parent, gain), in order."""
+    kids = {}
+    for p, up, gain in sorted(rows):
+        kids.setdefault(up, []).append((p, gain))
+    heap, seq, out = [(0, 0, 0, "")], 0, []
+    while heap:
+        _, depth, _, at = heapq.heappop(heap)
+        out.append(at)
+        for p, gain in kids.get(at, []):
+            seq += 1
+            heapq.heappush(heap, (-gain, depth + 1, seq, p))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_budgets_with_ties_at_every_level(spark, seed):
+    """Gains of two or three values, so that ties nest; each budget gives the beginning of one order."""
+    rng = random.Random(seed)
+    rows, open_ = [], [("", 0)]
+    for _ in range(60):
+        up, depth = rng.choice(open_)
+        p = f"{up}/{rng.choice('abcdefgh')}{len(rows)}".lstrip("/")
+        rows.append((p, up, depth + 1, rng.choice([0, 5, 5, 9] if seed % 2 else [5, 9])))
+        if depth < 4:
+            open_.append((p, depth + 1))
+    df = spark.createDataFrame(rows, "path string, parent string, depth int, gain long").repartition(3)
+    order = plain_order([(p, up, g) for p, up, _, g in rows])
+    for budget in [1, *rng.sample(range(2, 60), 2), 61]:
+        assert D._first_expansions(df, budget) == set(order[:budget]), budget
+
+
+def test_more_ties_than_any_driver_list(spark):
+    """150,000 directories change by one byte each; a budget of seven opens the first six by name."""
+    n = 150_000
+    path = F.format_string("d%06d", F.col("id"))
+    rows = spark.range(n).select(path.alias("path"), F.lit("").alias("parent"), F.lit(1).alias("depth"), F.lit(1).cast("long").alias("gain"))
+    assert D._first_expansions(rows, 7) == {""} | {f"d{k:06d}" for k in range(6)}
+
+
 def test_kind_swap_is_reported_and_not_entered(spark):
     a, b = snap(spark, [("x/f", 5, 1)]), snap(spark, [("x", 5, 1)])
     got = {r["path"]: (r["status"], r["expanded"]) for r in D.recursive_diff(a, b).collect()}

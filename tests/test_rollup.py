@@ -120,9 +120,3 @@ def test_merged_shards_equal_one_rollup(spark):
     merged = R.merge_rollups(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     whole = R.rollup_listing(df, "s").select(*merged.columns)
     assert whole.exceptAll(merged).count() == 0 and merged.exceptAll(whole).count() == 0
-
-
-def test_digest_names_equal_subtrees(spark):
-    df = simple(spark, [("a/x/1", 5), ("a/x/2", 6), ("b/x/1", 5), ("b/x/2", 6), ("c/x/1", 5), ("c/x/2", 7)])
-    d = {r["path"]: r["digest"] for r in R.rollup_digest(df, "s").collect()}
-    assert d["a"] == d["b"] and d["a/x"] == d["b/x"] and d["c/x"] != d["a/x"]
