@@ -21,7 +21,11 @@ _COLUMNS = "path, kind, status, size_a, size_b, n_desc_a, n_desc_b, size_delta,
 # reachable by levels: a top directory that is descendable, then descendable children of reachable ones
 _REACH = f"""{_PAIR}, r1 AS (SELECT path FROM j WHERE depth = 1 AND descend), r2 AS (SELECT j.path FROM j JOIN r1 ON j.up = r1.path WHERE descend), r3 AS (SELECT j.path FROM j JOIN r2 ON j.up = r2.path WHERE descend),
 r4 AS (SELECT j.path FROM j JOIN r3 ON j.up = r3.path WHERE descend), reach AS MATERIALIZED (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)"""
-_SHOWN = f"SELECT {_COLUMNS}, depth, path IN (SELECT path FROM reach) AS expanded, false AS pruned FROM j WHERE path <> '.' AND (up = '' OR up IN (SELECT path FROM reach))"
+# every row with whether it and its parent are reachable; a path stands twice in j if it changed its kind
+_FLAGS = f"""{_REACH}, one AS MATERIALIZED (SELECT DISTINCT path FROM reach), fl AS MATERIALIZED (SELECT j.*, r.path IS NOT NULL AS reached, j.up = '' OR u.path IS NOT NULL AS shown FROM j LEFT JOIN one r ON j.path = r.path LEFT JOIN one u ON j.up = u.path WHERE j.path <> '.')"""
+_SHOWN = f"SELECT {_COLUMNS}, depth, reached AS expanded, false AS pruned FROM fl WHERE shown"
+# the same with a part of the reachable directories opened
+_CUT = f"oj AS MATERIALIZED (SELECT fl.*, o.path IS NOT NULL AS opened, fl.up = '' OR p.path IS NOT NULL AS under FROM fl LEFT JOIN o ON fl.path = o.path LEFT JOIN o p ON fl.up = p.path) SELECT {_COLUMNS}, depth, opened AS expanded, reached AND NOT opened AS pruned FROM oj WHERE under AND (status <> 'unchanged' OR (reached AND NOT opened))"
 
 
 @query(f"WITH {_PAIR} SELECT {_COLUMNS} FROM j WHERE up = 'ASIA'")
@@ -29,25 +33,24 @@ def diff_children(spark, sf_dir):
     return diff.compare_children(*X.two_snapshots(spark, sf_dir), "ASIA")
 
 
-@query(f"WITH {_REACH} {_SHOWN} AND status <> 'unchanged'")
+@query(f"WITH {_FLAGS} {_SHOWN} AND status <> 'unchanged'")
 def diff_recursive(spark, sf_dir):
     return diff.recursive_diff(*X.two_snapshots(spark, sf_dir))
 
 
-@query(f"WITH {_REACH} {_SHOWN}")
+@query(f"WITH {_FLAGS} {_SHOWN}")
 def diff_with_unchanged(spark, sf_dir):
     return diff.recursive_diff(*X.two_snapshots(spark, sf_dir), include_unchanged=True)
 
 
-@query(f"WITH {_REACH}, o AS (SELECT path FROM r1) SELECT {_COLUMNS}, depth, path IN (SELECT path FROM o) AS expanded, path IN (SELECT path FROM reach) AND NOT path IN (SELECT path FROM o) AS pruned FROM j WHERE path <> '.' AND (up = '' OR up IN (SELECT path FROM o)) AND (status <> 'unchanged' OR (path IN (SELECT path FROM reach) AND NOT path IN (SELECT path FROM o)))")
+@query(f"WITH {_FLAGS}, o AS MATERIALIZED (SELECT DISTINCT path FROM r1), {_CUT}")
 def diff_max_depth(spark, sf_dir):
     return diff.recursive_diff(*X.two_snapshots(spark, sf_dir), max_depth=2)
 
 
-@query(f"""WITH {_REACH}, g AS (SELECT path, abs(size_delta) AS gain FROM j WHERE path IN (SELECT path FROM reach)),
-b AS (SELECT r.path, min(g.gain) AS bottleneck FROM reach r JOIN g ON r.path = g.path OR starts_with(r.path, g.path || '/') WHERE length(r.path) - length(replace(r.path, '/', '')) < 2 GROUP BY 1),
-o AS (SELECT path FROM b ORDER BY bottleneck DESC, path LIMIT 9)
-SELECT {_COLUMNS}, depth, path IN (SELECT path FROM o) AS expanded, path IN (SELECT path FROM reach) AND NOT path IN (SELECT path FROM o) AS pruned FROM j WHERE path <> '.' AND (up = '' OR up IN (SELECT path FROM o)) AND (status <> 'unchanged' OR (path IN (SELECT path FROM reach) AND NOT path IN (SELECT path FROM o)))""")
+@query(f"""WITH {_FLAGS}, g AS MATERIALIZED (SELECT path, up, depth, abs(size_delta) AS gain FROM fl WHERE reached AND depth < 3),
+b AS (SELECT path, gain AS bottleneck FROM g WHERE depth = 1 UNION ALL SELECT g.path, least(g.gain, u.gain) FROM g JOIN g u ON g.up = u.path WHERE g.depth = 2),
+o AS MATERIALIZED (SELECT path FROM b ORDER BY bottleneck DESC, path LIMIT 9), {_CUT}""")
 def diff_budget(spark, sf_dir):
     """Ten expansions, the root and nine more; deltas fall with depth here, so all are of depth 1 and 2."""
     return diff.recursive_diff(*X.two_snapshots(spark, sf_dir), budget=10)
@@ -59,7 +62,7 @@ def diff_extent(spark, sf_dir):
     return diff.extent(diff.recursive_diff(*X.two_snapshots(spark, sf_dir), budget=10, include_unchanged=True), 10)
 
 
-@query(f"WITH {_REACH} SELECT status, count(*) AS n_rows, CAST(sum(size_delta) AS BIGINT) AS size_delta FROM ({_SHOWN}) GROUP BY 1")
+@query(f"WITH {_FLAGS} SELECT status, count(*) AS n_rows, CAST(sum(size_delta) AS BIGINT) AS size_delta FROM ({_SHOWN}) GROUP BY 1")
 def diff_summary(spark, sf_dir):
     return diff.summarize(diff.recursive_diff(*X.two_snapshots(spark, sf_dir), include_unchanged=True))
 
@@ -81,7 +84,7 @@ def diverging_scale(spark, sf_dir):
     return diff.diverging(rows).select("path", "size_delta", F.round("t", 9).alias("t"))
 
 
-@query(f"""WITH {_REACH}, s0 AS MATERIALIZED (SELECT path, up, status, size_delta, greatest(coalesce(size_a, 0), coalesce(size_b, 0)) AS own, depth FROM ({_SHOWN.replace("SELECT path,", "SELECT path, up,", 1)} AND status <> 'unchanged')),
+@query(f"""WITH {_FLAGS}, s0 AS MATERIALIZED (SELECT path, up, status, size_delta, greatest(coalesce(size_a, 0), coalesce(size_b, 0)) AS own, depth FROM ({_SHOWN.replace("SELECT path,", "SELECT path, up,", 1)} AND status <> 'unchanged')),
 anc AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM s0),
 s AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END, 'unchanged', 0, 0, CAST(length(path) - length(replace(path, '/', '')) + 1 AS INT) FROM anc WHERE path NOT IN (SELECT path FROM s0)),
 w5 AS MATERIALIZED (SELECT *, own AS weight, NULL::BIGINT AS kids FROM s WHERE depth = 5), k5 AS (SELECT up AS path, CAST(sum(weight) AS BIGINT) AS kids FROM w5 GROUP BY 1),
