@@ -1,20 +1,23 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are hashed. Fixed masks of ``SPAN`` words ignore some positions, so that a seed survives a
-substituted word there. Seeds of the benchmark and of the documents are joined; around each hit the
-benchmark item is laid over the document at the same offset and the words of a window, the seed and up to
-``AROUND`` words of the item on either side, are compared one by one. A hit holds if at least ``SIMILARITY``
-of the window's words agree, so substituted words count against it and no more. Items of fewer than
-``SPAN`` words have no seed: they are found where they stand whole and unchanged, by the hash of all
-their words.
-
-All of it is DataFrame functions: word hashes are one array per document, its positions are exploded
-and hashed in generated code beside the join, and no seed row of a document is shuffled. The
-benchmark side is broadcast in parts of at most ``PART_WORDS`` words (checked by a count); a larger
-benchmark takes more passes, not a larger broadcast.
+Words are hashed. Fixed masks look at four words out of up to eight and ignore the others, so that a seed survives
+substituted words there. The three masks are chosen so that every eight words in a row, of which any two are substituted, still
+hold a seed; and whichever fifth of an item's words is substituted, some eight words in a row have at most two of them. So no
+item of ``SPAN`` words or more that agrees in ``SIMILARITY`` of its words is passed over by the seeds.
+
+Seeds of the benchmark and of the documents are joined and leave the distinct places where an item is to be laid over a
+document (row, item, shift). There the words are compared one by one: the whole item, and windows of it, eight words and
+up to ``AROUND`` words on either side. A place holds if at least ``SIMILARITY`` of a window's or of the item's words agree, so
+substituted words count against it and no more. Items of fewer than ``SPAN`` words are found where they stand whole and unchanged, by
+the hash of all their words, in a pass of their own.
+
+All of it is DataFrame functions. Word hashes are one array per document, written once. Its positions are exploded, hashed
+and joined in one generated stage that carries no array further: what leaves it is one small row per distinct place. Arrays come back
+for rows with a place only. The benchmark side is broadcast in parts of at most ``PART_WORDS`` words (checked by a
+count); a larger benchmark takes more passes, not a larger broadcast.
 
 Defined results: null texts hold no words and are clean; items without a word are never
-found; items with a null ``item_id`` are found like others; documents that share a ``doc_id`` are one document here; a null ``doc_id`` is
+found; items with a null ``item_id`` are found like others; rows that share a ``doc_id`` are reported as one document, each laid under the items by itself; a null ``doc_id`` is
 a value like any other; ``drop_contaminated`` judges each row by itself, whatever its id; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,11 +28,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .simhash import numbered
 
 SPAN = 8
-#: The positions that each mask looks at.
-MASKS = [(0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7)]
+#: The positions that each mask looks at. Split eight words into four pairs: two pairs that are whole are one of these, somewhere.
+MASKS = [(0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7)]
 AROUND = 8
 SIMILARITY = 0.8
 PART_WORDS = 400_000
@@ -41,50 +45,63 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, at: str) -> Column:
-    """The masks' hashes at a position, each mask in a space of its own."""
-    return F.array(*[F.xxhash64(F.lit(k), *[F.col(words)[F.col(at) + o] for o in mask]) for k, mask in enumerate(MASKS)])
+def _seeds(df: DataFrame, words: str, keep: list[str]) -> DataFrame:
+    """``keep``, at and seed: the masks' hashes at each position, each mask in a space of its own."""
+    places = df.where(F.size(words) >= 4).select(*keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - 4)).alias("at"))
+    one = lambda k, mask: F.when(F.col("at") + mask[-1] < F.size(words), F.xxhash64(F.lit(k), *[F.get(words, F.col("at") + o) for o in mask]))
+    return places.select(*keep, "at", F.explode(F.array(*[one(k, mask) for k, mask in enumerate(MASKS)])).alias("seed"))
 
 
-def _positions(df: DataFrame, words: str) -> DataFrame:
-    long = df.where(F.size(words) >= SPAN)
-    return long.select("*", F.explode(F.sequence(F.lit(0), F.size(words) - SPAN)).alias("at"))
+def _runs(df: DataFrame, words: str, keep: list[str], lengths: list[int]) -> DataFrame:
+    """``keep``, at and seed: the hashes of the n words from each position, for each of the lengths."""
+    places = df.where(F.size(words) > 0).select(*keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("at"))
+    one = lambda n: F.when(F.col("at") + n <= F.size(words), F.xxhash64(F.lit(n), *[F.get(words, F.col("at") + o) for o in range(n)]))
+    return places.select(*keep, "at", F.explode(F.array(*[one(n) for n in lengths])).alias("seed"))
 
 
-def _whole(df: DataFrame, words: str, lengths: list[int]) -> DataFrame:
-    """The rows with at, n and seed: the hash of the n words from each position, for each of the lengths."""
-    at = df.where(F.size(words) > 0).select("*", F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("at"))
-    runs = at.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.col("at") + F.col("n") <= F.size(words))
-    return runs.withColumn("seed", F.xxhash64("n", F.slice(words, F.col("at") + 1, F.col("n"))))
+def _places(places: DataFrame, seeds: DataFrame) -> DataFrame:
+    """row, key, shift: where seeds meet, each once."""
+    hits = places.join(F.broadcast(seeds), "seed")
+    return hits.select("row", "key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, part_words: int = PART_WORDS) -> DataFrame:
-    """doc_id, item_id, n_hits, n_matched, share: the best window of each item found in a document."""
+    """doc_id, item_id, n_hits (places), n_matched, share: the best window of each item found in a document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")).distinct()
     items = items.withColumn("key", F.xxhash64("item_id", "item"))  # of null ids as well; a clash is only one more place to check
     total = items.agg(F.sum(F.size("item"))).first()[0] or 0
     parts = max(1, -(-total // part_words))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
+    texts = materialise(texts, "word-hashes")
+    longest = items.agg(F.max(F.size("item"))).first()[0] or 1
     short = sorted(r[0] for r in items.where(F.size("item").between(1, SPAN - 1)).select(F.size("item")).distinct().collect())  # at most SPAN - 1 lengths
 
     def against(part: DataFrame) -> DataFrame:
-        seeds = _positions(part, "item").select("key", F.col("at").alias("item_at"), F.explode(_seeds("item", "at")).alias("seed"))
-        places = _positions(texts, "words").select("doc_id", "words", "at", F.explode(_seeds("words", "at")).alias("seed"))
+        seeds = _seeds(part.where(F.size("item") >= SPAN), "item", ["key"]).where("seed is not null").withColumnRenamed("at", "item_at").distinct()
+        places = _places(_seeds(texts, "words", ["row"]), seeds)
         if short:
-            seeds = seeds.unionByName(_whole(part.where(F.size("item") < SPAN), "item", short).where("at = 0 and n = size(item)").select("key", F.col("at").alias("item_at"), "seed"))
-            places = places.unionByName(_whole(texts, "words", short).select("doc_id", "words", "at", "seed"))
-        hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(part), "key")
-        first = F.greatest(F.lit(0), F.col("item_at") - AROUND)
-        window = F.slice("item", first + 1, F.col("item_at") + SPAN + AROUND - first)
-        shift = F.col("at") - F.col("item_at") + first
-        agree = F.size(F.filter(window, lambda w, k: F.get("words", shift + k) == w))
-        least = F.when(F.size("item") < SPAN, 1.0).otherwise(F.lit(float(similarity)))
-        checked = hits.select("doc_id", "item_id", agree.alias("n_matched"), (agree / F.size(window)).alias("share"), least.alias("least"))
-        return checked.where("share >= least").drop("least")
+            few = part.where(F.size("item").between(1, SPAN - 1))
+            own = reduce(lambda w, n: w.when(F.size("item") == n, F.xxhash64(F.lit(n), *[F.get("item", F.lit(o)) for o in range(n)])), short, F.when(F.lit(False), F.lit(None).cast("long")))
+            whole = few.select("key", F.lit(0).alias("item_at"), own.alias("seed"))
+            places = places.unionByName(_places(_runs(texts, "words", ["row"], short), whole))
+        # a third of the documents may share a passage: their arrays are joined by row, which is unique on this side
+        met = places.join(texts, "row").select("doc_id", "key", "shift", F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.lit(longest)).alias("near"))
+        laid = met.join(F.broadcast(part), "key")
+        n, lead = F.size("item"), F.greatest(-F.col("shift"), F.lit(0))
+        agree = F.transform("item", lambda w, k: (F.get("near", k - lead) == w).eqNullSafe(F.lit(True)).cast("int"))
+        laid = laid.select("doc_id", "item_id", n.alias("n"), agree.alias("agree"))
+        first = lambda q: F.greatest(q - AROUND, F.lit(0))
+        size = lambda q: F.least(q + SPAN + AROUND, F.col("n")) - first(q)
+        added = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+        window = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - SPAN, F.lit(0))), lambda q: F.struct((added(F.slice("agree", first(q) + 1, size(q))) / size(q)).alias("share"), added(F.slice("agree", first(q) + 1, size(q))).alias("n_matched")))
+        every = F.struct((added(F.col("agree")) / F.col("n")).alias("share"), added(F.col("agree")).alias("n_matched"))
+        least = F.when(F.col("n") < SPAN, 1.0).otherwise(F.lit(float(similarity)))
+        best = F.when(F.col("n") < SPAN, every).otherwise(F.array_max(F.concat(window, F.array(every))))
+        return laid.select("doc_id", "item_id", best.alias("best"), least.alias("least")).where("best.share >= least").select("doc_id", "item_id", "best")
 
     found = [against(items if parts == 1 else items.where(F.pmod(F.col("key"), F.lit(parts)) == p)) for p in range(parts)]
     hits = reduce(DataFrame.unionByName, found)
-    return hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("n_matched").cast("long").alias("n_matched"), F.max("share").alias("share"))
+    return hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("best.n_matched").cast("long").alias("n_matched"), F.max("best.share").alias("share"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
