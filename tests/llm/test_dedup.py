@@ -167,6 +167,29 @@ def test_near_copies_at_five_words(spark):
     assert near_copies.keep_one(frame(spark, [])).count() == 0
 
 
+def test_a_template_shared_by_thousands(spark, monkeypatch):
+    """3,000 texts of one long template and own words, each with a near copy: deals that the template crowds are dealt by rare shingles."""
+    from arborlake.llm import near_copies
+
+    rng = np.random.default_rng(9)
+    template, texts = [f"t{k}" for k in range(60)], []
+    for k in range(1500):
+        own = [f"o{k}x{j}" for j in range(30)]
+        copy = [*own[:-1], f"c{k}"]
+        texts += [(2 * k, [*template, *own]), (2 * k + 1, [*template, *copy])]
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "row long, text string").repartition(4)
+    crowds, dealt = [], []
+    by_rarest = near_copies._by_rarest
+    monkeypatch.setattr(near_copies, "_by_rarest", lambda placed, *a: crowds.append(placed.count()) or by_rarest(placed, *a))
+    tiles = near_copies._tiles
+    monkeypatch.setattr(near_copies, "_tiles", lambda *a: dealt.append(out := tiles(*a)) or out)
+    found = simhash.components(near_copies.links(docs, tile_rows=64)).collect()
+    roots = {r["node"]: r["root"] for r in found}
+    assert roots == {k: k - k % 2 for k in range(3000)}
+    assert crowds and dealt[0].count() < 100_000  # pairs of tiles over all rows would be 3000 * 24 * 47 rows
+
+
 def test_routed_lines_of_copies_do_not_meet(spark):
     """Copies send their lines once, and the lines of one text are shared out."""
     text = "\n".join(f"line {k}" for k in range(400))

@@ -8,37 +8,51 @@ import pytest
 import corpus_pipeline
 from arborlake.llm import packing, queries
 
-from .helpers import ITEM, awkward, components, fingerprint, frame
+from .helpers import BASE, ITEM, awkward, frame
 from .test_text import plain_overlaps
 
 BLANK = str.maketrans("", "", " \t\n\x0b\x0c\r")
 DATA = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    """Sets of five words in a row, A-Z lower-cased; fewer words are one shingle."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
 def plain_pipeline(rows, items):
     rows = [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")]
     best = {}
     for r in sorted(rows, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)):
         best.setdefault(r[1].translate(BLANK), r)
     rows = list(best.values())
-    comp = components([fingerprint(r[1]) for r in rows])
-    least = {}
-    for c, r in zip(comp, rows, strict=True):
-        if r[0] is not None:
-            least[c] = min(least.get(c, r[0]), r[0])
-    rows = [r for c, r in zip(comp, rows, strict=True) if r[0] == least.get(c)]
-    gone = {d for d, _ in plain_overlaps(rows, items)}
-    rows = [r for r in rows if r[0] not in gone]
+    sets = [shingles(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    first = {}
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
+        first.setdefault(label[k], k)
+    rows = [rows[k] for k in sorted(first.values())]
+    rows = [r for r in rows if not plain_overlaps([r], items)]
     encode = packing.encoder(*packing.vocabulary()).encode_ordinary
     return Counter((r[0], k, s, n) for r in rows for k, (s, n) in enumerate(packing.cut(len(encode(r[1])) + 1)))
 
 
 def test_against_plain_steps(spark, tmp_path):
-    items = [(1, ITEM)]
-    frame(spark, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    """With near copies that three-word fingerprints part, a long text, and a template that many texts share."""
+    items = [(1, ITEM), (2, "four words of benchmark")]
+    words = BASE.split() * 2
+    more = [(300 + k, " ".join([*words[:-1], f"end{k}"]), "en", "n", 1) for k in range(5)] + [(400 + k, " ".join([*words, *[f"own{k}x{j}" for j in range(40)]]), "en", "hot", 1) for k in range(40)]
+    more += [(500, " ".join(f"long{k % 3001}" for k in range(30_000)), "en", "l", 1), (501, f"so {items[1][1]} ends", "en", "l", 1)]
+    rows = [*awkward(), *more]
+    frame(spark, rows, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in got) == plain_pipeline(awkward(), items)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in got) == plain_pipeline(rows, items)
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
