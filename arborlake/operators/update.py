@@ -1,4 +1,4 @@
-"""Deleting a subtree from a snapshot."""
+"""Deleting subtrees from a snapshot."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..steps import materialise
 from . import rollup as R
 
 
@@ -29,6 +30,29 @@ def delete_subtree(snapshot: DataFrame, path: str) -> tuple[DataFrame, dict | No
     return out.withColumns(changed), {c: gone[c] for c in ("path", "kind", "size", "n_desc", "n_files", "n_children")}
 
 
+def delete_prefixes(snapshot: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The snapshot without the paths of a table of any size (``path``) and all below them.
+
+    Of nested paths the outermost counts. What each takes with it is its own row's statistics; these are summed once for every
+    ancestor and taken off in one join. As with one path, ``mtime`` and the mean stay, and a directory that loses all its children stays,
+    empty. Absent paths change nothing; the root cannot be deleted.
+    """
+    tops = P.outermost(prefixes.select("path").where(~F.col("path").isin("", P.ROOT)))
+    tops = materialise(tops.withColumn("__n", F.size(F.split("path", "/"))), "deleted-prefixes")
+    levels = [r[0] for r in tops.select("__n").distinct().collect()]  # as many as the deepest path has segments
+    if not levels:
+        return snapshot
+    sums = [c for c in snapshot.columns if c in ("size", "n_desc", "n_files") or c.startswith("sum_")]
+    gone = snapshot.join(tops.select("path"), "path", "left_semi").select("path", *sums)
+    lost = gone.select(F.explode(P.ancestors("path")).alias("__up"), P.parent_of("path").alias("__parent"), *sums).groupBy("__up").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(f"__{c}") for c in sums], F.count_if(F.col("__parent") == F.col("__up")).alias("__n_children"))
+    # a row is under a deleted path if its first n segments are one, for one of the levels
+    at = F.transform(F.array(*[F.lit(n) for n in levels]), lambda n: F.when(F.size(F.split("path", "/")) >= n, F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/")))
+    under = snapshot.select("path", F.explode(F.array_compact(at)).alias("__top")).join(tops.select(F.col("path").alias("__top")), "__top", "left_semi").select("path").distinct()
+    kept = snapshot.join(under, "path", "left_anti")
+    met = kept.join(lost, (P.bare("path") == F.col("__up")) & (F.col("kind") == "dir"), "left")
+    return met.select(*[(F.col(c) - F.coalesce(f"__{c}", F.lit(0))).alias(c) if c in [*sums, "n_children"] else F.col(c) for c in snapshot.columns])
+
+
 def refreshed_stats(registry: DataFrame, scan_id: int, snapshot: DataFrame) -> DataFrame:
     """The registry with one scan's root statistics taken from its changed snapshot."""
     stats = R.root_stats(snapshot).select(F.lit(scan_id).cast("long").alias("id"), *[F.col(c).alias(f"new_{c}") for c in ("size", "n_children", "n_desc", "mtime")])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import scalars as S
 from ..operators import access
 from ..sources import access_logs
 from ..steps import new_path
 from ..streaming import access as stream
+from ..streaming import snapshots
 from . import fixtures as X
 from ._register import registrar
 
@@ -144,14 +146,25 @@ def access_stream_daily(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("bucket", "path", F.col("day").cast("string").alias("day"), "op", "n_ops", "bytes_out", "bytes_in")
 
 
-@query(f"WITH {X.OBJECTS}, {X.files()}, {X.snap()} SELECT path, size, mtime, n_desc, n_files, n_children FROM snap WHERE kind = 'dir'")
-def stream_snapshot_merge(spark, sf_dir):
-    """A listing arrives in three files; each batch is merged into the snapshot."""
+def _merged_stream(spark, sf_dir):
+    """A listing arrives in three files; the first two batches are compacted into a base, the third stays a delta."""
     base, schema = _stream(spark, sf_dir, X.objects(spark, sf_dir).repartition(3, "name"))
-    q = stream.run_snapshot_merge(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state", X.SCHEME)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{base}/out/{last}").where("kind = 'dir'").select("path", "size", "mtime", "n_desc", "n_files", "n_children")
+    snapshots.create(spark, f"{base}/out")
+    snapshots.run_snapshot_merge(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state", compact_every=2).awaitTermination()
+    return f"{base}/out"
+
+
+@query(f"WITH {X.SNAPSHOT} SELECT path, kind, parent, depth, size, mtime, n_desc, n_files, n_children FROM snap")
+def stream_snapshot_merge(spark, sf_dir):
+    """Base and deltas, merged when read, are the rollup of the whole listing."""
+    return snapshots.read_snapshot(spark, _merged_stream(spark, sf_dir), X.SCHEME).select("path", "kind", "parent", "depth", "size", "mtime", "n_desc", "n_files", "n_children")
+
+
+@query(f"WITH {X.SNAPSHOT} SELECT path, size, n_desc, n_files, n_children FROM snap WHERE depth <= 2 AND (path = 'ASIA' OR starts_with(path, 'ASIA/'))")
+def stream_snapshot_browse(spark, sf_dir):
+    """A browse of the merged snapshot: the filter reaches the base's and the deltas' files."""
+    rows = snapshots.read_snapshot(spark, _merged_stream(spark, sf_dir), X.SCHEME).where(P.under("path", "ASIA") & P.in_depth("depth", most=2))
+    return rows.select("path", "size", "n_desc", "n_files", "n_children")
 
 
 @query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 'PUT' WHEN 'signup' THEN 'LIST' ELSE 'OTHER' END AS verb, count(*) AS n_rows FROM events GROUP BY ALL")

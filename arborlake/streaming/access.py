@@ -1,4 +1,4 @@
-"""Streams of access rows: ingest without repeats, daily rollups, snapshots merged batch by batch."""
+"""Streams of access rows: ingest without repeats, daily rollups."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions import paths as P
-from ..operators import rollup as R
 
 LATE = "2 hours"
 
@@ -35,17 +34,3 @@ def run_daily_tree(spark: SparkSession, source: str, schema: StructType, target:
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source)
     out = daily_tree(ingest(parse(raw) if parse else raw, late), late)
     return out.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint).partitionBy("day").trigger(availableNow=True).start()
-
-
-def run_snapshot_merge(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, scan_root: str) -> StreamingQuery:
-    """Roll up each batch of a listing and merge it into the snapshot under ``target``/<batch>.
-
-    A batch that runs again writes the same version again, so a restart changes nothing.
-    """
-    def merge(batch: DataFrame, number: int) -> None:
-        part = R.rollup_listing(batch, scan_root)
-        if number:
-            part = R.merge_rollups(part.unionByName(batch.sparkSession.read.parquet(f"{target}/{number - 1}")))
-        part.write.mode("overwrite").parquet(f"{target}/{number}")
-
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
