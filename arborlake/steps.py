@@ -37,4 +37,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step.step_path = path
+    return step
+
+
+def discard(*steps: DataFrame) -> None:
+    """Empty steps of :func:`materialise` that nothing reads any more; what was made of them must be written by now."""
+    for step in steps:
+        step.sparkSession.createDataFrame([], step.schema).coalesce(1).write.mode("overwrite").parquet(step.step_path)
