@@ -11,9 +11,9 @@ up to ``AROUND`` words on either side. A place holds if at least ``SIMILARITY``
 substituted words count against it and no more. Items of fewer than ``SPAN`` words are found where they stand whole and unchanged, by
 the hash of all their words, in a pass of their own.
 
-All of it is DataFrame functions. Word hashes are one array per document, written once. Its positions are exploded, hashed
-and joined in one generated stage that carries no array further: what leaves it is one small row per distinct place. Arrays come back
-for rows with a place only. The benchmark side is broadcast in parts of at most ``PART_WORDS`` words (checked by a
+All of it is DataFrame functions. Word hashes are one array per document; its positions are exploded, hashed
+and joined in one generated stage that carries no array further: what leaves it is one small row per distinct place. Texts come back
+and are hashed again for rows with a place only. The benchmark side is broadcast in parts of at most ``PART_WORDS`` words (checked by a
 count); a larger benchmark takes more passes, not a larger broadcast.
 
 Defined results: null texts hold no words and are clean; items without a word are never
@@ -67,29 +67,36 @@ def _places(places: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, item_id, n_hits (places), n_matched, share: the best window of each item found in a document."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hits = _overlaps(materialise(texts, "numbered-texts"), benchmark, similarity, part_words)
+    return hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("best.n_matched").cast("long").alias("n_matched"), F.max("best.share").alias("share"))
+
+
+def _overlaps(texts: DataFrame, benchmark: DataFrame, similarity: float, part_words: int = PART_WORDS) -> DataFrame:
+    """row, doc_id, item_id, best (share, n_matched) of every place that holds. ``texts``: row, doc_id, text, written, so that rows keep their numbers."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")).distinct()
     items = items.withColumn("key", F.xxhash64("item_id", "item"))  # of null ids as well; a clash is only one more place to check
-    total = items.agg(F.sum(F.size("item"))).first()[0] or 0
-    parts = max(1, -(-total // part_words))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
-    texts = materialise(texts, "word-hashes")
-    longest = items.agg(F.max(F.size("item"))).first()[0] or 1
+    total, longest = items.agg(F.sum(F.size("item")), F.max(F.size("item"))).first()
+    parts = max(1, -(-(total or 0) // part_words))
+    hashed = texts.select("row", word_hashes(F.col("text")).alias("words"))
     short = sorted(r[0] for r in items.where(F.size("item").between(1, SPAN - 1)).select(F.size("item")).distinct().collect())  # at most SPAN - 1 lengths
 
     def against(part: DataFrame) -> DataFrame:
         seeds = _seeds(part.where(F.size("item") >= SPAN), "item", ["key"]).where("seed is not null").withColumnRenamed("at", "item_at").distinct()
-        places = _places(_seeds(texts, "words", ["row"]), seeds)
+        places = _places(_seeds(hashed, "words", ["row"]), seeds)
         if short:
             few = part.where(F.size("item").between(1, SPAN - 1))
             own = reduce(lambda w, n: w.when(F.size("item") == n, F.xxhash64(F.lit(n), *[F.get("item", F.lit(o)) for o in range(n)])), short, F.when(F.lit(False), F.lit(None).cast("long")))
             whole = few.select("key", F.lit(0).alias("item_at"), own.alias("seed"))
-            places = places.unionByName(_places(_runs(texts, "words", ["row"], short), whole))
-        # a third of the documents may share a passage: their arrays are joined by row, which is unique on this side
-        met = places.join(texts, "row").select("doc_id", "key", "shift", F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.lit(longest)).alias("near"))
+            places = places.unionByName(_places(_runs(hashed, "words", ["row"], short), whole))
+        # few rows have a place as a rule, and Spark sees how many; where many have, both sides are dealt by row, which is unique among texts
+        places = materialise(places, "places")
+        some = texts.join(places.select("row").distinct(), "row", "left_semi").select("row", "doc_id", word_hashes(F.col("text")).alias("words"))
+        met = places.join(some, "row").select("row", "doc_id", "key", "shift", F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.lit(longest or 1)).alias("near"))
         laid = met.join(F.broadcast(part), "key")
         n, lead = F.size("item"), F.greatest(-F.col("shift"), F.lit(0))
         agree = F.transform("item", lambda w, k: (F.get("near", k - lead) == w).eqNullSafe(F.lit(True)).cast("int"))
-        laid = laid.select("doc_id", "item_id", n.alias("n"), agree.alias("agree"))
+        laid = laid.select("row", "doc_id", "item_id", n.alias("n"), agree.alias("agree"))
         first = lambda q: F.greatest(q - AROUND, F.lit(0))
         size = lambda q: F.least(q + SPAN + AROUND, F.col("n")) - first(q)
         added = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
@@ -97,16 +104,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         every = F.struct((added(F.col("agree")) / F.col("n")).alias("share"), added(F.col("agree")).alias("n_matched"))
         least = F.when(F.col("n") < SPAN, 1.0).otherwise(F.lit(float(similarity)))
         best = F.when(F.col("n") < SPAN, every).otherwise(F.array_max(F.concat(window, F.array(every))))
-        return laid.select("doc_id", "item_id", best.alias("best"), least.alias("least")).where("best.share >= least").select("doc_id", "item_id", "best")
+        return laid.select("row", "doc_id", "item_id", best.alias("best"), least.alias("least")).where("best.share >= least").drop("least")
 
     found = [against(items if parts == 1 else items.where(F.pmod(F.col("key"), F.lit(parts)) == p)) for p in range(parts)]
-    hits = reduce(DataFrame.unionByName, found)
-    return hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("best.n_matched").cast("long").alias("n_matched"), F.max("best.share").alias("share"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, that hold no passage of the benchmark."""
     rows = numbered(docs)
-    found = find_overlaps(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, similarity)
-    kept = rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti")
+    found = _overlaps(rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text")), benchmark, similarity)
+    kept = rows.join(materialise(found.select("row").distinct(), "contaminated"), "row", "left_anti")
     return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
