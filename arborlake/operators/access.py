@@ -46,6 +46,23 @@ def access_tree_distinct(rows: DataFrame, parity: bool = False) -> DataFrame:
     return merged.select(*group, P.named("__up").alias("path"), "day", "op", F.hll_sketch_estimate("sketch").alias("n_requesters_hll"))
 
 
+def requester_sketches(rows: DataFrame) -> DataFrame:
+    """bucket, path, depth, day, op, sketch: at every level a binary sketch of its requesters, to be stored beside the tree.
+
+    Sketches are built once per leaf and merged upwards; days that come later are appended.
+    """
+    day = rows.withColumn("day", F.to_date("ts")).withColumn("path", F.coalesce("path", F.lit("")))
+    leaf = day.groupBy("bucket", "path", "day", "op").agg(F.hll_sketch_agg(F.col("requester").cast("string"), F.lit(14)).alias("sketch"))
+    up = leaf.select("bucket", F.explode(P.ancestors("path", own=True)).alias("dir"), "day", "op", "sketch")
+    merged = up.groupBy("bucket", "dir", "day", "op").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("bucket", P.named("dir").alias("path"), P.depth_of("dir").alias("depth"), "day", "op", "sketch")
+
+
+def merged_requesters(sketches: DataFrame, *by: str) -> DataFrame:
+    """``by`` and ``n_requesters``: stored sketches merged over all that ``by`` leaves out, such as days, verbs or buckets."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_requesters"))
+
+
 def access_summary(rows: DataFrame) -> DataFrame:
     """rows_in, n_paths, n_days, bytes_out."""
     return rows.agg(F.count(F.lit(1)).alias("rows_in"), F.countDistinct("bucket", F.coalesce("path", F.lit(""))).alias("n_paths"), F.countDistinct(F.to_date("ts")).alias("n_days"), F.coalesce(F.sum("bytes_out"), F.lit(0)).cast("long").alias("bytes_out"))

@@ -62,6 +62,17 @@ def cardinalities(snapshot: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("name").alias("n_names"), F.approx_count_distinct(F.when(F.col("kind") == "dir", F.col("name"))).alias("n_dir_names"))
 
 
+def name_sketches(snapshot: DataFrame) -> DataFrame:
+    """depth, kind, n_rows, sketch: a binary sketch of the names of each depth and kind, to be stored beside a snapshot."""
+    rows = snapshot.where(F.col("path") != P.ROOT).select(P.depth_of("path").alias("depth"), "kind", P.basename("path").alias("name"))
+    return rows.groupBy("depth", "kind").agg(F.count(F.lit(1)).alias("n_rows"), F.hll_sketch_agg("name", F.lit(14)).alias("sketch"))
+
+
+def merged_names(sketches: DataFrame, *by: str) -> DataFrame:
+    """``by``, n_rows, n_names: stored sketches merged over the depths, kinds or snapshots that ``by`` leaves out."""
+    return sketches.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_names"))
+
+
 def rows_by_depth(snapshot: DataFrame) -> DataFrame:
     """depth, n_rows and the rows of that depth or less."""
     by = snapshot.groupBy(P.depth_of("path").alias("depth")).agg(F.count(F.lit(1)).alias("n_rows"))

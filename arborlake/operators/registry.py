@@ -146,6 +146,14 @@ def reusable(spark: SparkSession, registry: DataFrame, path: str, needs: list[st
     return df if set(needs or []) <= set(df.columns) else None
 
 
+def latest_pair(spark: SparkSession, registry: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The stored snapshots of the scan before the newest of a path, and of the newest."""
+    last = registry.where(F.col("path") == path).orderBy(F.col("time").desc(), F.col("id").desc()).limit(2).collect()
+    if len(last) < 2:
+        raise ValueError(f"{path} has fewer than two scans")
+    return spark.read.parquet(last[1]["blob"]), spark.read.parquet(last[0]["blob"])
+
+
 def patch_children(children: DataFrame, registry: DataFrame, parent_time: str) -> DataFrame:
     """Direct children (with ``uri``) with the statistics of their own newer scans; ``patched`` marks them."""
     fresh = latest_per_path(registry.where(F.col("time") > F.lit(parent_time).cast("timestamp"))).select(F.col("path").alias("uri"), *[F.col(c).alias(f"new_{c}") for c in STATS], F.lit(True).alias("__p"))

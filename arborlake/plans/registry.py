@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import access_queries, diff_queries, registry_queries, sink_queries, tree_queries
+from . import access_queries, diff_queries, registry_queries, sink_queries, stored_queries, tree_queries
 
-_MODULES = [tree_queries, diff_queries, access_queries, registry_queries, sink_queries]
+_MODULES = [tree_queries, diff_queries, access_queries, registry_queries, sink_queries, stored_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import paths as P
 #: What a writer does with a target that exists. A target that was not written to its end is never reused.
 MODES = {"error": "errorifexists", "reuse": "ignore", "clear": "overwrite"}
 ROW_GROUP_BYTES = 32 * 1024 * 1024
+ROW_GROUP_ROWS = 262_144
 
 
 def complete(spark: SparkSession, path: str) -> bool:
@@ -22,16 +23,44 @@ def _mode(df: DataFrame, path: str, exists: str) -> str:
     return "overwrite" if exists == "reuse" and not complete(df.sparkSession, path) else MODES[exists]
 
 
-def write_snapshot(df: DataFrame, path: str, partitions: int | None = None, exists: str = "error") -> None:
-    """A snapshot in global (depth, path) order, so that depth and prefix filters prune row groups."""
+def write_snapshot(df: DataFrame, path: str, partitions: int | None = None, exists: str = "error", row_group_rows: int = ROW_GROUP_ROWS) -> None:
+    """A snapshot in global (depth, path) order, so that depth and prefix filters prune row groups; bounded by rows and bytes."""
     keys = [F.col("depth"), F.col("path"), F.col("kind")]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).write.mode(_mode(df, path, exists)).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    ranged.sortWithinPartitions(*keys).write.mode(_mode(df, path, exists)).option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", row_group_rows).parquet(path)
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """``<path>.manifest``: file, n_rows, first and last (depth, path) of each file of a snapshot. It reads the two columns only."""
+    at = F.struct("depth", "path")
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n_rows"), F.min(at).alias("first"), F.max(at).alias("last"))
+    files.coalesce(1).write.mode("overwrite").parquet(f"{path}.manifest")
+
+
+def slice_files(spark: SparkSession, path: str, under: str, least: int, most: int) -> list[str]:
+    """The files that can hold rows of a subtree between two depths, by the manifest."""
+    inner = under not in ("", P.ROOT)
+
+    def meets(depth):
+        low = F.struct(depth.alias("depth"), F.lit(under if inner else "").alias("path"))
+        high = F.struct(depth.alias("depth"), F.lit(f"{under}0").alias("path")) if inner else F.struct((depth + 1).alias("depth"), F.lit("").alias("path"))
+        return (F.col("first") < high) & (F.col("last") >= low)
+
+    depths = F.sequence(F.lit(least), F.lit(most))
+    return [r["file"] for r in spark.read.parquet(f"{path}.manifest").where(F.exists(depths, meets)).select("file").collect()]
+
+
+def read_slice(spark: SparkSession, path: str, under: str = "", least: int = 0, most: int = 1_000) -> DataFrame:
+    """The rows of a subtree between two depths. Files that cannot hold any are not opened, row groups are pruned in the others."""
+    files = slice_files(spark, path, under, least, most)
+    schema = spark.read.parquet(path).schema
+    rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return rows.where(P.in_depth("depth", least, most) & P.under("path", under))
 
 
 def write_access_rows(df: DataFrame, path: str, exists: str = "error") -> None:
-    """Spark's committer makes the files visible only once all of them are written."""
-    df.withColumn("day", F.to_date("ts")).write.mode(_mode(df, path, exists)).partitionBy("day").parquet(path)
+    """By day, a day's rows in few files, however many tasks read them; Spark's committer shows them once all are written."""
+    df.withColumn("day", F.to_date("ts")).repartitionByRange("day", "ts").write.mode(_mode(df, path, exists)).partitionBy("day").parquet(path)
 
 
 def write_access_tree(df: DataFrame, path: str, exists: str = "error") -> None:

@@ -11,7 +11,7 @@ NAMES = ["tree_rollup", "diff_max_depth", "access_tree", "filter_rollup", "lates
 
 def as_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
-    return sorted(tuple(None if r[k] is None else float(r[k]) if isinstance(r[k], float) else str(r[k]) for k in order) for r in rows)
+    return sorted((tuple(None if r[k] is None else float(r[k]) if isinstance(r[k], float) else str(r[k]) for k in order) for r in rows), key=repr)
 
 
 @pytest.mark.parametrize("name", NAMES)
