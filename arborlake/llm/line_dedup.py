@@ -5,14 +5,13 @@ A line's key is the line without blanks at its ends and with A-Z lower-cased. Ke
 
 1. Tasks hash each document's distinct keys to a place and an independent 64-bit fingerprint; Spark
    counts documents per (place, fingerprint), combined before the shuffle.
-2. The hashes are dealt to shards of about ``SHARD_KEYS`` keys by their high bits. Each shard builds a
+2. The hashes of all distinct keys are dealt to shards of about ``SHARD_KEYS`` keys by their high bits. Each shard builds a
    minimal perfect hash: keys fall into small buckets and every bucket stores the seed that sends its
    keys to free cells. What is kept is the seeds, a fingerprint and a count per cell, no keys.
-   Only counts that can drop a line are indexed; a line that is not indexed fails the fingerprint.
-3. Documents probe the arrays. If all arrays together are within ``BROADCAST_BYTES`` (checked) they
-   are broadcast and each document is rewritten where it is read. Beyond that the documents' hashes
-   are dealt to the shards, 24 bytes a line, and the numbers of dropped lines go back to them. Both
-   ways give the same rows.
+3. Documents probe the arrays. A text sends the hashes of its distinct keys, 32 bytes each, to the shards; the counts found there
+   decide, and the numbers of dropped lines go back to the text. Shards to which more than ``LINES_PER_TASK``
+   hashes can come, such as that of a line which most documents hold, are copied and their hashes shared out among the copies;
+   the sums of the shards' counts tell which. Nothing is broadcast or sent to the driver, at any size.
 
 Defined results: a null or empty text is one empty line, and keys shorter than ``min_chars`` code
 points never drop; a document whose lines all drop has an empty text; a line repeated in one document
@@ -22,19 +21,19 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise, partitions, ship, text_chunks
+from .common import BLANKS, materialise, ship, text_chunks
 
 MIN_DOCS, MIN_CHARS = 10, 1
 SHARD_KEYS = 100_000
-BROADCAST_BYTES = 32_000_000
+LINES_PER_TASK = 1_000_000
+#: A task forgets which texts it has sent after so many; sending one again changes nothing.
+_REMEMBERED = 200_000
 _PLACE, _FINGER = 1, 2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,7 +124,7 @@ def key_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
-    """shard, n, seeds, fingers, counts: one row of arrays for each shard that has keys."""
+    """shard, n, load, seeds, fingers, counts: one row of arrays for each shard that has keys. ``load`` is the sum of its counts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         place, finger = pdf["place"].to_numpy().view(np.uint64), pdf["finger"].to_numpy().view(np.uint64)
@@ -135,100 +134,86 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
         rest = np.setdiff1d(np.arange(len(place)), keep)
         seeds, fingers, n = build_shard(place[keep], finger[keep], counts[keep])
         extra = np.stack([finger[rest], counts[rest].astype(np.uint64)])
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(place)], "seeds": [seeds.tobytes()], "fingers": [fingers.tobytes()], "counts": [n.tobytes()], "extra": [extra.tobytes()]})
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(place)], "load": [int(counts.sum())], "seeds": [seeds.tobytes()], "fingers": [fingers.tobytes()], "counts": [n.tobytes()], "extra": [extra.tobytes()]})
 
     sharded = counts.withColumn("shard", F.pmod(F.shiftrightunsigned("place", 32), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(run, "shard int, n long, seeds binary, fingers binary, counts binary, extra binary")
+    return sharded.groupBy("shard").applyInPandas(run, "shard int, n long, load long, seeds binary, fingers binary, counts binary, extra binary")
 
 
 def _arrays(row) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row["seeds"], np.int32), np.frombuffer(row["fingers"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["extra"], np.uint64).reshape(2, -1)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, lines_per_task: int = LINES_PER_TASK) -> DataFrame:
     """doc_id, text (rewritten), n_lines, n_dropped of every row."""
-    spark = docs.sparkSession
-    common = materialise(key_counts(docs, min_chars).where(F.col("n") >= min_docs), "common-lines")
-    n_keys = common.count()
-    shards = max(1, -(-n_keys // SHARD_KEYS))
-    index = materialise(build_index(common, shards), "line-index")
+    counts = materialise(key_counts(docs, min_chars), "line-counts")
+    shards = max(1, -(-counts.count() // shard_keys))
+    index = materialise(build_index(counts, shards), "line-index")
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if n_keys * 18 <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r["shard"]: _arrays(r) for r in index.collect()})
-        return _rewrite_here(rows, held, shards, min_docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return _rewrite_routed(rows, index, shards, min_docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-
+    return _rewrite(rows, index, shards, min_docs, lines_per_task).withColumn("doc_id", F.col("doc_id").cast("long"))
 
-def _rewrite(text: str | None, gone) -> tuple[str, int, int]:
-    lines = (text or "").split("\n")
-    kept = [line for line, g in zip(lines, gone, strict=True) if not g] if any(gone) else lines
-    return "\n".join(kept), len(lines), len(lines) - len(kept)
 
-
-def _rewrite_here(rows: DataFrame, held, shards: int, min_docs: int) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in text_chunks(texts):
-                keys = [line_keys(t) for t in texts[a:b]]
-                place, finger = _hashes([k for ks in keys for k in ks])
-                shard = ((place >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                gone = np.zeros(len(place), bool)
-                for s in np.unique(shard).tolist():
-                    if s in held.value:
-                        at = np.flatnonzero(shard == s)
-                        gone[at] = probe(held.value[s], place[at], finger[at]) >= min_docs
-                ends = np.cumsum([len(ks) for ks in keys])
-                out = [_rewrite(t, gone[e - len(ks) : e].tolist()) for t, ks, e in zip(texts[a:b], keys, ends.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "text": [o[0] for o in out], "n_lines": [o[1] for o in out], "n_dropped": [o[2] for o in out]})
-
-    return rows.mapInPandas(run, "doc_id string, text string, n_lines long, n_dropped long")
-
-
-def _routed_lines(keyed: DataFrame, shards: int, salts: int) -> DataFrame:
-    """k1, k2, line, place, finger, shard, salt of each line of each distinct text, however many rows hold the text."""
+def _sent(keyed: DataFrame, shards: int) -> DataFrame:
+    """k1, k2, line, place, finger, shard: the first line of each distinct key of each text, once per task however many rows hold the text."""
 
     def hashes(batches):
+        seen = set()
         for pdf in batches:
-            for a, b in text_chunks(pdf["text"].tolist()):
-                part = pdf.iloc[a:b]
-                keys = [line_keys(t) for t in part["text"]]
-                n = [len(ks) for ks in keys]
-                place, finger = _hashes([k for ks in keys for k in ks])
-                yield pd.DataFrame({"k1": np.repeat(part["k1"].to_numpy(), n), "k2": np.repeat(part["k2"].to_numpy(), n), "line": np.concatenate([np.arange(x) for x in n]) if n else [], "place": place.view(np.int64), "finger": finger.view(np.int64)})
-
-    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    lines = texts.mapInPandas(hashes, "k1 long, k2 long, line int, place long, finger long")
-    lines = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("place", 32), F.lit(shards)).cast("int"))
-    return lines.withColumn("salt", F.pmod(F.xxhash64("k1", "line"), F.lit(salts)).cast("int"))
-
-
-def _rewrite_routed(rows: DataFrame, index: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """Each distinct text sends its hashes to the shards; texts meet their dropped lines by a 128-bit key."""
-    salts = 4 * partitions(rows.sparkSession)
-
-    def look(key: tuple, lines: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
-        if not len(arrays) or not len(lines):
-            return lines.head(0)[["k1", "k2", "line"]]
-        n = probe(_arrays(arrays.iloc[0]), lines["place"].to_numpy().view(np.uint64), lines["finger"].to_numpy().view(np.uint64))
-        return lines.loc[n >= min_docs, ["k1", "k2", "line"]]
-
-    keyed = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
-    lines = _routed_lines(keyed, shards, salts)
-    spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gone = lines.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(look, "k1 long, k2 long, line int")
-    gone = gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
+            new = []
+            for at, pair in enumerate(zip(pdf["k1"].tolist(), pdf["k2"].tolist(), strict=True)):
+                if pair not in seen:
+                    seen.add(pair)
+                    new.append(at)
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+            texts = pdf["text"].iloc[new].tolist()
+            for a, b in text_chunks(texts):
+                part = pdf.iloc[new[a:b]]
+                firsts = []
+                for text in texts[a:b]:
+                    first: dict[bytes, int] = {}
+                    for line, key in enumerate(line_keys(text)):
+                        first.setdefault(key, line)
+                    firsts.append(first)
+                n = [len(f) for f in firsts]
+                place, finger = _hashes([k for f in firsts for k in f])
+                lines = np.fromiter((line for f in firsts for line in f.values()), np.int32, sum(n))
+                yield pd.DataFrame({"k1": np.repeat(part["k1"].to_numpy(), n), "k2": np.repeat(part["k2"].to_numpy(), n), "line": lines, "place": place.view(np.int64), "finger": finger.view(np.int64)})
+
+    lines = keyed.select("k1", "k2", "text").mapInPandas(hashes, "k1 long, k2 long, line int, place long, finger long")
+    return lines.withColumn("shard", F.pmod(F.shiftrightunsigned("place", 32), F.lit(shards)).cast("int"))
+
+
+def _shared_out(lines: DataFrame, index: DataFrame, lines_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``salt``: a shard with a load above the bound has as many copies as its load asks for, others have one."""
+    salts = F.ceil(F.col("load") / lines_per_task).cast("int")
+    heavy = index.where(F.col("load") > lines_per_task).select("shard", salts.alias("salts"))
+    lines = lines.join(heavy, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return lines.drop("salts"), index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+
+
+def _rewrite(rows: DataFrame, index: DataFrame, shards: int, min_docs: int, lines_per_task: int) -> DataFrame:
+    def look(pdf_lines: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
+        if not len(arrays) or not len(pdf_lines):
+            return pdf_lines.head(0)[["k1", "k2", "line"]]
+        n = probe(_arrays(arrays.iloc[0]), pdf_lines["place"].to_numpy().view(np.uint64), pdf_lines["finger"].to_numpy().view(np.uint64))
+        return pdf_lines.loc[n >= min_docs, ["k1", "k2", "line"]]
 
     def rewrite(batches):
         for pdf in batches:
             out = []
             for text, gone in zip(pdf["text"], pdf["gone"], strict=True):
-                dropped = set() if gone is None else set(gone)
-                out.append(_rewrite(text, [k in dropped for k in range((text or "").count("\n") + 1)]))
+                lines = (text or "").split("\n")
+                kept = lines
+                if gone is not None:
+                    keys = line_keys(text)
+                    drop = {keys[k] for k in gone}
+                    kept = [line for line, key in zip(lines, keys, strict=True) if key not in drop]
+                out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text": [o[0] for o in out], "n_lines": [o[1] for o in out], "n_dropped": [o[2] for o in out]})
 
+    keyed = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
+    lines, copies = _shared_out(_sent(keyed, shards), index, lines_per_task)
+    gone = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(look, "k1 long, k2 long, line int")
+    gone = gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
     return keyed.join(gone, ["k1", "k2"], "left").select("doc_id", "text", "gone").mapInPandas(rewrite, "doc_id string, text string, n_lines long, n_dropped long")
-
-
-def sha256_of(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

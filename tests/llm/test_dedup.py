@@ -118,10 +118,11 @@ def plain_lines(rows, least):
     return out
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("sizes", [(line_dedup.SHARD_KEYS, line_dedup.LINES_PER_TASK), (7, 3)])
 @pytest.mark.parametrize("least", [10, 2])
-def test_lines(spark, limit, least):
-    got = line_dedup.drop_common_lines(frame(spark), min_docs=least, broadcast_bytes=limit).collect()
+def test_lines(spark, sizes, least):
+    """In one shard, and in many of which most are copied."""
+    got = line_dedup.drop_common_lines(frame(spark), min_docs=least, shard_keys=sizes[0], lines_per_task=sizes[1]).collect()
     assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got) == plain_lines(awkward(), least)
 
 
@@ -190,16 +191,26 @@ def test_a_template_shared_by_thousands(spark, monkeypatch):
     assert crowds and dealt[0].count() < 100_000  # pairs of tiles over all rows would be 3000 * 24 * 47 rows
 
 
-def test_routed_lines_of_copies_do_not_meet(spark):
-    """Copies send their lines once, and the lines of one text are shared out."""
-    text = "\n".join(f"line {k}" for k in range(400))
-    rows = spark.createDataFrame([(text,)] * 200 + [("other",), (None,), (None,)], "text string")
-    keyed = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
-    sizes = [r["count"] for r in line_dedup._routed_lines(keyed, 1, 16).groupBy("shard", "salt").count().collect()]
-    assert sum(sizes) == 402 and max(sizes) < 80
-    docs = frame(spark, [(k, text, "en", "s", 1) for k in range(30)] + [(99, "line 7\nown", "en", "s", 1)])
-    a, b = (sorted(map(tuple, line_dedup.drop_common_lines(docs, broadcast_bytes=n).collect())) for n in (0, line_dedup.BROADCAST_BYTES))
-    assert a == b
+def test_every_distinct_line_is_indexed(spark):
+    keys = {k for r in awkward() for k in line_dedup.line_keys(r[1]) if k}
+    counts = line_dedup.key_counts(frame(spark))
+    index = line_dedup.build_index(counts, 3).collect()
+    assert sum(r["n"] for r in index) == len(keys) == counts.count()
+    assert sum(r["load"] for r in index) == sum(len({k for k in line_dedup.line_keys(r[1]) if k}) for r in awkward())
+
+
+def test_a_hot_shard_is_shared_out(spark):
+    """One line in every text and copies of one text: the hot shard's hashes go to its copies, the others' to one each."""
+    long = "\n".join(["everywhere", *[f"line {k}" for k in range(40)] * 3])
+    docs = frame(spark, [(k, long, "en", "s", 1) for k in range(400)] + [(k, f"everywhere\nown {k}", "en", "s", 1) for k in range(1000, 1800)] + [(1, None, "en", "s", 1)])
+    index = line_dedup.build_index(line_dedup.key_counts(docs), 200)
+    keyed = docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
+    sent, copies = line_dedup._shared_out(line_dedup._sent(keyed, 200), index, 500)
+    sizes = [r["count"] for r in sent.groupBy("shard", "salt").count().collect()]
+    assert sum(sizes) < 2000 and max(sizes) < 450  # 401 texts of 41 lines are sent once a task; 801 hashes of one line are shared out
+    assert 200 > copies.count() - index.count() > 0
+    got = line_dedup.drop_common_lines(docs, shard_keys=20, lines_per_task=500)
+    assert Counter(tuple(r) for r in got.collect()) == plain_lines([tuple(r) for r in docs.select("doc_id", "text").collect()], 10)
 
 
 def test_rows_not_ids_are_removed(spark):
