@@ -9,12 +9,17 @@ most stay on the shard that the plain ring gives them.
 Which rows overflow is decided by counts, not row by row: one pass counts rows by cell (a table of a
 fixed size, whatever the input), the ring is filled from those counts, and each cell gets runs of
 ranks with a shard and a first slot. A row's rank in its cell is all that is left to find, by one
-window per cell; cells are cut by hash, so a hot source or text does not crowd one. More rows need
-more cells (``cells``), not larger ones.
+window per cell. Cells are cut by hash of the key. One id, or no id, that very many rows share crowds
+its cell: a cell of more than ``CROWD`` times the mean is cut into parts of about that size by the
+rows' numbers. All parts lie at the cell's place on the ring, each has a window of its own, and there
+are at most ``2 * cells / CROWD`` of them. More rows need more cells (``cells``), not larger ones.
+
+Ids, sizes and checksums are written once with a row number, so each text is read once and a lost
+executor finds the same numbers again.
 
 Defined results: a null text has size 1 and the checksum of an empty text; a null or repeated
-``doc_id`` is a key like any other (rows that agree in it and in text are interchangeable); extra
-columns are ignored; an empty table gives an empty result.
+``doc_id`` is a key like any other (rows of one key are interchangeable); extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +29,13 @@ import bisect
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from .common import materialise
+
 SHARDS, VIRTUAL, CELLS = 8, 512, 1 << 14
+#: A cell of more than so many times the mean number of rows is cut into parts.
+CROWD = 4
 
 
 def ring(shards: int = SHARDS, virtual: int = VIRTUAL, cells: int = CELLS) -> list[list[int]]:
@@ -78,24 +86,42 @@ def fill(counts: dict[int, int], order: list[list[int]], room: list[int]) -> lis
     return out
 
 
+def cut(rows: DataFrame, cells: int, crowd: int = CROWD) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """The rows with the ``part`` of their cell, and the rows of each (cell, part)."""
+    counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limit = crowd * -(-sum(counts.values()) // cells)
+    crowded = [(cell, -(-n // limit)) for cell, n in counts.items() if n > limit]
+    if not crowded:
+        return rows.withColumn("part", F.lit(0)), {(cell, 0): n for cell, n in counts.items()}
+    # fewer than cells / crowd cells hold more than the limit
+    parts = F.broadcast(rows.sparkSession.createDataFrame(crowded, "cell int, parts int"))
+    part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int")
+    rows = rows.join(parts, "cell", "left").withColumn("part", part).drop("parts")
+    found = rows.join(parts, "cell", "left_semi").groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).collect()
+    whole = {cell for cell, _ in crowded}
+    return rows, {(cell, 0): n for cell, n in counts.items() if cell not in whole} | {(r["cell"], r["part"]): r["n"] for r in found}
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, cells: int = CELLS, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, ring_shard (the plain ring's shard)."""
     spark = docs.sparkSession
-    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 64 - cells.bit_length() + 1).cast("int")
-    counts = {r["cell"]: r["n"] for r in docs.select(place.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = ring(shards, virtual, cells)
-    runs = fill(counts, order, bounds(sum(counts.values()), shards, slack))
-    by_cell: dict[int, list[tuple[int, int, int, int]]] = {}
-    for cell, first, n, s, slot in runs:
-        by_cell.setdefault(cell, []).append((first, n, s, slot))
-    kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("ring_shard", T.IntegerType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("first", "n", "shard", "slot")])))])
-    # at most `cells` rows of at most `shards` runs each: a size fixed by the parameters
-    plan = spark.createDataFrame([(c, order[c][0], r) for c, r in by_cell.items()], kind)
-
+    key = F.col("doc_id").cast("string")
+    cell = F.shiftrightunsigned(F.xxhash64(key), 64 - cells.bit_length() + 1).cast("int")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.when(F.col("text").isNull(), 0).otherwise(F.octet_length(text)) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), place.alias("cell"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)).alias("place"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")) - 1
-    ranked = rows.withColumn("rank", rank).join(F.broadcast(plan), "cell")
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length(text)) + 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), F.crc32(text).alias("text_crc32"), cell.alias("cell"), F.xxhash64(key, F.lit(1)).alias("place"), F.monotonically_increasing_id().alias("row"))
+    rows, counts = cut(materialise(rows, "sharding-rows"), cells)
+    clockwise = ring(shards, virtual, cells)
+    pieces = sorted(counts)
+    runs = fill({k: counts[p] for k, p in enumerate(pieces)}, [clockwise[c] for c, _ in pieces], bounds(sum(counts.values()), shards, slack))
+    by_piece: dict[int, list[tuple[int, int, int, int]]] = {}
+    for k, first, n, s, slot in runs:
+        by_piece.setdefault(k, []).append((first, n, s, slot))
+    # at most cells + 2 * cells / CROWD pieces of at most `shards` runs each: a size fixed by the parameters
+    plan = spark.createDataFrame([(*pieces[k], clockwise[pieces[k][0]][0], r) for k, r in by_piece.items()], "cell int, part int, ring_shard int, runs array<struct<first:long,n:long,shard:long,slot:long>>")
+
+    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("place", "doc_id", "text_crc32", "size", "row")) - 1
+    ranked = rows.withColumn("rank", rank).join(F.broadcast(plan), ["cell", "part"])
     run = F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["first"] + r["n"]))[0]
     placed = ranked.withColumn("run", run)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("run.shard").cast("int").alias("shard"), (F.col("run.slot") + F.col("rank") - F.col("run.first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "ring_shard")

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborlake.llm import packing, sharding
 
@@ -119,6 +120,22 @@ def test_ring_rules(spark):
     assert sum(r["shard"] != r["ring_shard"] for r in got) < 250
 
 
+def test_a_third_of_the_rows_equal_and_without_id(spark):
+    """Their cell is cut into parts of a bounded size; slots stay gapless and counts even."""
+    rows = [(i, f"text {i}", "en", "s", 1) for i in range(2000)] + [(None, "the same text", "en", "s", 1)] * 1000
+    docs = frame(spark, rows)
+    got = sharding.assign_shards(docs, virtual=16, cells=256).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert sorted(map(len, by.values())) == [375] * 8 and all(sorted(v) == list(range(375)) for v in by.values())
+    assert sum(r["doc_id"] is None for r in got) == 1000 and len({r["doc_id"] for r in got}) == 2001
+    cells = spark.range(3000).select(F.when(F.col("id") < 1000, 5).otherwise(F.col("id") % 256).cast("int").alias("cell"), F.col("id").alias("row"))
+    cut, counts = sharding.cut(cells, 256)
+    assert sum(counts.values()) == 3000 and max(counts.values()) < 1.7 * 4 * 12 and len(counts) <= 256 + 2 * 256 // sharding.CROWD
+    assert {(r["cell"], r["part"]): r["count"] for r in cut.groupBy("cell", "part").count().collect()} == counts
+
+
 def test_filling_is_the_ring_walk():
     """A row is only ever on a shard if all shards before it on its way are full."""
     rng = np.random.default_rng(3)
