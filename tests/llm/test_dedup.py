@@ -43,6 +43,19 @@ def test_exact_keep_one(spark):
     assert len({(r["text"] or "").translate(BLANK) for r in rows}) == len(rows) and rows[0][CLASHES[0]] == "clash"
 
 
+@pytest.mark.parametrize("heavy", [1024, 8])
+def test_a_third_of_the_rows_equal_and_without_id(spark, monkeypatch, heavy):
+    """Groups past the bound are looked up by broadcast, the others by a shuffle, with one result."""
+    monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
+    rows = [(i, f"text {i // 2}", "en", "s", 1) for i in range(400)] + [(None, "a b", "en", "s", 1)] * 250 + [(7, "ab", "en", "s", 1)] * 90 + [(8, "x y", "en", "s", 1)] * 3
+    docs = frame(spark, rows).repartition(12)
+    got = exact_dedup.exact_groups(docs).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == plain_groups(rows)
+    kept = exact_dedup.keep_one(docs)
+    found = kept.collect()
+    assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in found) == Counter([(i, f"text {i // 2}") for i in range(0, 400, 2)] + [(None, "a b"), (8, "x y")])
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.keep_one(none).count() == 0
