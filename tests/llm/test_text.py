@@ -192,6 +192,23 @@ def test_licenses_of_files_with_several_notices(spark):
         assert r["doc_id"] or set(want) == {label for label, _, _ in licenses.TEMPLATES}
 
 
+def test_licenses_looks_at_named_notices_only(spark):
+    """Notices that share no rare word with the file are never looked at; the result stays."""
+    many = [*licenses.TEMPLATES, *[(f"made-{k}", " ".join(f"w{k}x{j}" for j in range(40)), [f"w{k}x3 w{k}x4"]) for k in range(500)]]
+    text = f"{BASE} {licenses.TEMPLATES[4][1]} {BASE} " + " ".join(f"w7x{j}" for j in range(2, 40))
+    few, all_of_them = licenses.Index(10, {}), licenses.Index(10, {}, many)
+    words = licenses.words_of(text)
+    assert set(all_of_them.candidates(set(words))) == {*few.candidates(set(words)), len(licenses.TEMPLATES) + 7}
+    rows = frame(spark, [(1, text, "en", "s", 1), (2, "w9x1 w9x2", "en", "s", 1)])
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(rows, many).collect()} == {1: "made-7,mit", 2: ""}
+
+
+def test_licenses_of_long_and_repetitive_texts():
+    index = licenses.Index(100, dict.fromkeys(licenses.words_of(" ".join(t for _, t, _ in licenses.TEMPLATES)), 50))
+    for text, want in (("license " * 200_000, {}), ("general public license " * 60_000, {}), ("the software is provided as is " * 40_000, {}), ("x " * 100_000 + licenses.TEMPLATES[5][1], {"mit": 1.0})):
+        assert index.matches(licenses.words_of(text)) == want
+
+
 # personal data
 
 BASE_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
