@@ -95,7 +95,7 @@ def reused_snapshot(spark, sf_dir):
 @query(f"WITH {X.SNAPSHOT}, d AS (SELECT depth, count(*) AS n FROM snap GROUP BY 1) SELECT 'error' AS policy, false AS refused, n AS n_rows FROM d WHERE depth = 1 UNION ALL SELECT 'error again', true, n FROM d WHERE depth = 1 UNION ALL SELECT 'reuse', false, n FROM d WHERE depth = 1 UNION ALL SELECT 'clear', false, n FROM d WHERE depth = 2")
 def sink_policies(spark, sf_dir):
     """One target written under each policy, and the rows that stand there afterwards."""
-    to, snap, out = new_path(spark, "sink"), X.snapshot(spark, sf_dir), None
+    to, snap, out = new_path(spark, "sink"), X.stored_snapshot(spark, sf_dir), None
     for name, policy, depth in (("error", "error", 1), ("error again", "error", 2), ("reuse", "reuse", 2), ("clear", "clear", 2)):
         refused = False
         try:

@@ -6,27 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..steps import materialise
 
 #: What a writer does with a target that exists. A target that was not written to its end is never reused.
 MODES = {"error": "errorifexists", "reuse": "ignore", "clear": "overwrite"}
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 ROW_GROUP_ROWS = 262_144
+#: Rows that one task sorts and writes; a snapshot gets as many files as this asks for.
+FILE_ROWS = 1_048_576
 
 
 def complete(spark: SparkSession, path: str) -> bool:
     """Spark's marker of a write that came to its end stands in the folder."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+    return _stands(spark, f"{path}/_SUCCESS")
+
+
+def _stands(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
 def _mode(df: DataFrame, path: str, exists: str) -> str:
     return "overwrite" if exists == "reuse" and not complete(df.sparkSession, path) else MODES[exists]
 
 
-def write_snapshot(df: DataFrame, path: str, partitions: int | None = None, exists: str = "error", row_group_rows: int = ROW_GROUP_ROWS) -> None:
-    """A snapshot in global (depth, path) order, so that depth and prefix filters prune row groups; bounded by rows and bytes."""
+def _computed(df: DataFrame, path: str, exists: str) -> DataFrame:
+    """The rows as a step, since dealing them by range reads them twice. Where the target refuses or keeps what it has, none are computed."""
+    kept = {"error": _stands, "reuse": complete}.get(exists)
+    return df if kept and kept(df.sparkSession, path) else materialise(df, "to-write")
+
+
+def write_snapshot(df: DataFrame, path: str, partitions: int | None = None, exists: str = "error", row_group_rows: int = ROW_GROUP_ROWS, file_rows: int = FILE_ROWS) -> None:
+    """A snapshot in global (depth, path) order, so that depth and prefix filters prune row groups; bounded by rows and bytes.
+
+    At least ``partitions`` files, and more where one would hold over some ``file_rows`` rows: what a task sorts does not grow with the snapshot.
+    """
     keys = [F.col("depth"), F.col("path"), F.col("kind")]
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    rows = _computed(df, path, exists)
+    ranged = rows.repartitionByRange(max(partitions or 1, -(-rows.count() // file_rows)), *keys) if rows is not df else df
     ranged.sortWithinPartitions(*keys).write.mode(_mode(df, path, exists)).option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", row_group_rows).parquet(path)
 
 
@@ -65,12 +82,13 @@ def write_access_rows(df: DataFrame, path: str, exists: str = "error") -> None:
 
 def write_access_tree(df: DataFrame, path: str, exists: str = "error") -> None:
     """By day, in (depth, path) order; a large day is shared out among tasks by ranges."""
-    ranged = df.repartitionByRange("day", "depth", "path")
+    ranged = _computed(df, path, exists).repartitionByRange("day", "depth", "path")
     ranged.sortWithinPartitions("day", "depth", "path", "op").write.mode(_mode(df, path, exists)).partitionBy("day").parquet(path)
 
 
 def write_chunked(df: DataFrame, path: str, threshold: int = 100_000, exists: str = "error") -> None:
     """Top-level directories with at least ``threshold`` descendants get a partition of their own, in (depth, path) order."""
+    df = _computed(df, path, exists)
     large = df.where((F.col("depth") == 1) & (F.col("kind") == "dir") & (F.col("n_desc") >= threshold)).select(F.col("path").alias("chunk"))
     top = P.first_segment("path")
     rows = df.withColumn("__top", top).join(large.withColumn("__top", F.col("chunk")), "__top", "left").drop("__top")

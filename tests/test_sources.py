@@ -1,6 +1,8 @@
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from arborlake.operators import access as A
 from arborlake.operators import audit, registry, rollup, slices, update
@@ -190,3 +192,24 @@ def test_stream_keeps_rows_without_an_id(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream.run_daily_tree(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert {(r["path"], r["n_ops"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(".", 3), ("x", 3)}
+
+
+def test_a_snapshot_is_computed_once_and_no_file_grows_with_it(spark, tmp_path):
+    """Dealing by range must not compute the rows twice, a refused write not at all; the number of files follows the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(600).select(F.lit(1).alias("depth"), F.col("id").cast("string").alias("path"), F.lit("file").alias("kind")).mapInPandas(count, "depth int, path string, kind string")
+    to = str(tmp_path / "s")
+    sinks.write_snapshot(rows, to, 2, file_rows=100)
+    assert seen.value == 600
+    with pytest.raises(AnalysisException):
+        sinks.write_snapshot(rows, to)
+    sinks.write_snapshot(rows, to, exists="reuse")
+    assert seen.value == 600
+    held = [r["n"] for r in spark.read.parquet(to).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) >= 5 and sum(held) == 600 and max(held) < 200
