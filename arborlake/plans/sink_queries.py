@@ -34,7 +34,7 @@ def chunked_snapshot(spark, sf_dir):
 @query(f"WITH {X.SNAPSHOT} SELECT CAST(d AS VARCHAR) AS snapshot_date, path, size FROM snap, (SELECT unnest(['2026-01-01', '2026-01-02']) AS d) WHERE depth = CASE d WHEN '2026-01-01' THEN 2 ELSE 1 END")
 def dated_snapshots(spark, sf_dir):
     """Two dates, the first imported twice; its second import replaces the first."""
-    to, snap = new_path(spark, "sink"), X.snapshot(spark, sf_dir)
+    to, snap = new_path(spark, "sink"), X.stored_snapshot(spark, sf_dir)
     for date, depth in (("2026-01-01", 3), ("2026-01-02", 1), ("2026-01-01", 2)):
         sinks.write_dated(snap.where(F.col("depth") == depth), to, "b1", date)
     return spark.read.parquet(to).select(F.col("snapshot_date").cast("string").alias("snapshot_date"), "path", "size")
