@@ -27,6 +27,8 @@ from ..steps import materialise
 from . import search as Q
 
 SLICE_ROWS, POSTING = 262_144, 4096
+#: Rows that one task sorts.
+RANGE_ROWS = 1_048_576
 _ORDER = ["depth", "path", "kind"]
 _BITS = 33
 
@@ -34,9 +36,12 @@ _BITS = 33
 def ranks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` with ``name``: the row's exact rank, from 0, in the order of ``keys``.
 
-    Rows are dealt by range, sorted and numbered in their partition; the partitions' counts, one row each, shift the numbers.
+    Rows are computed once as a step, dealt by range, sorted and numbered in their partition; the partitions' counts, one row each, shift
+    the numbers. The ranges follow the rows, so no task sorts more as the table grows.
     """
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    df = materialise(df, "to-rank")
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // RANGE_ROWS))
+    dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
     dealt = materialise(dealt, "ranked")
     part = F.shiftright("__id", _BITS)
     held, before = [], 0
@@ -69,36 +74,48 @@ def vocabulary(sliced: DataFrame) -> DataFrame:
     return by.groupBy("name").agg(F.sum("n_dirs").alias("n_dirs"), F.sum(F.col("n") - F.col("n_dirs")).alias("n_files"), F.sort_array(F.collect_list("slice")).alias("row_groups"))
 
 
-def trigrams(name) -> Column:
-    low = folded(name)
+def trigrams(low) -> Column:
+    """The distinct trigrams of a folded name, which should be a column: an expression would be computed again for each of them."""
+    low = P._col(low)
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
 
 
 def postings(names: DataFrame, posting: int = POSTING) -> DataFrame:
     """trigram, block, n_names, numbers: the names (name, name_id) of one block that hold a trigram, at most ``posting``."""
-    rows = names.where(F.length(folded("name")) >= 3).select("name_id", F.explode(trigrams("name")).alias("trigram"))
-    block = F.floor(F.col("name_id") / F.lit(posting)).cast("int")
-    by = rows.groupBy("trigram", block.alias("block")).agg(F.sort_array(F.collect_list(F.pmod("name_id", F.lit(posting)).cast("int"))).alias("numbers"))
+    # names are dealt by block, so that what they hold, many times as many rows, is grouped where it is
+    dealt = names.select("name_id", folded("name").alias("low"), F.floor(F.col("name_id") / F.lit(posting)).cast("int").alias("block")).repartition("block")
+    rows = dealt.where(F.length("low") >= 3).select("name_id", "block", F.explode(trigrams("low")).alias("trigram"))
+    by = rows.groupBy("trigram", "block").agg(F.sort_array(F.collect_list(F.pmod("name_id", F.lit(posting)).cast("int"))).alias("numbers"))
     return by.select("trigram", "block", F.size("numbers").cast("long").alias("n_names"), "numbers")
 
 
-def write_indexed(snapshot: DataFrame, folder: str, slice_rows: int = SLICE_ROWS, posting: int = POSTING, mode: str = "errorifexists") -> None:
-    """Write a snapshot with its index. The index is stamped with the files it was made of, last of all."""
+def write_indexed(snapshot: DataFrame, folder: str, slice_rows: int = SLICE_ROWS, posting: int = POSTING, mode: str = "errorifexists", part_slices: int = 1) -> None:
+    """Write a snapshot with its index. The index is stamped with the files it was made of, last of all.
+
+    ``part_slices`` small slices in a row share a partition ``part``, so that folders stay few; ``slice`` is then a column of the rows.
+    """
     spark = snapshot.sparkSession
     rows = ranks(snapshot.withColumn("depth", P.depth_of("path")), _ORDER, "rank").withColumn("slice", F.floor(F.col("rank") / F.lit(slice_rows)).cast("int"))
-    rows.drop("rank").sortWithinPartitions("slice", *_ORDER).write.mode(mode).partitionBy("slice").parquet(f"{folder}/rows")
-    index_rows(spark, folder, posting, mode)
+    by = "slice" if part_slices == 1 else "part"
+    if part_slices > 1:
+        rows = rows.withColumn("part", _part(part_slices))
+    rows.drop("rank").sortWithinPartitions("slice", *_ORDER).write.mode(mode).partitionBy(by).parquet(f"{folder}/rows")
+    index_rows(spark, folder, posting, mode, part_slices)
+
+
+def _part(part_slices: int) -> Column:
+    return F.floor(F.col("slice") / F.lit(part_slices)).cast("int")
 
 
-def index_rows(spark: SparkSession, folder: str, posting: int = POSTING, mode: str = "overwrite") -> None:
+def index_rows(spark: SparkSession, folder: str, posting: int = POSTING, mode: str = "overwrite", part_slices: int = 1) -> None:
     """Make the index of the rows that stand in a folder."""
     rows = spark.read.parquet(f"{folder}/rows")
     ends = rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("depth", "path")).alias("first"), F.max(F.struct("depth", "path")).alias("last"))
     ends.coalesce(1).write.mode(mode).parquet(f"{folder}/slices")  # one row a slice
     ranks(vocabulary(rows), ["name"], "name_id").write.mode(mode).parquet(f"{folder}/names")
-    lists = postings(spark.read.parquet(f"{folder}/names").select("name", "name_id"), posting)
+    lists = materialise(postings(spark.read.parquet(f"{folder}/names").select("name", "name_id"), posting), "postings")
     lists.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode(mode).parquet(f"{folder}/postings")
-    spark.createDataFrame([(*_stamp(spark, folder), posting)], "n long, digest long, posting int").coalesce(1).write.mode(mode).parquet(f"{folder}/stamp")
+    spark.createDataFrame([(*_stamp(spark, folder), posting, part_slices)], "n long, digest long, posting int, part_slices int").coalesce(1).write.mode(mode).parquet(f"{folder}/stamp")
 
 
 def is_fresh(spark: SparkSession, folder: str) -> bool:
@@ -194,7 +211,12 @@ def matching_names(spark: SparkSession, folder: str, query: str, case_sensitive:
 
 def pruned(spark: SparkSession, folder: str, slices: DataFrame) -> DataFrame:
     """The rows of some slices; files of the others are not opened. At most one number a slice is broadcast."""
-    return spark.read.parquet(f"{folder}/rows").join(F.broadcast(slices.select("slice").distinct()), "slice", "left_semi")
+    rows, wanted = spark.read.parquet(f"{folder}/rows"), slices.select("slice").distinct()
+    if "part" in rows.columns:
+        wanted = materialise(wanted, "wanted-slices")
+        parts = wanted.select(_part(spark.read.parquet(f"{folder}/stamp").first()["part_slices"]).alias("part")).where("part >= 0").distinct()
+        rows = rows.join(F.broadcast(parts), "part", "left_semi").drop("part")
+    return rows.join(F.broadcast(wanted), "slice", "left_semi")
 
 
 def candidate_rows(spark: SparkSession, folder: str, query: str, case_sensitive: bool = False) -> DataFrame:

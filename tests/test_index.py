@@ -149,3 +149,15 @@ def test_an_empty_snapshot(spark, tmp_path):
     to = str(tmp_path / "s")
     I.write_indexed(R.rollup(spark.createDataFrame([], "path string, size long, mtime long, kind string"), "s"), to)
     assert I.indexed_search(spark, to, "abcd").count() == 0 and I.indexed_search(spark, to, "/x/").count() == 0
+
+
+def test_small_slices_share_partitions(spark, tree, folder, tmp_path):
+    """Folders follow parts and not slices; slices, searches and browses stay as they are."""
+    to = str(tmp_path / "s")
+    I.write_indexed(tree, to, slice_rows=10, posting=8, part_slices=4)
+    held = {(r["part"], r["slice"]) for r in spark.read.parquet(f"{to}/rows").select("part", "slice").collect()}
+    assert len(list(Path(to, "rows").glob("part=*"))) == len({p for p, _ in held}) and all(p == k // 4 for p, k in held)
+    query = I.indexed_search(spark, to, "household").select("path", "kind")
+    assert sorted(map(tuple, query.collect())) == sorted(map(tuple, Q.search(tree, "household").select("path", "kind").collect()))
+    want = tree.where(F.col("depth").between(1, 2)).where(I.P.under("path", "alpha")).select("path", "kind")
+    assert sorted(map(tuple, I.browse(spark, to, "alpha", 1, 2).select("path", "kind").collect())) == sorted(map(tuple, want.collect()))
