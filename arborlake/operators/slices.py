@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import scalars as S
+from ..steps import materialise
 
 
 def browse(snapshot: DataFrame, under: str = "", depth: int = 2) -> DataFrame:
@@ -73,6 +74,7 @@ def nested_json(snapshot: DataFrame, depth: int = 2) -> DataFrame:
     """
     rows = snapshot.where((F.col("path") != P.ROOT) & (P.depth_of("path") <= depth))
     rows = rows.select("path", "kind", P.depth_of("path").alias("depth"), P.parent_of("path").alias("parent"), P.basename("path").alias("name"), "size", "n_desc")
+    rows = materialise(rows, "nested")  # read once a level
     kids = None
     for d in range(depth, 0, -1):
         level = rows.where(F.col("depth") == d)
