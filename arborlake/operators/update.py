@@ -46,8 +46,10 @@ def delete_prefixes(snapshot: DataFrame, prefixes: DataFrame) -> DataFrame:
     gone = snapshot.join(tops.select("path"), "path", "left_semi").select("path", *sums)
     lost = gone.select(F.explode(P.ancestors("path")).alias("__up"), P.parent_of("path").alias("__parent"), *sums).groupBy("__up").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(f"__{c}") for c in sums], F.count_if(F.col("__parent") == F.col("__up")).alias("__n_children"))
     # a row is under a deleted path if its first n segments are one, for one of the levels
-    at = F.transform(F.array(*[F.lit(n) for n in levels]), lambda n: F.when(F.size(F.split("path", "/")) >= n, F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/")))
-    under = snapshot.select("path", F.explode(F.array_compact(at)).alias("__top")).join(tops.select(F.col("path").alias("__top")), "__top", "left_semi").select("path").distinct()
+    parted = snapshot.select("path", F.size(F.split("path", "/")).alias("__n"))
+    at = F.array(*[F.when(F.col("__n") >= n, F.substring_index("path", "/", n)) for n in levels])
+    tested = parted.select("path", F.explode(at).alias("__top")).where("__top is not null")
+    under = tested.join(tops.select(F.col("path").alias("__top")), "__top", "left_semi").select("path")
     kept = snapshot.join(under, "path", "left_anti")
     met = kept.join(lost, (P.bare("path") == F.col("__up")) & (F.col("kind") == "dir"), "left")
     return met.select(*[(F.col(c) - F.coalesce(f"__{c}", F.lit(0))).alias(c) if c in [*sums, "n_children"] else F.col(c) for c in snapshot.columns])
