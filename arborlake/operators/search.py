@@ -79,8 +79,9 @@ def matches(snapshot: DataFrame, query: str, case_sensitive: bool = False) -> Da
 
 def outermost(found: DataFrame) -> DataFrame:
     """Matches that have no matched directory above them, so that no byte counts twice."""
-    dirs = found.where("kind = 'dir'").select(F.col("path").alias("__up")).distinct()
-    inner = found.select("path", F.explode(P.ancestors("path")).alias("__up")).join(dirs, "__up", "left_semi").select("path").distinct()
+    # semi- and anti-joins pass over repeats, so no task holds a table of distinct paths
+    dirs = found.where("kind = 'dir'").select(F.col("path").alias("__up"))
+    inner = found.select("path", F.explode(P.ancestors("path")).alias("__up")).join(dirs, "__up", "left_semi").select("path")
     return found.join(inner, "path", "left_anti")
 
 

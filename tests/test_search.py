@@ -73,3 +73,11 @@ def test_histogram_bins(spark):
     assert H.age_histograms(t, "none").count() == 0
     with pytest.raises(ValueError):
         H.age_bins(t, edges=[1.0])
+
+
+def test_outermost_keeps_no_table_of_distinct_paths(spark):
+    """Nested matches give the outermost once each, without an aggregation."""
+    found = spark.createDataFrame([("a", "dir"), ("a/a", "dir"), ("a/a/a", "file"), ("b/a", "file")], "path string, kind string")
+    out = Q.outermost(found)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["path"] for r in out.collect()) == ["a", "b/a"]
