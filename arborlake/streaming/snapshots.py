@@ -46,7 +46,8 @@ def _names() -> list[str]:
 def _write(df: DataFrame, path: str) -> None:
     """In (depth, path) order, so that depth and prefix filters prune row groups."""
     keys = [P.depth_of("path"), F.col("path"), F.col("kind")]
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    rows = materialise(df, "to-write")  # dealing by range reads them twice
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def _commit(spark: SparkSession, folder: str, upto: int) -> None:
@@ -82,7 +83,7 @@ def read_snapshot(spark: SparkSession, folder: str, scan_root: str = "") -> Data
 
 def delta_of(listing: DataFrame, known: DataFrame) -> DataFrame:
     """What a listing adds to a snapshot whose directories are ``known`` (path): its files, and sums for each directory above them."""
-    part = R.rollup_listing(listing, "")
+    part = materialise(R.rollup_listing(listing, ""), "batch-rollup")  # read for its files and twice for its directories
     files = part.where("kind = 'file'")
     dirs = part.where("kind = 'dir'").select(P.bare("path").alias("dir"), "size", "mtime", "n_files")
     new = materialise(dirs.select("dir").join(known.select(P.bare("path").alias("dir")).distinct(), "dir", "left_anti"), "new-directories")
