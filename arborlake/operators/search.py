@@ -70,11 +70,15 @@ def query_mode(query: str) -> str:
     return "path" if "/" in body else "segment"
 
 
+def _tests(query: str, case_sensitive: bool) -> Callable[[Column], Column]:
+    """What the query tests, as a function of a path: the whole of it or its basename."""
+    test = compile_query(query, case_sensitive)
+    return test if query_mode(query) == "path" else lambda path: test(P.basename(path))
+
+
 def matches(snapshot: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """Rows (without the root) that the query matches, with ``depth`` derived from the path."""
-    test = compile_query(query, case_sensitive)
-    on = F.col("path") if query_mode(query) == "path" else P.basename("path")
-    return snapshot.where((F.col("path") != P.ROOT) & test(on)).withColumn("depth", P.depth_of("path"))
+    return snapshot.where((F.col("path") != P.ROOT) & _tests(query, case_sensitive)(F.col("path"))).withColumn("depth", P.depth_of("path"))
 
 
 def outermost(found: DataFrame) -> DataFrame:
@@ -86,9 +90,16 @@ def outermost(found: DataFrame) -> DataFrame:
 
 
 def search(snapshot: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
+    """Outermost matches. Only a match below a path that the query matches too has to meet the directories; the others pass without a join."""
     cols = ["path", "depth", "kind", "size"]
     found = matches(snapshot, query, case_sensitive).withColumn("size", F.coalesce("size", F.lit(0))).select(*cols)
-    return outermost(materialise(found, "matches"))  # the snapshot is read once
+    test = _tests(query, case_sensitive)
+    found = found.withColumn("__above", F.filter(P.ancestors("path"), lambda p: (p != "") & test(p)))
+    found = materialise(found, "matches")  # the snapshot is read once
+    below = found.where(F.size("__above") > 0)
+    dirs = found.where("kind = 'dir'").select(F.col("path").alias("__up"))
+    inner = below.select("path", F.explode("__above").alias("__up")).join(dirs, "__up", "left_semi").select("path")
+    return found.where(F.size("__above") == 0).select(*cols).unionByName(below.select(*cols).join(inner, "path", "left_anti"))
 
 
 def filter_rollup(snapshot: DataFrame, query: str, display_depth: int = 4, case_sensitive: bool = False) -> DataFrame:

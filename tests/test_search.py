@@ -81,3 +81,14 @@ def test_outermost_keeps_no_table_of_distinct_paths(spark):
     out = Q.outermost(found)
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["path"] for r in out.collect()) == ["a", "b/a"]
+
+
+def test_only_matches_below_a_matching_path_are_joined(spark, monkeypatch):
+    """The others pass without a join; a match below a matching path that is no row of the snapshot stays."""
+    steps, keep = [], Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, name: steps.append(keep(df, name)) or steps[-1])
+    rows = [("demo", "dir", 3), ("demo/demo.a", "file", 1), ("demo/b", "dir", 1), ("demo/b/demo.c", "file", 1), ("e/demo.f", "file", 1), ("demo9/demo.g", "file", 1)]
+    out = Q.search(spark.createDataFrame(rows, "path string, kind string, size long"), "demo")
+    assert sorted(r["path"] for r in out.collect()) == ["demo", "demo9/demo.g", "e/demo.f"]
+    above = {r["path"]: r["__above"] for r in steps[0].collect()}
+    assert above == {"demo": [], "demo/demo.a": ["demo"], "demo/b/demo.c": ["demo"], "e/demo.f": [], "demo9/demo.g": ["demo9"]}
