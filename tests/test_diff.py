@@ -144,3 +144,22 @@ def test_no_size_is_a_size_of_nothing(spark):
     a, b = spark.createDataFrame([("x", "file", None, 1, 0, 1)], schema), spark.createDataFrame([("x", "file", 0, 1, 0, 1)], schema)
     assert D.recursive_diff(a, b, include_unchanged=True).first()["status"] == "unchanged"
     assert D.compare_children(a, b).first()["status"] == "changed"
+
+
+def test_rows_of_no_step_are_not_written(spark, monkeypatch):
+    """Unchanged files are neither stored nor joined by parent; the directories above them still are."""
+    steps, keep = {}, D.materialise
+    monkeypatch.setattr(D, "materialise", lambda df, name: steps.setdefault(name, keep(df, name)))
+    a, b = snap(spark, [("d/old", 100, 1), ("d/same", 5, 1)]), snap(spark, [("d/new", 80, 1), ("d/same", 5, 1)])
+    got = {r["path"]: (r["status"], r["expanded"]) for r in D.recursive_diff(a, b).collect()}
+    assert got == {"d": ("changed", True), "d/old": ("removed", False), "d/new": ("added", False)}
+    assert {r["path"] for r in steps["diff-rows"].collect()} == set(got)
+
+
+def test_weights_join_and_write_no_leaf_by_level(spark, monkeypatch):
+    levels, keep = [], D.materialise
+    monkeypatch.setattr(D, "materialise", lambda df, name: (levels.append(keep(df, name)) or levels[-1]) if name == "diff-level" else keep(df, name))
+    rows = spark.createDataFrame([("a/b/c", "added", 0, 7, 7), ("a/d", "removed", 9, 0, -9), ("e", "changed", 1, 5, 4), ("a/b", "changed", 30, 20, -10)], "path string, status string, size_a long, size_b long, size_delta long")
+    got = {(r["path"], r["depth"], r["status"], r["weight"]) for r in D.diff_weights(rows, gap_bytes=1).collect()}
+    assert got == {("a/b/c", 3, "added", 7), ("a/d", 2, "removed", 9), ("e", 1, "changed", 5), ("a/b", 2, "changed", 30), ("a", 1, "unchanged", 39), ("a/b/(unchanged)", 3, "filler", 23)}
+    assert sorted(r["path"] for level in levels for r in level.collect()) == ["a", "a/b"]
