@@ -31,6 +31,10 @@ SLICE_ROWS, POSTING = 262_144, 4096
 RANGE_ROWS = 1_048_576
 _ORDER = ["depth", "path", "kind"]
 _BITS = 33
+#: Longs that hold the numbers of a trigram while they are gathered.
+_WORDS = 8
+#: What :func:`write_indexed` can write.
+TABLES = ("rows", "slices", "names", "postings")
 
 
 def ranks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -40,15 +44,23 @@ def ranks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     the numbers. The ranges follow the rows, so no task sorts more as the table grows.
     """
     df = materialise(df, "to-rank")
-    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // RANGE_ROWS))
-    dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
-    dealt = materialise(dealt, "ranked")
+    return _counted(_dealt(df, keys).sortWithinPartitions(*keys), name)
+
+
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A step dealt by range; the ranges follow its rows."""
+    return df.repartitionByRange(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // RANGE_ROWS)), *keys)
+
+
+def _counted(dealt: DataFrame, name: str) -> DataFrame:
+    """Sorted ranges with ``name``, the number of each row."""
+    dealt = materialise(dealt.withColumn("__id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__id", _BITS)
     held, before = [], 0
     for r in sorted(dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
         held.append((r["part"], before))
         before += r["n"]
-    shift = F.broadcast(df.sparkSession.createDataFrame(held, "__part long, __before long"))  # one row a partition
+    shift = F.broadcast(dealt.sparkSession.createDataFrame(held, "__part long, __before long"))  # one row a partition
     ranked = dealt.join(shift, part == F.col("__part")).withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << _BITS) - 1)))
     return ranked.drop("__id", "__part", "__before")
 
@@ -65,42 +77,96 @@ def _stamp(spark: SparkSession, folder: str) -> tuple:
     return tuple(files.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(own), F.lit(0))).first())
 
 
-def vocabulary(sliced: DataFrame) -> DataFrame:
-    """name, n_dirs, n_files and row_groups, the sorted slices that hold it; the root has no name."""
+def _by_slice(sliced: DataFrame) -> DataFrame:
+    """name, slice, n_dirs and n: the rows of a name in a slice; the root has no name."""
     if "child_scan_id" in sliced.columns and sliced.where("child_scan_id is not null").head(1):
         raise ValueError("a chunked snapshot must be merged before it is indexed")
     rows = sliced.where(F.col("path") != P.ROOT).select(P.basename("path").alias("name"), (F.col("kind") == "dir").cast("long").alias("dir"), "slice")
-    by = rows.groupBy("name", "slice").agg(F.sum("dir").alias("n_dirs"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("name", "slice").agg(F.sum("dir").alias("n_dirs"), F.count(F.lit(1)).alias("n"))
+
+
+def _by_name(by: DataFrame) -> DataFrame:
     return by.groupBy("name").agg(F.sum("n_dirs").alias("n_dirs"), F.sum(F.col("n") - F.col("n_dirs")).alias("n_files"), F.sort_array(F.collect_list("slice")).alias("row_groups"))
 
 
-def trigrams(low) -> Column:
-    """The distinct trigrams of a folded name, which should be a column: an expression would be computed again for each of them."""
-    low = P._col(low)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
+def vocabulary(sliced: DataFrame) -> DataFrame:
+    """name, n_dirs, n_files and row_groups, the sorted slices that hold it; the root has no name."""
+    return _by_name(_by_slice(sliced))
+
+
+def numbered_vocabulary(sliced: DataFrame) -> DataFrame:
+    """:func:`vocabulary` with ``name_id``, the name's rank. Names are dealt by range once, and grouped, sorted and numbered where they are."""
+    by = materialise(_by_slice(sliced), "names-by-slice")
+    return _counted(_by_name(_dealt(by, ["name"])).sortWithinPartitions("name"), "name_id")
+
+
+def _set_bits(mask: Column, first: int) -> Column:
+    """The places of a long's bits that are 1, from ``first``; bytes of zeros are passed over."""
+    byte = lambda j: F.call_function("shiftrightunsigned", mask, j * 8).bitwiseAND(F.lit(255))
+    some = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: byte(j) != 0)
+    held = F.flatten(F.transform(some, lambda j: F.filter(F.sequence(j * 8, j * 8 + 7), lambda i: F.getbit(mask, i) == 1)))
+    return F.when(mask == 0, F.array().cast("array<int>")).otherwise(F.transform(held, lambda i: i + first) if first else held)
 
 
 def postings(names: DataFrame, posting: int = POSTING) -> DataFrame:
-    """trigram, block, n_names, numbers: the names (name, name_id) of one block that hold a trigram, at most ``posting``."""
+    """trigram, block, n_names, numbers: the names (name, name_id) of one block that hold a trigram, at most ``posting``.
+
+    Numbers are gathered as bits of at most ``_WORDS`` longs, which an aggregation changes in place; lists would be sorted twice.
+    """
     # names are dealt by block, so that what they hold, many times as many rows, is grouped where it is
     dealt = names.select("name_id", folded("name").alias("low"), F.floor(F.col("name_id") / F.lit(posting)).cast("int").alias("block")).repartition("block")
-    rows = dealt.where(F.length("low") >= 3).select("name_id", "block", F.explode(trigrams("low")).alias("trigram"))
-    by = rows.groupBy("trigram", "block").agg(F.sort_array(F.collect_list(F.pmod("name_id", F.lit(posting)).cast("int"))).alias("numbers"))
+    rows = dealt.where(F.length("low") >= 3).select(F.pmod("name_id", F.lit(posting)).cast("int").alias("number"), "block", "low", F.explode(F.sequence(F.lit(1), F.length("low") - 2)).alias("at"))
+    rows = rows.select("number", "block", F.substr("low", F.col("at"), F.lit(3)).alias("trigram"))
+    words = min(_WORDS, -(-posting // 64))
+    rows = rows.withColumns({"bit": F.expr("shiftleft(1L, number & 63)"), "word": F.shiftright("number", 6) % words, "part": F.floor(F.shiftright("number", 6) / F.lit(words)).cast("int")})
+    by = rows.groupBy("trigram", "block", "part").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(words)])
+    own = F.concat(*[_set_bits(F.col(f"w{w}"), 64 * w) for w in range(words)])
+    if posting <= 64 * words:
+        by = by.select("trigram", "block", own.alias("numbers"))
+    else:
+        moved = by.select("trigram", "block", F.transform(own, lambda n: n + F.col("part") * (64 * words)).alias("some"))
+        by = moved.groupBy("trigram", "block").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("numbers"))
     return by.select("trigram", "block", F.size("numbers").cast("long").alias("n_names"), "numbers")
 
 
-def write_indexed(snapshot: DataFrame, folder: str, slice_rows: int = SLICE_ROWS, posting: int = POSTING, mode: str = "errorifexists", part_slices: int = 1) -> None:
+def write_indexed(snapshot: DataFrame, folder: str, slice_rows: int = SLICE_ROWS, posting: int = POSTING, mode: str = "errorifexists", part_slices: int = 1, tables: tuple[str, ...] = TABLES) -> None:
     """Write a snapshot with its index. The index is stamped with the files it was made of, last of all.
 
     ``part_slices`` small slices in a row share a partition ``part``, so that folders stay few; ``slice`` is then a column of the rows.
+    ``tables`` leaves out what nobody will read: a search does not read ``slices``, a browse no ``names``. Postings need names.
     """
     spark = snapshot.sparkSession
-    rows = ranks(snapshot.withColumn("depth", P.depth_of("path")), _ORDER, "rank").withColumn("slice", F.floor(F.col("rank") / F.lit(slice_rows)).cast("int"))
-    by = "slice" if part_slices == 1 else "part"
-    if part_slices > 1:
-        rows = rows.withColumn("part", _part(part_slices))
-    rows.drop("rank").sortWithinPartitions("slice", *_ORDER).write.mode(mode).partitionBy(by).parquet(f"{folder}/rows")
-    index_rows(spark, folder, posting, mode, part_slices)
+    ranked = ranks(snapshot.withColumn("depth", P.depth_of("path")), _ORDER, "rank").withColumn("slice", F.floor(F.col("rank") / F.lit(slice_rows)).cast("int"))
+    if "rows" in tables:
+        by = "slice" if part_slices == 1 else "part"
+        rows = ranked if part_slices == 1 else ranked.withColumn("part", _part(part_slices))
+        rows.sortWithinPartitions(by, "rank").drop("rank").write.mode(mode).partitionBy(by).parquet(f"{folder}/rows")
+    if "slices" in tables:
+        # ranks tell each slice's ends, so no slice is gathered
+        nth = F.col("rank") % F.lit(slice_rows)
+        top = ranked.agg(F.max("rank")).first()[0]
+        ends = ranked.where((nth == 0) | (nth == slice_rows - 1) | (F.col("rank") == F.lit(top))).withColumn("at", F.struct("depth", "path"))
+        ends = ends.groupBy("slice").agg((F.max("rank") - F.min("rank") + 1).alias("n_rows"), F.min_by("at", "rank").alias("first"), F.max_by("at", "rank").alias("last"))
+        ends.coalesce(1).write.mode(mode).parquet(f"{folder}/slices")  # one row a slice
+    if "names" in tables:
+        numbered_vocabulary(ranked).write.mode(mode).parquet(f"{folder}/names")
+    _finish(spark, folder, posting, mode, part_slices, tables)
+
+
+def write_names(snapshot: DataFrame, folder: str, posting: int = POSTING, mode: str = "errorifexists") -> None:
+    """The names and postings alone, for what asks which names match and not where they are: no row is ranked and names know no slices."""
+    names = snapshot.where(F.col("path") != P.ROOT).select(P.basename("path").alias("name")).distinct()
+    ranks(names, ["name"], "name_id").write.mode(mode).parquet(f"{folder}/names")
+    _finish(snapshot.sparkSession, folder, posting, mode, 1, ("names", "postings"))
+
+
+def _finish(spark: SparkSession, folder: str, posting: int, mode: str, part_slices: int, tables: tuple[str, ...] = TABLES) -> None:
+    """Postings of the names that stand in a folder, and the stamp."""
+    if "postings" in tables:
+        lists = materialise(postings(spark.read.parquet(f"{folder}/names").select("name", "name_id"), posting), "postings")
+        lists.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode(mode).parquet(f"{folder}/postings")
+    held = _stamp(spark, folder) if "rows" in tables else (0, 0)
+    spark.createDataFrame([(*held, posting, part_slices)], "n long, digest long, posting int, part_slices int").coalesce(1).write.mode(mode).parquet(f"{folder}/stamp")
 
 
 def _part(part_slices: int) -> Column:
@@ -112,10 +178,8 @@ def index_rows(spark: SparkSession, folder: str, posting: int = POSTING, mode: s
     rows = spark.read.parquet(f"{folder}/rows")
     ends = rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("depth", "path")).alias("first"), F.max(F.struct("depth", "path")).alias("last"))
     ends.coalesce(1).write.mode(mode).parquet(f"{folder}/slices")  # one row a slice
-    ranks(vocabulary(rows), ["name"], "name_id").write.mode(mode).parquet(f"{folder}/names")
-    lists = materialise(postings(spark.read.parquet(f"{folder}/names").select("name", "name_id"), posting), "postings")
-    lists.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode(mode).parquet(f"{folder}/postings")
-    spark.createDataFrame([(*_stamp(spark, folder), posting, part_slices)], "n long, digest long, posting int, part_slices int").coalesce(1).write.mode(mode).parquet(f"{folder}/stamp")
+    numbered_vocabulary(rows).write.mode(mode).parquet(f"{folder}/names")
+    _finish(spark, folder, posting, mode, part_slices)
 
 
 def is_fresh(spark: SparkSession, folder: str) -> bool:

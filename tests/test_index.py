@@ -161,3 +161,38 @@ def test_small_slices_share_partitions(spark, tree, folder, tmp_path):
     assert sorted(map(tuple, query.collect())) == sorted(map(tuple, Q.search(tree, "household").select("path", "kind").collect()))
     want = tree.where(F.col("depth").between(1, 2)).where(I.P.under("path", "alpha")).select("path", "kind")
     assert sorted(map(tuple, I.browse(spark, to, "alpha", 1, 2).select("path", "kind").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("posting", [8, 256, 600, 4096])
+def test_postings_hold_every_number_once(spark, posting):
+    """Gathered as bits or in parts of them: names that repeat a trigram, names too short for one, several parts a block."""
+    names = [f"n{k:04d}-aaaa" if k % 3 else "ab" for k in range(1300)]
+    want = {}
+    for k, name in enumerate(names):
+        for at in range(len(name) - 2):
+            want.setdefault((name[at : at + 3], k // posting), set()).add(k % posting)
+    rows = I.postings(spark.createDataFrame(list(enumerate(names)), "name_id long, name string"), posting).collect()
+    assert {(r["trigram"], r["block"]): r["numbers"] for r in rows} == {key: sorted(held) for key, held in want.items()}
+    assert len(rows) == len(want) and all(r["n_names"] == len(r["numbers"]) for r in rows)
+
+
+def test_tables_that_nobody_reads_are_not_written(spark, tree, folder, tmp_path):
+    """What is written is what the whole index holds."""
+    as_rows = lambda to, table, *cols: sorted(map(str, spark.read.parquet(f"{to}/{table}").select(*cols).collect()))
+    for tables in (("slices",), ("names",), ("rows", "names", "postings")):
+        to = str(tmp_path / "-".join(tables))
+        I.write_indexed(tree.select("path", "kind"), to, slice_rows=40, posting=8, tables=tables)
+        assert sorted(p.name for p in Path(to).iterdir()) == sorted([*tables, "stamp"])
+        for t in set(tables) - {"rows"}:
+            cols = spark.read.parquet(f"{folder}/{t}").columns
+            assert as_rows(to, t, *cols) == as_rows(folder, t, *cols)
+    I.write_names(tree.select("path", "kind"), str(tmp_path / "alone"), posting=8)
+    assert as_rows(tmp_path / "alone", "names", "name", "name_id") == as_rows(folder, "names", "name", "name_id")
+    assert as_rows(tmp_path / "alone", "postings", "trigram", "block", "numbers") == as_rows(folder, "postings", "trigram", "block", "numbers")
+
+
+def test_paths_are_the_rows_of_a_rollup(spark):
+    rows = listing(spark).unionByName(spark.createDataFrame([("empty/dir", 0, 0, "dir"), ("alpha/link", 1, 0, "link"), ("/lead/x", 1, 0, "file")], "path string, size long, mtime long, kind string"))
+    as_rows = lambda df: sorted(map(tuple, df.select("path", "kind").collect()))
+    assert as_rows(R.paths(rows)) == as_rows(R.rollup(rows, "s"))
+    assert as_rows(R.paths(rows.limit(0))) == [(".", "dir")]
