@@ -181,6 +181,31 @@ def test_near_copies_at_five_words(spark):
     assert near_copies.keep_one(frame(spark, [])).count() == 0
 
 
+def test_near_copies_are_dealt_by_fingerprints(spark):
+    """Sets at a similarity of 0.8 stay together by SimHash alone, also in deals that are cut into pairs of tiles; fingerprints are plain majority votes."""
+    from arborlake.llm import near_copies
+
+    rng, sets = np.random.default_rng(3), []
+    for k in range(120):
+        common, one, two = [(4, 1, 0), (8, 1, 1), (40, 5, 5), (400, 50, 50)][k % 4]
+        own = rng.integers(0, 2**63, common + one + two).astype(np.uint64)
+        sets += [own[: common + one], np.concatenate((own[:common], own[common + one :]))]
+    prints = near_copies.fingerprints(sets)
+    for s, p in zip(sets[:40], prints, strict=False):
+        for k in (0, near_copies.PRINTS - 1):
+            hashes = near_copies._mixed(s, k).tolist()
+            assert int(p[k]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    held = near_copies._printed(sets)
+    rows = [(k, held["size"][k], held["prints"][k].tolist(), held["more"][k].tolist()) for k in range(len(sets))]
+    df = spark.createDataFrame(rows, "row long, size long, prints array<long>, more array<int>")
+    for tile_rows, deal_rows in ((2048, 8192), (4, 2), (1, 8192)):
+        deals = {}
+        for r in near_copies._by_blocks(df, tile_rows, deal_rows).collect():
+            deals.setdefault(r["deal"], set()).add(r["row"])
+        assert all(any({k, k + 1} <= d for d in deals.values()) for k in range(0, len(sets), 2))
+        assert tile_rows < 2048 or all(len({k // 2 for k in d}) == 1 for d in deals.values())
+
+
 def test_a_template_shared_by_thousands(spark, monkeypatch):
     """3,000 texts of one long template and own words, each with a near copy: deals that the template crowds are dealt by rare shingles."""
     from arborlake.llm import near_copies
