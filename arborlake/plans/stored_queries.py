@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import access, audit, diff
+from ..operators import access, audit, diff, rollup
 from ..operators import registry as G
 from ..sources import access_logs, sinks
 from ..steps import materialise, new_path
@@ -71,7 +71,7 @@ def _stored_pair(spark, sf_dir):
     rows = None
     for k, (snap, day) in enumerate(zip(X.two_snapshots(spark, sf_dir), ("2024-01-01", "2024-01-02"), strict=True), start=1):
         blob = new_path(spark, "scan")
-        sinks.write_snapshot(snap, blob)
+        sinks.write_snapshot(snap, blob, derived=rollup.derived(X.SCHEME))
         row = G.register(spark.read.parquet(blob), k, X.SCHEME, day, blob)
         rows = row if rows is None else rows.unionByName(row)
     return materialise(rows, "registry")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -14,6 +14,8 @@ ROW_GROUP_BYTES = 32 * 1024 * 1024
 ROW_GROUP_ROWS = 262_144
 #: Rows that one task sorts and writes; a snapshot gets as many files as this asks for.
 FILE_ROWS = 1_048_576
+#: Snapshots are written once and read in part; paths take half the bytes in it.
+CODEC = "zstd"
 
 
 def complete(spark: SparkSession, path: str) -> bool:
@@ -33,18 +35,21 @@ def _mode(df: DataFrame, path: str, exists: str) -> str:
 def _computed(df: DataFrame, path: str, exists: str) -> DataFrame:
     """The rows as a step, since dealing them by range reads them twice. Where the target refuses or keeps what it has, none are computed."""
     kept = {"error": _stands, "reuse": complete}.get(exists)
-    return df if kept and kept(df.sparkSession, path) else materialise(df, "to-write")
+    return df if kept and kept(df.sparkSession, path) else materialise(df, "to-write", CODEC)
 
 
-def write_snapshot(df: DataFrame, path: str, partitions: int | None = None, exists: str = "error", row_group_rows: int = ROW_GROUP_ROWS, file_rows: int = FILE_ROWS) -> None:
+def write_snapshot(df: DataFrame, path: str, partitions: int | None = None, exists: str = "error", row_group_rows: int = ROW_GROUP_ROWS, file_rows: int = FILE_ROWS, derived: dict[str, Column] | None = None) -> None:
     """A snapshot in global (depth, path) order, so that depth and prefix filters prune row groups; bounded by rows and bytes.
 
     At least ``partitions`` files, and more where one would hold over some ``file_rows`` rows: what a task sorts does not grow with the snapshot.
+    ``derived``: columns that follow from the others; they are neither stored as a step nor dealt, but computed where the rows are written.
     """
     keys = [F.col("depth"), F.col("path"), F.col("kind")]
-    rows = _computed(df, path, exists)
-    ranged = rows.repartitionByRange(max(partitions or 1, -(-rows.count() // file_rows)), *keys) if rows is not df else df
-    ranged.sortWithinPartitions(*keys).write.mode(_mode(df, path, exists)).option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", row_group_rows).parquet(path)
+    narrow = df.drop(*derived) if derived else df
+    rows = _computed(narrow, path, exists)
+    ranged = rows.repartitionByRange(max(partitions or 1, -(-rows.count() // file_rows)), *keys) if rows is not narrow else narrow
+    whole = ranged.sortWithinPartitions(*keys).withColumns(derived or {}).select(*df.columns)
+    whole.write.mode(_mode(df, path, exists)).option("compression", CODEC).option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", row_group_rows).parquet(path)
 
 
 def write_manifest(spark: SparkSession, path: str) -> None:

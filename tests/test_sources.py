@@ -213,3 +213,17 @@ def test_a_snapshot_is_computed_once_and_no_file_grows_with_it(spark, tmp_path):
     assert seen.value == 600
     held = [r["n"] for r in spark.read.parquet(to).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(held) >= 5 and sum(held) == 600 and max(held) < 200
+
+
+def test_columns_that_follow_from_the_path_are_not_dealt(spark, tmp_path, monkeypatch):
+    from arborlake.operators import rollup as R
+
+    rows = [("a/b/c.bin", 3, 7, "file"), ("a/b", 1, 2, "dir"), ("top.bin", 5, 1, "file"), ("a/ü x/d", 2, 2, "link"), ("empty/dir", 0, 9, "dir")]
+    snap = R.rollup(spark.createDataFrame(rows, "path string, size long, mtime long, kind string"), "gcs://b1")
+    stored = []
+    keep = sinks.materialise
+    monkeypatch.setattr(sinks, "materialise", lambda df, *a: stored.append(df.columns) or keep(df, *a))
+    sinks.write_snapshot(snap, str(tmp_path / "s"), 2, derived=R.derived("gcs://b1"))
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert not {"parent", "uri"} & {*stored[0]} and got.columns == snap.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, snap.collect()))
