@@ -46,8 +46,8 @@ WIDTH, SIMILARITY = 5, 0.8
 TILE_ROWS, TILE_SHINGLES = 2048, 2_000_000
 PRINTS, BLOCK, FEW, DEAL_ROWS = 13, 12, 8, 8192
 _BLOCKS = 64 // BLOCK
-#: Bits that close rows may differ by in one, two and all fingerprints: 5 deviations and more above the mean at the least similarity.
-RADIUS, RADIUS_2, RADIUS_ALL, RADIUS_FEW = 24, 40, 180, 216
+#: Bits that close rows may differ by in one, two and all fingerprints: some 5 deviations above the mean at the least similarity; for sets of at most FEW shingles, whose mean is higher, more.
+RADIUS, RADIUS_2, RADIUS_2_FEW, RADIUS_ALL, RADIUS_FEW = 24, 40, 48, 180, 216
 _MIX = np.random.default_rng(42).integers(0, 2**63, (PRINTS, 3)).astype(np.uint64) | np.uint64(1)
 
 
@@ -220,7 +220,7 @@ def _by_blocks(prints: DataFrame, tile_rows: int, deal_rows: int = DEAL_ROWS) ->
         cut = dealt.join(crowded, "deal").withColumn("own", own).select("row", "size", "prints", "deal", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
         cut = cut.select("row", "size", "prints", F.xxhash64("deal", F.least("own", "other"), F.greatest("own", "other")).alias("deal"))
         dealt = dealt.join(crowded, "deal", "left_anti").select(*cut.columns).unionByName(cut)
-    close = materialise(_parted(dealt, RADIUS_2, RADIUS_2), "close-rows")
+    close = materialise(_parted(dealt, RADIUS_2, RADIUS_2_FEW), "close-rows")
     large = materialise(close.groupBy("deal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile_rows).select("deal"), "large-deals")
     some = close.join(large, "deal", "left_anti").select("deal", "row").join(prints.select("row", "size", "prints"), "row")
     return materialise(_parted(some, RADIUS_ALL, RADIUS_FEW).unionByName(close.join(large, "deal", "left_semi")), "close-deals")
