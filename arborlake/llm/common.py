@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..steps import discard, materialise, shared_folder
+from ..steps import dealt_step, discard, materialise, shared_folder
 
 #: Bytes that count as white space in the operators' word and line rules: space and 09-0D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -65,4 +65,4 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-__all__ = ["BLANKS", "crc32_of_id", "discard", "documents", "lower_ascii", "materialise", "partitions", "shared_folder", "ship", "text_chunks"]
+__all__ = ["BLANKS", "crc32_of_id", "dealt_step", "discard", "documents", "lower_ascii", "materialise", "partitions", "shared_folder", "ship", "text_chunks"]

@@ -344,7 +344,7 @@ def links(rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, t
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, of which one of each component stays."""
-    rows = numbered(docs)
+    rows = numbered(docs, dealt=True)
     texts = rows.select("row", F.col("doc.text").cast("string").alias("text"))
     steps: list[DataFrame] = []
     roots = components(links(texts, width, similarity, steps=steps)).withColumnRenamed("node", "row")

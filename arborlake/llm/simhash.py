@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, partitions, ship, text_chunks
+from .common import dealt_step, lower_ascii, materialise, partitions, ship, text_chunks
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 TILE = 1024
@@ -250,9 +250,10 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """row, a number of its own for each row, and doc, the row with all columns; written, so that numbers stay."""
-    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+def numbered(docs: DataFrame, dealt: bool = False) -> DataFrame:
+    """row, a number of its own for each row, and doc, the row with all columns; written, so that numbers stay. ``dealt`` by row, for several joins on it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
+    return dealt_step(rows, "row", "numbered") if dealt else materialise(rows, "numbered")
 
 
 def keep_first(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:

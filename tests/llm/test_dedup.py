@@ -267,3 +267,26 @@ def test_rows_not_ids_are_removed(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     mixed = frame(spark, [(i, t, "en", "s", 1) for i, t in [(None, ITEM), (None, "clean"), (3, ITEM), (3, "clean")]])
     assert Counter((r["doc_id"], r["text"]) for r in decontamination.drop_contaminated(mixed, bench).collect()) == Counter([(None, "clean"), (3, "clean")])
+
+
+def test_texts_are_dealt_by_row_once(spark):
+    """Joins on row move the other side only; the catalog forgets the table that knows the buckets."""
+    from arborlake.llm import near_copies
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = frame(spark)
+        rows = simhash.numbered(docs, dealt=True)
+        close = rows.where("row % 3 = 0").groupBy("row").count()
+        for how in ("left_semi", "left_anti"):
+            met = rows.join(close, "row", how)
+            plan = met._jdf.queryExecution().executedPlan().toString()
+            assert "doc" not in "".join(x for x in plan.splitlines() if "Exchange" in x) and plan.count("Exchange hashpartitioning") <= 1
+            assert met.count() == rows.where(f"row % 3 {'=' if how == 'left_semi' else '<>'} 0").count()
+        assert sorted(map(str, rows.select("doc.doc_id", "doc.text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("arborlake_")]
+        kept = near_copies.keep_one(docs)
+        assert kept.columns == docs.columns and kept.count() == len({str(r["doc_id"]) + str(r["text"]) for r in kept.collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
