@@ -156,6 +156,22 @@ def test_rows_of_no_step_are_not_written(spark, monkeypatch):
     assert {r["path"] for r in steps["diff-rows"].collect()} == set(got)
 
 
+def exchanged(df):
+    """The exchanges of a plan, as the optimizer hands it over."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_sides_are_dealt_by_path_once(spark):
+    """A path that a side holds as file and directory counts as directory; both sides meet behind one exchange, without a join."""
+    schema = "path string, kind string, size long, n_desc long, n_children long, mtime long"
+    a = spark.createDataFrame([("x", "file", 9, 1, 0, 1), ("x", "dir", 5, 2, 1, 1), ("y", "file", 3, 1, 0, 1), ("y", "file", 2, 1, 0, 4)], schema)
+    b = spark.createDataFrame([("x", "file", 7, 1, 0, 1), ("z", "file", None, 1, 0, 1)], schema)
+    rows = D.paired(a, b)
+    assert len(exchanged(rows)) == 1
+    got = {r["path"]: (r["kind_a"], r["size_a"], r["mtime_a"], r["kind_b"], r["size_b"]) for r in rows.collect()}
+    assert got == {"x": ("dir", 5, 1, "file", 7), "y": ("file", 2, 4, None, None), "z": (None, None, None, "file", None)}
+
+
 def test_weights_join_and_write_no_leaf_by_level(spark, monkeypatch):
     levels, keep = [], D.materialise
     monkeypatch.setattr(D, "materialise", lambda df, name: (levels.append(keep(df, name)) or levels[-1]) if name == "diff-level" else keep(df, name))
