@@ -172,6 +172,18 @@ def test_sides_are_dealt_by_path_once(spark):
     assert got == {"x": ("dir", 5, 1, "file", 7), "y": ("file", 2, 4, None, None), "z": (None, None, None, "file", None)}
 
 
+def test_rows_that_are_not_expanded_meet_no_join(spark, monkeypatch):
+    """Only expanded rows and parents are written to find who is above whom; the weights are those of rows that tell nothing."""
+    steps, keep = {}, D.materialise
+    monkeypatch.setattr(D, "materialise", lambda df, name: steps.update({name: keep(df, name)}) or steps[name])
+    a, b = snap(spark, [("d/e/old", 100, 1), ("f", 2, 1), ("g/h", 1, 1)]), snap(spark, [("d/e/new", 80, 1), ("f", 7, 1), ("g/h", 1, 2)])
+    rows = D.recursive_diff(a, b).persist()
+    got = {(r["path"], r["weight"]) for r in D.diff_weights(rows, gap_bytes=1).collect()}
+    assert {r["path"] for r in steps["diff-inner"].collect()} == {"d", "d/e"} and "diff-leaves" not in steps
+    steps.clear()
+    assert {(r["path"], r["weight"]) for r in D.diff_weights(rows.drop("expanded"), gap_bytes=1).collect()} == got == {("d", 180), ("d/e", 180), ("d/e/old", 100), ("d/e/new", 80), ("f", 7)}
+
+
 def test_weights_join_and_write_no_leaf_by_level(spark, monkeypatch):
     levels, keep = [], D.materialise
     monkeypatch.setattr(D, "materialise", lambda df, name: (levels.append(keep(df, name)) or levels[-1]) if name == "diff-level" else keep(df, name))
