@@ -44,10 +44,9 @@ def _names() -> list[str]:
 
 
 def _write(df: DataFrame, path: str) -> None:
-    """In (depth, path) order, so that depth and prefix filters prune row groups."""
-    keys = [P.depth_of("path"), F.col("path"), F.col("kind")]
-    rows = materialise(df, "to-write")  # dealing by range reads them twice
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    """In (depth, path) order, so that depth and prefix filters prune row groups. Dealing by range reads the rows twice: they stand in files, and what is computed is a step."""
+    rows = df.withColumn("depth", P.depth_of("path"))
+    rows.repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS).drop("depth").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _commit(spark: SparkSession, folder: str, upto: int) -> None:
@@ -68,32 +67,38 @@ def _layers(spark: SparkSession, folder: str, before: int | None = None) -> tupl
     return spark.read.schema(SCHEMA).parquet(f"{folder}/base/upto={upto}"), deltas
 
 
-def _merged(layers: DataFrame) -> DataFrame:
+def _merged_dirs(layers: DataFrame) -> DataFrame:
     dirs = layers.where("kind = 'dir'").groupBy("path", "kind").agg(*[F.sum(c).alias(c) for c in _SUMS], F.max("mtime").alias("mtime"))
-    return dirs.select(*_names()).unionByName(layers.where("kind = 'file'").select(*_names()))
+    return dirs.select(*_names())
+
+
+def _files(layers: DataFrame) -> DataFrame:
+    return layers.where("kind = 'file'").select(*_names())
 
 
 def read_snapshot(spark: SparkSession, folder: str, scan_root: str = "") -> DataFrame:
     """The snapshot as of the last batch, in the columns of a rollup."""
     base, deltas = _layers(spark, folder)
-    rows = _merged(base.unionByName(deltas.drop("batch")))
+    layers = base.unionByName(deltas.drop("batch"))
+    rows = _merged_dirs(layers).unionByName(_files(layers))
     parent = F.when(F.col("kind") == "dir", P.dir_parent(P.bare("path"))).otherwise(P.parent_of("path"))
     return rows.select(*_names(), parent.alias("parent"), P.uri_of(scan_root, "path").alias("uri"), P.depth_of("path").alias("depth"))
 
 
 def delta_of(listing: DataFrame, known: DataFrame) -> DataFrame:
     """What a listing adds to a snapshot whose directories are ``known`` (path): its files, and sums for each directory above them."""
-    part = materialise(R.rollup_listing(listing, ""), "batch-rollup")  # read for its files and twice for its directories
-    files = part.where("kind = 'file'")
-    dirs = part.where("kind = 'dir'").select(P.bare("path").alias("dir"), "size", "mtime", "n_files")
-    new = materialise(dirs.select("dir").join(known.select(P.bare("path").alias("dir")).distinct(), "dir", "left_anti"), "new-directories")
-    below = new.where("dir <> ''").select(F.col("dir").alias("sub"), F.explode(P.ancestors("dir")).alias("dir"))
-    below = below.groupBy("dir").agg(F.count(F.lit(1)).alias("n_sub"), F.count_if(P.parent_of("sub") == F.col("dir")).alias("own_sub"))
-    own = files.groupBy(P.parent_of("path").alias("dir")).agg(F.count(F.lit(1)).alias("own_files"))
+    part = R.rollup_listing(listing, "")
+    dirs = part.where("kind = 'dir'").select(P.bare("path").alias("dir"), "size", "mtime", "n_files", "n_children")
+    held = known.select(P.bare("path").alias("dir")).distinct().withColumn("held", F.lit(True))
+    dirs = materialise(dirs.join(held, "dir", "left").withColumn("is_new", F.col("held").isNull()).drop("held"), "batch-directories")
+    below = dirs.where("dir <> ''").select(F.col("dir").alias("sub"), "is_new", F.explode(P.ancestors("dir")).alias("dir"))
+    own, new = P.parent_of("sub") == F.col("dir"), F.col("is_new")
+    # a step, since only what has directories below it is there, and its size tells how to join it
+    below = materialise(below.groupBy("dir").agg(F.count_if(new).alias("n_new"), F.count_if(own).alias("own_sub"), F.count_if(own & new).alias("own_new")), "batch-parents")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    full = dirs.join(below, "dir", "left").join(own, "dir", "left").join(new.withColumn("is_new", F.lit(1)), "dir", "left")
-    added = full.select(P.named("dir").alias("path"), "size", "mtime", (F.col("n_files") + zero("n_sub") + zero("is_new")).alias("n_desc"), "n_files", (zero("own_files") + zero("own_sub")).alias("n_children"), F.lit("dir").alias("kind"))
-    return added.unionByName(files.select(*added.columns))
+    n_desc, n_children = F.col("n_files") + zero("n_new") + F.col("is_new").cast("long"), F.col("n_children") - zero("own_sub") + zero("own_new")
+    added = dirs.join(below, "dir", "left").select(P.named("dir").alias("path"), "size", "mtime", n_desc.alias("n_desc"), "n_files", n_children.alias("n_children"), F.lit("dir").alias("kind"))
+    return added.unionByName(_files(part))
 
 
 def add_batch(listing: DataFrame, number: int, folder: str, compact_every: int = 8) -> None:
@@ -112,14 +117,16 @@ def compact(spark: SparkSession, folder: str, upto: int) -> None:
     """Write the snapshot of all batches up to ``upto`` as a base, then empty the base and the deltas that it covers."""
     old, (base, deltas) = covered(spark, folder), _layers(spark, folder, before=upto + 1)
     held = [r[0] for r in deltas.select("batch").distinct().collect()]  # at most compact_every numbers
-    _write(_merged(base.unionByName(deltas.drop("batch"))), f"{folder}/base/upto={upto}")
+    layers = base.unionByName(deltas.drop("batch"))
+    _write(materialise(_merged_dirs(layers), "merged-directories").unionByName(_files(layers)), f"{folder}/base/upto={upto}")
     _commit(spark, folder, upto)
     empty = spark.createDataFrame([], SCHEMA).coalesce(1)
     for path in [f"base/upto={old}", *[f"delta/batch={k}" for k in held]]:
         empty.write.mode("overwrite").parquet(f"{folder}/{path}")
 
 
-def run_snapshot_merge(spark: SparkSession, source: str, schema: StructType, folder: str, checkpoint: str, compact_every: int = 8) -> StreamingQuery:
-    """Start taking the listing files that arrive under ``source`` into the snapshot under ``folder``, one file a batch."""
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    return files.writeStream.foreachBatch(lambda batch, number: add_batch(batch, number, folder, compact_every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_snapshot_merge(spark: SparkSession, source: str, schema: StructType, folder: str, checkpoint: str, compact_every: int = 8, files: int | None = 1) -> StreamingQuery:
+    """Start taking the listing files that arrive under ``source`` into the snapshot under ``folder``, ``files`` a batch (None: all that stand there)."""
+    stream = spark.readStream.schema(schema)
+    arrived = (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(source)
+    return arrived.writeStream.foreachBatch(lambda batch, number: add_batch(batch, number, folder, compact_every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

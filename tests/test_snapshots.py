@@ -73,6 +73,27 @@ def test_a_restarted_stream_goes_on(spark, tmp_path):
     assert rows(S.read_snapshot(spark, folder)) == rows(R.rollup_listing(first.unionByName(second), ""))
 
 
+def test_a_batch_stores_no_file_before_its_delta(spark, tmp_path, monkeypatch):
+    """Steps hold directories only; a delta's files and a base's are dealt from where they stand."""
+    folder, steps, keep = str(tmp_path / "s"), {}, S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: steps.update({name: keep(df, name)}) or steps[name])
+    S.create(spark, folder)
+    for number in range(2):
+        S.add_batch(listing(spark, [(f"d/e{number}/{k}", k) for k in range(500)]), number, folder, 2)
+    assert {name: step.count() for name, step in steps.items()} == {"batch-directories": 3, "batch-parents": 2, "merged-directories": 4}
+    assert S.covered(spark, folder) == 1 and S.read_snapshot(spark, folder).count() == 1004
+
+
+def test_all_files_that_stand_there_are_one_batch(spark, tmp_path):
+    source, folder, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    S.create(spark, folder)
+    every = listing(spark, names(random.Random(3), 60)).repartition(4)
+    every.write.parquet(source)
+    S.run_snapshot_merge(spark, source, every.schema, folder, state, files=None).awaitTermination()
+    assert [r[0] for r in spark.read.parquet(f"{folder}/delta").select("batch").distinct().collect()] == [0]
+    assert rows(S.read_snapshot(spark, folder)) == rows(R.rollup_listing(every, ""))
+
+
 def test_a_base_that_was_not_committed_is_not_read(spark, tmp_path):
     folder = str(tmp_path / "s")
     S.create(spark, folder)
