@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -29,6 +29,8 @@ from . import search as Q
 SLICE_ROWS, POSTING = 262_144, 4096
 #: Rows that one task sorts.
 RANGE_ROWS = 1_048_576
+#: Names whose postings one task gathers.
+TASK_NAMES = 524_288
 _ORDER = ["depth", "path", "kind"]
 _BITS = 33
 #: Longs that hold the numbers of a trigram while they are gathered.
@@ -67,7 +69,8 @@ def _counted(dealt: DataFrame, name: str) -> DataFrame:
 
 def folded(name) -> Column:
     """Lower case, with the four letters that regular expressions take for s, k and i without regard to case."""
-    return F.lower(F.translate(P._col(name), "ſKİı", "skii"))
+    plain = F.octet_length(P._col(name)) == F.length(P._col(name))  # ASCII has none of them
+    return F.when(plain, F.lower(P._col(name))).otherwise(F.lower(F.translate(P._col(name), "ſKİı", "skii")))
 
 
 def _stamp(spark: SparkSession, folder: str) -> tuple:
@@ -95,9 +98,12 @@ def vocabulary(sliced: DataFrame) -> DataFrame:
 
 
 def numbered_vocabulary(sliced: DataFrame) -> DataFrame:
-    """:func:`vocabulary` with ``name_id``, the name's rank. Names are dealt by range once, and grouped, sorted and numbered where they are."""
+    """:func:`vocabulary` with ``name_id``, the name's rank. Names are dealt by range and sorted once, and gathered and numbered where they are."""
     by = materialise(_by_slice(sliced), "names-by-slice")
-    return _counted(_by_name(_dealt(by, ["name"])).sortWithinPartitions("name"), "name_id")
+    own = Window.partitionBy("name").orderBy("slice")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = _dealt(by, ["name"]).select("name", F.row_number().over(own).alias("__k"), F.sum("n_dirs").over(whole).alias("n_dirs"), F.sum(F.col("n") - F.col("n_dirs")).over(whole).alias("n_files"), F.collect_list("slice").over(whole).alias("row_groups"))
+    return _counted(found.where("__k = 1").drop("__k").sortWithinPartitions("name"), "name_id")
 
 
 def _set_bits(mask: Column, first: int) -> Column:
@@ -114,14 +120,16 @@ def postings(names: DataFrame, posting: int = POSTING) -> DataFrame:
     Numbers are gathered as bits of at most ``_WORDS`` longs, which an aggregation changes in place; lists would be sorted twice.
     """
     # names are dealt by block, so that what they hold, many times as many rows, is grouped where it is
-    dealt = names.select("name_id", folded("name").alias("low"), F.floor(F.col("name_id") / F.lit(posting)).cast("int").alias("block")).repartition("block")
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, -(-names.count() // TASK_NAMES))
+    dealt = names.select("name_id", folded("name").alias("low"), F.floor(F.col("name_id") / F.lit(posting)).cast("int").alias("block")).repartition(tasks, "block")
     rows = dealt.where(F.length("low") >= 3).select(F.pmod("name_id", F.lit(posting)).cast("int").alias("number"), "block", "low", F.explode(F.sequence(F.lit(1), F.length("low") - 2)).alias("at"))
-    rows = rows.select("number", "block", F.substr("low", F.col("at"), F.lit(3)).alias("trigram"))
     words = min(_WORDS, -(-posting // 64))
-    rows = rows.withColumns({"bit": F.expr("shiftleft(1L, number & 63)"), "word": F.shiftright("number", 6) % words, "part": F.floor(F.shiftright("number", 6) / F.lit(words)).cast("int")})
-    by = rows.groupBy("trigram", "block", "part").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(words)])
-    own = F.concat(*[_set_bits(F.col(f"w{w}"), 64 * w) for w in range(words)])
-    if posting <= 64 * words:
+    parts = -(-posting // (64 * words))
+    rows = rows.select(F.substr("low", F.col("at"), F.lit(3)).alias("trigram"), "block", F.expr("shiftleft(1L, number & 63)").alias("bit"), (F.shiftright("number", 6) % words).alias("word"), *([F.floor(F.shiftright("number", 6) / F.lit(words)).cast("int").alias("part")] if parts > 1 else []))
+    held = [f"w{w}" for w in range(words)]
+    by = rows.groupBy("trigram", "block", *(["part"] if parts > 1 else [])).agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(held[w]) for w in range(words)])
+    own = F.concat(*[_set_bits(F.col(w), 64 * k) for k, w in enumerate(held)])
+    if parts == 1:
         by = by.select("trigram", "block", own.alias("numbers"))
     else:
         moved = by.select("trigram", "block", F.transform(own, lambda n: n + F.col("part") * (64 * words)).alias("some"))
@@ -163,8 +171,9 @@ def write_names(snapshot: DataFrame, folder: str, posting: int = POSTING, mode:
 def _finish(spark: SparkSession, folder: str, posting: int, mode: str, part_slices: int, tables: tuple[str, ...] = TABLES) -> None:
     """Postings of the names that stand in a folder, and the stamp."""
     if "postings" in tables:
-        lists = materialise(postings(spark.read.parquet(f"{folder}/names").select("name", "name_id"), posting), "postings")
-        lists.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode(mode).parquet(f"{folder}/postings")
+        # sorted where they were gathered: a search reads the pages of its trigrams in each file, and the lists, far more rows than names, are not dealt again
+        lists = postings(spark.read.parquet(f"{folder}/names").select("name", "name_id"), posting)
+        lists.sortWithinPartitions("trigram", "block").write.mode(mode).parquet(f"{folder}/postings")
     held = _stamp(spark, folder) if "rows" in tables else (0, 0)
     spark.createDataFrame([(*held, posting, part_slices)], "n long, digest long, posting int, part_slices int").coalesce(1).write.mode(mode).parquet(f"{folder}/stamp")
 

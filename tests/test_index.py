@@ -176,6 +176,26 @@ def test_postings_hold_every_number_once(spark, posting):
     assert len(rows) == len(want) and all(r["n_names"] == len(r["numbers"]) for r in rows)
 
 
+def test_lists_are_dealt_once_and_stay_in_order(spark, tree, tmp_path, monkeypatch):
+    """Posting rows are neither a step nor dealt a second time; each file is in order, and blocks stay whole in one task each."""
+    steps, keep = [], I.materialise
+    monkeypatch.setattr(I, "materialise", lambda df, name, *codec: steps.append(name) or keep(df, name, *codec))
+    monkeypatch.setattr(I, "TASK_NAMES", 30)
+    to = str(tmp_path / "s")
+    I.write_indexed(tree, to, slice_rows=40, posting=8)
+    assert sorted(steps) == ["names-by-slice", "ranked", "ranked", "to-rank"]
+    lists = spark.read.parquet(f"{to}/postings")
+    assert lists.count() == lists.select("trigram", "block").distinct().count()
+    for file in Path(to, "postings").glob("*.parquet"):
+        keys = [(r["trigram"].encode(), r["block"]) for r in spark.read.parquet(str(file)).collect()]
+        assert keys == sorted(keys)
+    many = spark.createDataFrame([("a" if k % 5 else f"n{k:03d}", k % 3, k % 2, 1) for k in range(90)], "name string, slice int, n_dirs long, n long").groupBy("name", "slice").sum("n_dirs", "n").toDF("name", "slice", "n_dirs", "n")
+    want = {r["name"]: (r["n_dirs"], r["n_files"], r["row_groups"]) for r in I._by_name(many).collect()}
+    monkeypatch.setattr(I, "_by_slice", lambda df: df)
+    got = sorted(I.numbered_vocabulary(many).collect(), key=lambda r: r["name"])
+    assert {r["name"]: (r["n_dirs"], r["n_files"], r["row_groups"]) for r in got} == want and [r["name_id"] for r in got] == list(range(len(want)))
+
+
 def test_tables_that_nobody_reads_are_not_written(spark, tree, folder, tmp_path):
     """What is written is what the whole index holds."""
     as_rows = lambda to, table, *cols: sorted(map(str, spark.read.parquet(f"{to}/{table}").select(*cols).collect()))
